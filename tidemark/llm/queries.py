@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import feistel, oracles, quality, sharding
+from tidemark.llm import feistel, mixing, oracles, quality, sharding, tokens, topk
 from tidemark.llm.common import table
 
 
@@ -25,9 +25,28 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors for every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, and what of it fits 4096 tokens."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_topk": op3_topk,
+    "op6_token_counts": op6_token_counts,
+    "op7_mixing": op7_mixing,
 }
 
 _WINDOWS = f"""
@@ -72,4 +91,13 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (y % {sharding.N_SHARDS})::INT A
 FROM numbered JOIN cycle USING (x)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_sharding": OP2_SQL}
+OP3_SQL = f"""
+WITH vectors AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT q.uid, q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+        FROM vectors q JOIN vectors d ON q.uid <> d.uid WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_sharding": OP2_SQL, "op3_topk": OP3_SQL}
