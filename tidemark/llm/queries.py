@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import feistel, mixing, oracles, quality, sharding, tokens, topk
+from tidemark.llm import feistel, mixing, oracles, quality, sharding, substrings, tokens, topk
 from tidemark.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses when words in 35-word windows that start elsewhere are removed."""
+    return substrings.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, and what of it fits 4096 tokens."""
     return tokens.token_counts(table(spark, sf_dir, "documents"))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_topk": op3_topk,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
 }
