@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import feistel, jaccard, mixing, oracles, quality, sharding, substrings, tokens, topk
+from tidemark.llm import feistel, jaccard, mixing, oracles, packing, quality, sharding, substrings, tokens, topk
 from tidemark.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 3-word shingles at a Jaccard of 0.9."""
     return jaccard.linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, share=(90, 100))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
