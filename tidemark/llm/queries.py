@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import feistel, jaccard, mixing, oracles, packing, quality, sharding, substrings, tokens, topk
+from tidemark.llm import feistel, jaccard, licenses, mixing, oracles, packing, quality, sharding, substrings, tokens, topk, urls
 from tidemark.llm.common import table
 
 
@@ -35,6 +35,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document, by sentence rules."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("license_sentences", "licenses", "unmatched")])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, and what of it fits 4096 tokens."""
     return tokens.token_counts(table(spark, sf_dir, "documents"))
@@ -56,14 +62,42 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, share=(90, 100))
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list for the pages: by the checksum of a domain (the last three labels of a host),
+    `ads` holds a third of the domains for 30 to 89 days and some again for good, `malware` a fifth
+    for good. The pages bring no list of their own; this one is a fixed rule on all their hosts."""
+    domain = F.array_join(F.slice(F.split(urls.host_of(F.col("url")), "\\."), -3, 3), ".")
+    three = F.size(F.split(urls.host_of(F.col("url")), "\\.")) >= 3
+    hosts = pages.where(three).select(domain.alias("host")).distinct().withColumn("c", F.crc32("host"))
+    row = lambda cond, name, action, day: F.when(cond, F.struct(F.lit(name).alias("list"), F.lit(action).alias("action"), day.alias("day")))
+    c = F.col("c")
+    rows = F.array_compact(F.array(
+        row(c % 3 == 0, "ads", "add", c % 300), row(c % 3 == 0, "ads", "remove", c % 300 + 30 + c % 60),
+        row(c % 6 == 0, "ads", "add", c % 300 + 100), row(c % 5 == 0, "malware", "add", c % 290),
+    ))
+    each = hosts.select("host", F.explode(rows).alias("r"))
+    return each.select("host", "r.list", "r.action", F.timestamp_seconds(F.lit(1704067200) + F.col("r.day") * 86400).alias("at"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a dated list active for every page when it was fetched; the fetch time is a fixed
+    rule on page_id, as pages bring none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 7919 % 365 * 86400 + F.col("page_id") * 31 % 86400)
+    found = urls.filter_urls(pages.withColumn("fetched_at", fetched), dated_entries(pages))
+    return found.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), F.array_join("matches", ",").alias("matches"), "blocked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_topk": op3_topk,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
@@ -118,4 +152,28 @@ SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id
 FROM pairs QUALIFY rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_sharding": OP2_SQL, "op3_topk": OP3_SQL}
+_HOST = r"nullif(rtrim(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), '(:[0-9]*)?$', ''), '.'), '')"
+
+OP9_SQL = f"""
+WITH {oracles.crc_table()},
+    given AS (SELECT page_id, {_HOST} AS host, 1704067200 + page_id * 7919 % 365 * 86400 + page_id * 31 % 86400 AS s FROM pages),
+    domains AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS d FROM given WHERE len(string_split(host, '.')) >= 3),
+    sums AS (SELECT d, {oracles.crc32('d')} AS c FROM domains, crc_table),
+    entries AS (
+        SELECT d, 'ads' AS list, 'add' AS action, c % 300 AS day FROM sums WHERE c % 3 = 0
+        UNION ALL SELECT d, 'ads', 'remove', c % 300 + 30 + c % 60 FROM sums WHERE c % 3 = 0
+        UNION ALL SELECT d, 'ads', 'add', c % 300 + 100 FROM sums WHERE c % 6 = 0
+        UNION ALL SELECT d, 'malware', 'add', c % 290 FROM sums WHERE c % 5 = 0),
+    last_entries AS (SELECT page_id, list, d, arg_max(action, (day, action)) AS action
+        FROM given JOIN entries ON (host = d OR ends_with(host, '.' || d)) AND 1704067200 + day * 86400 <= s GROUP BY ALL),
+    found AS (SELECT page_id, array_to_string(list_sort(list(list || ':' || d)), ',') AS matches FROM last_entries WHERE action = 'add' GROUP BY page_id)
+SELECT page_id, host, s AS fetched_s, coalesce(matches, '') AS matches, matches IS NOT NULL AS blocked FROM given LEFT JOIN found USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op2_sharding": OP2_SQL,
+    "op3_topk": OP3_SQL,
+    "op5_license_scan": licenses.oracle(),
+    "op9_url_filter": OP9_SQL,
+}
