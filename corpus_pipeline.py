@@ -1,8 +1,59 @@
-"""The training-data pipeline over documents; its stages follow."""
+"""The training-data pipeline over documents: quality rules, near-duplicate removal, substring
+dedup, mixing by source, and packing. Every stage is written as Parquet in the shared folder and
+read again, so a lost executor costs a part of one stage."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import jaccard, mixing, packing, quality, substrings
+from tidemark.llm.common import scratch, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep; trusted are those labelled quality 1."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.kept_documents(docs, trusted)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, Jaccard of 0.8 or more)."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the words in 35-word windows that start anywhere else."""
+    found = substrings.dedup_substrings(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of the documents: a row for each pass that takes words of one."""
+    found = mixing.mixed_documents(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids packed into sequences, a row per piece."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard", ngram_jaccard),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("lexical_packing", lexical_packing),
+]
+#: SQL can express neither the recompression, the random draws nor the tokenizer; the tests hold the
+#: stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch(stage(spark, docs, sf_dir), name)
+    return docs

@@ -112,6 +112,15 @@ def with_base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("n_repeat_words", covered.cast("long")).drop("_w", "_lines", "_g", "_s", "_m", "_t", "_p")
 
 
+def kept_documents(docs: DataFrame, trusted: DataFrame, **options: object) -> DataFrame:
+    """The documents that quality_verdicts keeps, with their own columns."""
+    judged = quality_verdicts(docs, trusted, **options)
+    # a column that is no function of the row keeps the optimizer from moving the filter below the
+    # projections, where it would evaluate every count anew for each use
+    once = F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))
+    return judged.withColumn("kept", once).where("kept").select(*docs.columns)
+
+
 def quality_verdicts(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING, max_trusted: int = MAX_TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the base counts, base_failed, n_grams, score (mean ratio in millionths,
     null without n-grams or model), and kept.
