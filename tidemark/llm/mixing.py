@@ -76,7 +76,7 @@ def stream_positions(docs: DataFrame, id_col: str, text_col: str, source_col: st
     ahead = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets_at = base.groupBy("source_key", "bucket").agg(F.sum(weight).alias("n")).select("source_key", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     inside = W.partitionBy("source_key", "bucket").orderBy(F.col("id").asc_nulls_first(), "row_hash").rowsBetween(W.unboundedPreceding, -1)
-    placed = base.withColumn("inside", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(buckets_at, ["source_key", "bucket"])
+    placed = base.withColumn("inside", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(buckets_at.hint("merge"), ["source_key", "bucket"])
     copies = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     return copies.select("id", "source", "source_key", "size", "row_hash", "copy", (F.col("ahead") + F.col("inside") + F.col("copy") * F.col("size")).alias("start"))
 
@@ -131,7 +131,8 @@ def mix_blocks(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share_percen
     )})
     ranges = draw_slots(slots.select("source_key", "source_no", "source_size", "goal", "n_slots"), shards, key)
     chunks = ranges.select("*", F.explode(F.sequence(F.col("low"), F.col("high") - 1, F.lit(RANGE).cast("long"))).alias("at"))
-    each = chunks.repartition("source_key", "shard", "at").select(
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = chunks.repartition(spread, "source_key", "shard", "at").select(
         "source_key", "source_no", "source_size", "goal", "shard", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + RANGE, F.col("high")) - 1)).alias("slot")
     )
     each = each.withColumn("n_blocks", blocks).withColumns({"pass": div(F.col("slot"), F.col("n_blocks")), "j": F.col("slot") % F.col("n_blocks")})
@@ -148,7 +149,7 @@ def mix_blocks(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share_percen
     each = each.withColumn("take", take).where("take > 0").select("source_key", "shard", "slot", "pass", "block", "take")
     pieces = placed.where("size > 0").select("*", F.explode(F.sequence(div(F.col("start"), block), div(F.col("start") + F.col("size") - 1, block))).alias("block"))
     pieces = pieces.withColumns({"from": F.greatest(F.col("start"), F.col("block") * block), "to": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)})
-    met = each.join(pieces, ["source_key", "block"]).withColumn("to", F.least("to", F.col("block") * block + F.col("take"))).where(F.col("from") < F.col("to"))
+    met = each.hint("merge").join(pieces, ["source_key", "block"]).withColumn("to", F.least("to", F.col("block") * block + F.col("take"))).where(F.col("from") < F.col("to"))
     placements = met.select(
         "shard", "source_key", "slot", "block", "pass", "id", "row_hash", "copy",
         (F.col("from") - F.col("start")).alias("first"), (F.col("to") - F.col("start")).alias("last"),
@@ -163,7 +164,7 @@ def mixed_sizes(docs: DataFrame, **options: object) -> DataFrame:
     row = ["source_key", "id", "row_hash", "copy"]
     taken = placements.groupBy(*row).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     matches = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in row]
-    joined = documents.alias("d").join(taken.alias("t"), matches[0] & matches[1] & matches[2] & matches[3], "left")
+    joined = documents.alias("d").join(taken.hint("merge").alias("t"), matches[0] & matches[1] & matches[2] & matches[3], "left")
     return joined.select("d.*", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -179,6 +180,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = W.partitionBy(id_col, "_row_hash", "_source_key").orderBy(F.lit(0))
     own = own.withColumn("_copy", (F.row_number().over(repeated) - 1).cast("long"))
     match = own[id_col].eqNullSafe(spans["_id"]) & (own["_row_hash"] == spans["_row_hash"]) & (own["_source_key"] == spans["_source_key"]) & (own["_copy"] == spans["_copy"])
-    joined = own.join(spans, match).withColumn("_w", words(F.col(text_col)))
+    joined = own.join(spans.hint("merge"), match).withColumn("_w", words(F.col(text_col)))
     cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_w"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " ")
     return joined.withColumn(text_col, F.when(F.col("_taken") == F.size("_w"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
