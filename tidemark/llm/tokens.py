@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Chunks and token pairs that a worker remembers; beyond it starts afresh, with the same results.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 SPACE = "▁"
 
 
@@ -59,28 +59,52 @@ class PrefixCounter:
         self.pieces = re.compile("(?s).+" if straddling else f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" + ("|\n" if cut else ""))
         self.tables: dict[str, bytes | tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
-
-    def encoded(self, text: str) -> list[str]:
-        """The tokens of a short text by merging the best neighbours, leftmost first."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        self.scripts: dict[int, tuple[list[float], list[str], list[str], bool]] = {}
+
+    def merges(self, token: int) -> tuple[list[float], list[str], list[str], bool]:
+        """How a token comes about: the scores of its merges in order, and its leftmost and
+        rightmost parts before each merge and at the end, and whether it ends as one part."""
+        found = self.scripts.get(token)
+        if found is None:
+            parts, score = list(self.names[token]), self.score
+            steps, left, right = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    s = score.get(parts[i] + parts[i + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, i
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                steps.append(best)
+                left.append(parts[0])
+                right.append(parts[-1])
+            found = self.scripts[token] = (steps, left, right, len(parts) == 1)
+        return found
 
     def goes_with(self, left: int, right: int) -> bool:
-        """Whether two tokens next to each other stay as they are."""
-        if len(self.pairs) >= 2 * REMEMBERED:
+        """Whether two tokens next to each other stay as they are: played merge by merge, best
+        first and leftmost of equals, no merge across their border comes up."""
+        steps, _, ends, whole = self.merges(left)
+        others, begins, _, other_whole = self.merges(right)
+        score, i, j, ok = self.score, 0, 0, whole and other_whole
+        while ok:
+            across = score.get(ends[i] + begins[j])
+            own = steps[i] if i < len(steps) else None
+            other = others[j] if j < len(others) else None
+            if across is not None and (own is None or across > own) and (other is None or across >= other):
+                ok = False
+            elif own is not None and (other is None or own >= other):
+                i += 1
+            elif other is not None:
+                j += 1
+            else:
+                break
+        if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
-        two = [self.names[left], self.names[right]]
-        found = self.pairs[left * self.size + right] = self.encoded("".join(two)) == two
-        return found
+        self.pairs[left * self.size + right] = ok
+        return ok
 
     def table(self, chunk: str) -> bytes | tuple[int, ...]:
         """Counts of the prefixes of 1, 2, ... characters of a chunk."""
