@@ -1,13 +1,15 @@
 """Exact substring dedup by recompression.
 
-Equal texts are first collapsed, which shuffles the texts once; everything later reads that
-exchange. Recompression (see recompress.py) then parses every distinct text into symbols named by
-content, and each window of `window` words is put under one symbol that the window alone
-determines, so that equal windows have the same symbol at the same place. The symbol with CONTEXT
-words on either side is the window's signature. Signatures that occur once reveal that none of
-their windows repeats: nine in ten windows leave here. For the others, the stretch that all windows
-of a symbol cover is compared by a 128-bit hash: where it occurs again, all its windows do. What
-remains, the ends of repeats, is decided window by window in the same manner.
+Recompression (see recompress.py) parses every text into symbols named by content, and each window
+of `window` words is put under one symbol that the window alone determines, so that equal windows
+have the same symbol at the same place. The symbol with CONTEXT words on either side is the
+window's signature. Signatures that occur once reveal that none of their windows repeats. For the
+others, the stretch that all windows of a symbol cover is compared by a 128-bit hash: where it
+occurs again, all its windows do. What remains, the ends of repeats, is decided window by window
+in the same manner, against one copy of each stretch found whole.
+
+About one row per ten words is shuffled for the signatures, and the texts themselves once: to the
+ranges that are looked at window by window and to what is removed, through the same exchange.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words
+from tidemark.llm.common import scratch, words
 from tidemark.llm.recompress import CONTEXT, LONGEST, Hasher, anchors
 
 WINDOW = 35
@@ -28,17 +30,6 @@ PART_WORDS = 400_000
 KEY = ["k1", "k2"]
 
 
-def text_key(joined: Column) -> list[Column]:
-    """A 128-bit key of a text's words."""
-    return [F.xxhash64(joined).alias("k1"), F.xxhash64(F.lit("other"), joined).alias("k2")]
-
-
-def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """k1, k2, body (the words joined by one space) and copies, one row per distinct body."""
-    body = docs.select(F.array_join(words(F.col(text_col)), " ").alias("body"))
-    return body.groupBy(*text_key(F.col("body"))).agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-
-
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """A batch in parts of bounded size: rows, all word hashes, and the place of each text's first."""
     column = batch.column(batch.schema.get_field_index("w"))
@@ -53,15 +44,20 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray,
         at = to
 
 
-def _hashed(body: Column) -> Column:
-    return F.transform(F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, " ")), lambda w: F.xxhash64(w)).alias("w")
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """The documents with k1 and k2, a 128-bit key of the text that copies share."""
+    return docs.withColumns({"k1": F.xxhash64(text_col), "k2": F.xxhash64(F.lit("other"), text_col)})
+
+
+def _hashed(text_col: str) -> Column:
+    return F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("w")
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def signatures(texts: DataFrame, window: int) -> DataFrame:
+def signatures(docs: DataFrame, window: int, text_col: str) -> DataFrame:
     """Rows sig, k1, k2, first, last, u1, u2: each symbol that names windows, the first and last of
     them, and a hash of all the words they cover. sig is null for windows of long runs."""
 
@@ -81,12 +77,12 @@ def signatures(texts: DataFrame, window: int) -> DataFrame:
                     pa.array((low - offset).astype(np.int32)), pa.array((high - offset).astype(np.int32)), _signed(one(low, high + window)), _signed(two(low, high + window)),
                 ], ["sig", *KEY, "first", "last", "u1", "u2"])
 
-    given = texts.select(*KEY, "copies", _hashed(F.col("body")))
+    given = docs.select(*KEY, _hashed(text_col))
     return given.mapInArrow(work, "sig long, k1 long, k2 long, first int, last int, u1 long, u2 long")
 
 
-def window_hashes(texts: DataFrame, window: int) -> DataFrame:
-    """Rows u1, u2, k1, k2, first, weight: the hash of every window in the ranges of a text. texts
+def window_hashes(docs: DataFrame, window: int, text_col: str) -> DataFrame:
+    """Rows u1, u2, k1, k2, first, weight: the hash of every window in the ranges of a text. docs
     has ranges, an array of (first, last, weight)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,78 +102,78 @@ def window_hashes(texts: DataFrame, window: int) -> DataFrame:
                     pa.array(place.astype(np.int32)), pa.array(np.repeat(weight, lengths).astype(np.int32)),
                 ], ["u1", "u2", *KEY, "first", "weight"])
 
-    given = texts.select(*KEY, "copies", _hashed(F.col("body")), "ranges")
+    # all columns are read, so that the plan shares the exchange of the documents with the caller's
+    rest = [c for c in docs.columns if c not in (*KEY, "ranges", "w")]
+    given = docs.select(*KEY, _hashed(text_col), "ranges", *rest)
     return given.mapInArrow(work, "u1 long, u2 long, k1 long, k2 long, first int, weight int")
 
 
-def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
-    """k1, k2 and spans, an array of (first, end) in words: all words of a distinct text that lie
-    in a window whose words also start elsewhere, in another distinct text or in the same."""
-    signed = signatures(texts, window)
+def repeated_spans(docs: DataFrame, window: int, text_col: str) -> DataFrame:
+    """k1, k2 and spans, a sorted array of (first, end) in words: all words of a text that lie in a
+    window whose words also start elsewhere. docs has k1 and k2."""
+    signed = signatures(docs, window, text_col)
     named = signed.where("sig is not null")
     twice = named.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
     shared = named.join(twice, "sig", "left_semi").unionByName(signed.where("sig is null"))
-    marked = shared.join(shared.groupBy("u1", "u2").agg(F.count("*").alias("n")), ["u1", "u2"]).withColumn("sig", F.coalesce("sig", F.lit(0)))
+    shared = scratch(shared, "shared")
+    counted = shared.groupBy("u1", "u2").agg(F.count("*").alias("n"))
+    marked = scratch(shared.join(counted, ["u1", "u2"]).withColumn("sig", F.coalesce("sig", F.lit(0))), "stretches")
     whole, rest = marked.where("n > 1"), marked.where("n = 1")
-    found = whole.select(*KEY, "first", (F.col("last") + window).alias("end"))
+    found = whole.select(*KEY, "first", (F.col("last") + window).alias("end")).distinct()
     # windows of the rest are looked up among themselves and in one copy of each stretch found
     # whole that has their signature; such a copy stands for two
     one_copy = whole.groupBy("u1", "u2").agg(F.min(F.struct(*KEY, "first", "last", "sig")).alias("s")).select("s.*")
     one_copy = one_copy.join(rest.select("sig").distinct(), "sig", "left_semi")
     looked = rest.select(*KEY, "first", "last", F.lit(1).alias("weight")).unionByName(one_copy.select(*KEY, "first", "last", F.lit(2).alias("weight")))
     looked = looked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "weight")).alias("ranges"))
-    each = window_hashes(texts.join(looked, KEY), window)
+    each = window_hashes(docs.join(looked.hint("merge"), KEY), window, text_col)
     again = each.groupBy("u1", "u2").agg(F.sum("weight").alias("n"), F.min("weight").alias("least")).where("n > 1 and least = 1")
     ends = each.where("weight = 1").join(again.select("u1", "u2"), ["u1", "u2"], "left_semi").select(*KEY, "first", (F.col("first") + window).alias("end"))
     return found.unionByName(ends).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
 
-def _kept(body: Column, spans: Column) -> Column:
-    """The body without the words in the sorted spans."""
-    w = F.split(body, " ")
+def _kept(w: Column, spans: Column) -> Column:
+    """The words outside the sorted spans."""
     step: Callable[[Column, Column], Column] = lambda s, r: F.struct(
         F.greatest(s["at"], r["end"]).alias("at"),
         F.when(r["first"] > s["at"], F.concat(s["keep"], F.array(F.struct(s["at"].alias("low"), r["first"].alias("high"))))).otherwise(s["keep"]).alias("keep"),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<low:int,high:int>>").alias("keep"))
     held = F.aggregate(spans, start, step, lambda s: F.concat(s["keep"], F.array(F.struct(s["at"].alias("low"), F.size(w).alias("high")))))
-    return F.array_join(F.flatten(F.transform(held, lambda r: F.slice(w, r["low"] + 1, r["high"] - r["low"]))), " ")
+    return F.flatten(F.transform(held, lambda r: F.slice(w, r["low"] + 1, r["high"] - r["low"])))
 
 
-def deduplicated_texts(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """k1, k2, n_words, n_removed and kept, the words left joined by one space, for every distinct
-    body of the documents. Every word in a window of `window` words that starts anywhere else is
-    removed, all copies alike; windows are judged on the input."""
+def with_spans(docs: DataFrame, window: int, text_col: str) -> DataFrame:
+    """The documents with k1, k2 and spans, null where nothing is removed."""
     if window < 2 * CONTEXT + 2 * LONGEST:
         raise ValueError(f"window must have at least {2 * CONTEXT + 2 * LONGEST} words")
-    texts = distinct_texts(docs, text_col)
-    spans = repeated_spans(texts, window)
-    n = F.when(F.col("body") == "", F.lit(0)).otherwise(F.size(F.split("body", " "))).cast("long")
-    joined = texts.join(spans, KEY, "left").withColumn("n_words", n)
-    copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    kept = F.when(copied, F.lit("")).when(F.col("spans").isNotNull(), _kept(F.col("body"), F.col("spans"))).otherwise(F.col("body"))
-    left = F.when(F.col("kept") == "", F.lit(0)).otherwise(F.size(F.split("kept", " ")))
-    return joined.withColumn("kept", kept).withColumn("n_removed", (F.col("n_words") - left).cast("long")).select(*KEY, "n_words", "n_removed", "kept")
+    given = keyed(docs, text_col)
+    return given.join(repeated_spans(given, window, text_col).hint("merge"), KEY, "left")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The documents with the words left as their text, joined by one space where any went, and
-    n_removed. A text that loses nothing stays as it is, white space included.
+    """The documents with the words left as their text, and n_removed. Every word in a window of
+    `window` words that starts anywhere else is removed, all copies alike; windows are judged on
+    the input. The words left are joined by one space; a text that loses nothing stays as it is.
 
     A null text stays null, an empty one empty; both lose nothing. Texts of any length are taken
     whole. Repeated rows of at least `window` words lose all their words, as each window occurs
-    again. An empty table gives no rows. A column named n_removed is replaced.
+    again. An empty table gives no rows. Columns named n_removed, k1, k2 or spans are replaced.
     """
-    plain = docs.drop("n_removed", "_k1", "_k2")
-    k1, k2 = text_key(F.array_join(words(F.col(text_col)), " "))
-    changed = deduplicated_texts(docs, window, text_col).where("n_removed > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_removed").alias("_n"), F.col("kept").alias("_kept"))
-    keyed = plain.withColumns({"_k1": k1, "_k2": k2}).join(changed, ["_k1", "_k2"], "left")
-    return keyed.withColumns({text_col: F.coalesce("_kept", text_col), "n_removed": F.coalesce("_n", F.lit(0))}).drop("_k1", "_k2", "_n", "_kept")
+    found = with_spans(docs.drop("n_removed", "k1", "k2", "spans", "ranges", "w"), window, text_col)
+    same = F.col("spans").isNull()
+    out = found.withColumn("_w", words(F.col(text_col))).withColumn("_kept", F.when(same, F.col("_w")).otherwise(_kept(F.col("_w"), F.col("spans"))))
+    text = F.when(same, F.col(text_col)).otherwise(F.array_join("_kept", " "))
+    return out.withColumns({"n_removed": (F.size("_w") - F.size("_kept")).cast("long"), text_col: text}).drop("_w", "_kept", "spans", *KEY)
 
 
 def dedup_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_removed and kept_sha256 of every document, as dedup_substrings leaves it with
-    words joined by one space."""
-    found = deduplicated_texts(docs, window, text_col).select(*KEY, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    keys = docs.select(F.col(id_col), *text_key(F.array_join(words(F.col(text_col)), " ")))
-    return keys.join(found, KEY).select(id_col, "n_words", "n_removed", "kept_sha256")
+    """id, n_words, n_removed and kept_sha256 (of the words left, joined by one space) of every
+    document, as dedup_substrings leaves it."""
+    found = with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window, "text")
+    found = found.select("id", "spans", words(F.col("text")).alias("w"))
+    found = found.select("id", "w", F.when(F.col("spans").isNull(), F.col("w")).otherwise(_kept(F.col("w"), F.col("spans"))).alias("kept"))
+    return found.select(
+        F.col("id").alias(id_col), F.size("w").cast("long").alias("n_words"), (F.size("w") - F.size("kept")).cast("long").alias("n_removed"),
+        F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256"),
+    )
