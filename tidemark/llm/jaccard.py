@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,8 +115,9 @@ def node_rows(docs: DataFrame, counts: np.ndarray, k: int, share: tuple[int, int
                     found, where = np.unique(places, return_index=True)
                     n = len(found)
                     sizes.append(n)
-                    one.append(int(mixed(found).sum(dtype=np.uint64)) if n else 0)
-                    two.append(int(mixed(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else 0)
+                    key = set_keys(found)
+                    one.append(key[0])
+                    two.append(key[1])
                     if (den - num) * n < num:  # so small a set is linked with equal ones only
                         prefixes.append(None)
                         bitmaps.append(None)
@@ -131,7 +132,7 @@ def node_rows(docs: DataFrame, counts: np.ndarray, k: int, share: tuple[int, int
                     odd = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
                     bitmaps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
+                    part.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())),
                 ], ["id", "n", "k1", "k2", "prefix", "bits"])
 
@@ -139,17 +140,27 @@ def node_rows(docs: DataFrame, counts: np.ndarray, k: int, share: tuple[int, int
     return given.mapInArrow(work, "id long, n long, k1 long, k2 long, prefix array<long>, bits array<long>")
 
 
+def set_keys(found: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set of shingle hashes, as two signed longs."""
+    if not len(found):
+        return 0, 0
+    both = np.array([mixed(found).sum(dtype=np.uint64), mixed(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+    return int(both[0]), int(both[1])
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node and items, the sorted shingle hashes, of documents with a binary text t."""
+    """node and items, the sorted shingle hashes, of documents with a binary text t; only of those
+    whose set has the key k1, k2 (an id may stand for several texts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), PART_TEXTS):
                 part = batch.slice(at, PART_TEXTS)
-                sets = [np.unique(shingle_hashes(word_hashes(t), k)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+                sets = [np.unique(shingle_hashes(word_hashes(t or b""), k)) for t in part.column(3).to_pylist()]
+                own = pa.array([set_keys(x) == key for x, key in zip(sets, zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "items"]).filter(own)
 
-    return docs.select("node", "t").mapInArrow(work, "node long, items array<long>")
+    return docs.select("node", "k1", "k2", "t").mapInArrow(work, "node long, items array<long>")
 
 
 def _allowed(n: Column, m: Column, share: tuple[int, int]) -> Column:
@@ -167,7 +178,9 @@ def _reachable(n: Column, i: Column, m: Column, j: Column, share: tuple[int, int
 
 
 def _pairs(df: DataFrame) -> DataFrame:
-    return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """Distinct unordered pairs a > b of a table of a and b; with a column p, p as well."""
+    more = [c for c in df.columns if c == "p"]
+    return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), *more).distinct()
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -175,7 +188,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFr
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     differing = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
-    return pairs.join(left, "a").join(right, "b").where(differing <= _allowed(F.col("na"), F.col("nb"), share)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(differing <= _allowed(F.col("na"), F.col("nb"), share)).select(*pairs.columns)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -187,10 +200,23 @@ def _measured(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return both.select("a", "b", d.alias("d"), (d <= _allowed(F.size("x"), F.size("y"), share)).alias("linked"))
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table of sets with those of the pairs' nodes that it lacks; mostly it lacks none."""
+    lacking = _nodes(pairs).join(sets.select("node"), "node", "left_anti")
+    lacking = scratch(lacking, "lacking")
+    return sets if lacking.isEmpty() else sets.unionByName(build(lacking))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
-    """The entries of the lists with the component of their node."""
+    """The entries of the lists with the component of their node, lists of one component left out."""
     found = components(edges)
-    return lists.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = scratch(lists.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+    several = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+    return named.join(several, "token", "left_semi")
 
 
 def _met(lists: DataFrame, largest: bool, share: tuple[int, int]) -> DataFrame:
@@ -205,7 +231,7 @@ def _met(lists: DataFrame, largest: bool, share: tuple[int, int]) -> DataFrame:
     room = F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("low"))
     probe = probe.where(2 * room >= F.col("n") + F.col("least") - _allowed(F.col("n"), F.col("least"), share))
     probe = probe.where((F.col("comp") != F.col("p.comp")) & _reachable(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), share))
-    return _pairs(probe.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
+    return _pairs(probe.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("p.node").alias("p")))
 
 
 def _left(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -220,14 +246,12 @@ def _left(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
     return _pairs(pairs.select("a", F.col("node").alias("b")))
 
 
-def _derived(pairs: DataFrame, known: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _derived(pairs: DataFrame, answers: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs with `verdict`: true or false where the distances of both sets to a common pivot
-    decide it, else null."""
-    both = known.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").unionByName(known.select(F.col("b").alias("x"), F.col("a").alias("p"), "d"))
+    decide it, else null. answers: x, p, d, the distances of sets to the pivots that they met."""
     size = nodes.select(F.col("node").alias("x"), "n")
-    one = both.select(F.col("x").alias("a"), "p", F.col("d").alias("da"))
-    two = both.select(F.col("x").alias("b"), "p", F.col("d").alias("db"))
-    # only pivots: nodes with many known distances; a set has few of them
+    one = answers.select(F.col("x").alias("a"), "p", F.col("d").alias("da"))
+    two = answers.select(F.col("x").alias("b"), "p", F.col("d").alias("db"))
     met = pairs.join(one, "a").join(two, ["b", "p"]).groupBy("a", "b").agg(F.min(F.col("da") + F.col("db")).alias("high"), F.max(F.abs(F.col("da") - F.col("db"))).alias("low"))
     sized = pairs.join(met, ["a", "b"], "left").join(size.withColumnsRenamed({"x": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"x": "b", "n": "nb"}), "b")
     most = _allowed(F.col("na"), F.col("nb"), share)
@@ -265,22 +289,32 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int]
     small = small.where(_reachable(F.col("l.m"), F.col("l.i"), F.col("r.m"), F.col("r.i"), share))
     short = scratch(_alike(_pairs(small.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))), slim, share), "pairs")
 
-    needed = short.select(F.col("a").alias("node")).unionByName(short.select(F.col("b").alias("node"))).unionByName(lists.select("node")).distinct()
-    wanted = ids.join(needed, "node").select("k1", "k2", "node")
-    # one document of each node: that with the smallest id
-    of_node = rows.join(wanted, ["k1", "k2"]).groupBy("node").agg(F.min("id").alias("id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    texts = texts.join(of_node, "id") if num else texts
-    sets = scratch(shingle_sets(texts.dropDuplicates(["node"]), k), "sets")
-
-    known = scratch(_measured(short, sets, share), "known")
-    for largest in (False, True):
-        fresh = _met(_labelled(lists, known.where("linked").select("a", "b")), largest, share).join(known, ["a", "b"], "left_anti")
-        measured = scratch(_measured(_alike(fresh, slim, share), sets, share), "known")
-        known = known.unionByName(measured)
-    last = _left(_labelled(lists, known.where("linked").select("a", "b")), share).join(known, ["a", "b"], "left_anti")
-    last = scratch(_derived(_alike(last, slim, share), known, slim, share), "last")
-    rest = _measured(last.where("verdict is null").select("a", "b"), sets, share)
+    def build(wanted: DataFrame) -> DataFrame:
+        """Sets of nodes, from one document of each: that with the smallest id."""
+        keys = ids.join(wanted, "node").select("k1", "k2", "node")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+        of_node = rows.join(keys, ["k1", "k2"]).groupBy("node").agg(F.min("id").alias("id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+        joined = texts.join(of_node.hint("merge"), texts["id"].eqNullSafe(of_node["id"])).select("node", "k1", "k2", "t")
+        return scratch(shingle_sets(joined, k).dropDuplicates(["node"]), "sets")
+
+    # the first pivots need no components: each set is its own
+    alone = lists.withColumn("comp", F.col("node"))
+    met = scratch(_alike(_met(alone, False, share), slim, share), "met")
+    first = short.unionByName(met.select("a", "b")).distinct()
+    sets = build(_nodes(first))
+    known = scratch(_measured(first, sets, share), "known")
+    fresh = _met(_labelled(lists, known.where("linked").select("a", "b")), True, share)
+    fresh = scratch(_alike(fresh.join(known.select("a", "b"), ["a", "b"], "left_anti"), slim, share), "met")
+    sets = _with_sets(fresh, sets, build)
+    known = known.unionByName(scratch(_measured(fresh.select("a", "b").distinct(), sets, share), "known"))
+    last = _left(_labelled(lists, known.where("linked").select("a", "b")), share).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    last = _alike(last, slim, share)
+    asked = met.unionByName(fresh).join(known, ["a", "b"])
+    answers = asked.select(F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a")).alias("x"), "p", "d").unionByName(asked.select(F.col("p").alias("x"), "p", F.lit(0).cast("long").alias("d"))).distinct()
+    last = scratch(_derived(last, answers, slim, share), "last")
+    open_pairs = last.where("verdict is null").select("a", "b")
+    sets = _with_sets(open_pairs, sets, build)
+    rest = _measured(open_pairs, sets, share)
     edges = known.where("linked").select("a", "b").unionByName(last.where("verdict").select("a", "b")).unionByName(rest.where("linked").select("a", "b"))
 
     found = ids.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
