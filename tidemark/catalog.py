@@ -1,10 +1,622 @@
-"""Registry of the engine's queries and of the SQL they are checked against."""
+"""Registry of the engine's queries and of the DuckDB SQL they are checked against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tidemark.functions import constants as C
+from tidemark.functions import scoring as N
+from tidemark.functions import text as X
+from tidemark.functions import vector as V
+from tidemark.operators import aggregates, categories, chunking, conversations, graph, knn, maintenance, rules, store
+from tidemark.plans import retrieval, tables
+from tidemark.plans.tables import NOW_SECONDS, SQL
+from tidemark.sources import pages
+from tidemark.streaming import access
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, with_tables: bool = True) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; sql goes behind the CTEs of the derived tables."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {SQL}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}" if with_tables else sql
+        return f
+
+    return register
+
+
+r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+_Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)"
+_COS = f"list_cosine_similarity(embedding, {_Q})"
+_KNN = "knn{k} AS (SELECT chunk_id, " + _COS + " AS score FROM chunks ORDER BY score DESC, chunk_id LIMIT {k})"
+
+
+# vector search
+
+
+@query(f"SELECT chunk_id, round({_COS}, 6) AS score FROM chunks ORDER BY {_COS} DESC, chunk_id LIMIT 10")
+def knn_topk(spark, d):
+    return knn.knn(tables.chunks(spark, d), tables.query_vector(spark, d), 10).select("chunk_id", r6("score"))
+
+
+@query(f"SELECT chunk_id, round({_COS}, 6) AS score FROM chunks WHERE source IN ('src1', 'src2') ORDER BY {_COS} DESC, chunk_id LIMIT 10")
+def knn_source_filter(spark, d):
+    return retrieval.search(tables.chunks(spark, d), tables.query_vector(spark, d), 10, ["src1", "src2"]).select("chunk_id", r6("score"))
+
+
+@query("""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT q.chunk_id AS query_id, c.chunk_id, list_cosine_similarity(c.embedding, q.embedding) AS score,
+    row_number() OVER (PARTITION BY q.chunk_id ORDER BY list_cosine_similarity(c.embedding, q.embedding) DESC, c.chunk_id)::INT AS rank
+    FROM chunks c, chunks q WHERE q.chunk_id < 8) WHERE rank <= 5""")
+def knn_multi_query(spark, d):
+    docs = tables.chunks(spark, d)
+    asked = docs.where("chunk_id < 8").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn.knn_frame(docs, asked, 5, cells=4).select("query_id", "chunk_id", r6("score"), "rank")
+
+
+@query("""SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity
+    FROM chunks a JOIN chunks b ON a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.4""")
+def near_duplicates(spark, d):
+    return knn.similar_pairs(tables.chunks(spark, d), 0.4).select("a", "b", r6("similarity"))
+
+
+@query("""SELECT a.chunk_id AS a, b.chunk_id AS b, CASE WHEN dd > 30 THEN 'supersede' WHEN dd < 1 AND s > 0.95 THEN 'merge' WHEN s < 0.9 THEN 'ignore' ELSE 'review' END AS action
+    FROM meta a JOIN meta b ON a.chunk_id < b.chunk_id, LATERAL (SELECT abs(epoch_us(a.created_at) - epoch_us(b.created_at)) / 8.64e10 AS dd,
+    list_cosine_similarity((SELECT embedding FROM chunks WHERE chunk_id = a.chunk_id), (SELECT embedding FROM chunks WHERE chunk_id = b.chunk_id)) AS s) WHERE s >= 0.4""")
+def potential_contradictions(spark, d):
+    pairs = knn.similar_pairs(tables.chunks(spark, d), 0.4)
+    at = tables.metadata(spark, d).select("chunk_id", "created_at")
+    named = pairs.join(at.withColumnsRenamed({"chunk_id": "a", "created_at": "ta"}), "a").join(at.withColumnsRenamed({"chunk_id": "b", "created_at": "tb"}), "b")
+    return knn.potential_contradictions(named.withColumn("days", F.abs(N.days_between(F.col("ta"), F.col("tb"))))).select("a", "b", "action")
+
+
+@query("""SELECT source, count(*) AS n, round((list_sum(list_transform(range(1, 65), lambda i: pow(list_sum(list_transform(list(u), lambda v: v[i])), 2))) - count(*)) / (count(*) * (count(*) - 1)), 6) AS average_similarity
+    FROM (SELECT source, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS u FROM chunks) GROUP BY source HAVING count(*) > 1""")
+def cluster_avg_similarity(spark, d):
+    return knn.average_similarity(tables.chunks(spark, d), "source").select("source", "n", r6("average_similarity"))
+
+
+@query("""SELECT a.chunk_id AS a, b.chunk_id AS b FROM (SELECT event_id AS chunk_id, epoch_us(ts) AS t FROM events) a
+    JOIN (SELECT event_id AS chunk_id, epoch_us(ts) AS t FROM events) b ON a.chunk_id < b.chunk_id AND abs(a.t - b.t) < 60000000""", with_tables=True)
+def interval_dup_pairs(spark, d):
+    items = tables.table(spark, d, "events").select(F.col("event_id").alias("chunk_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    return knn.interval_pairs(items).select("a", "b")
+
+
+# retrieval
+
+_META_HIT = "knn{k} JOIN meta USING (chunk_id)"
+_FINAL3 = "0.5 * score + 0.3 * decay_score + 0.2 * importance"
+
+
+@query(f"""+{_KNN.format(k=30)} SELECT chunk_id, chunk_type, round({_FINAL3}, 6) AS final_score FROM knn30 JOIN meta USING (chunk_id)
+    WHERE NOT is_archived AND decay_score >= 0.3 ORDER BY {_FINAL3} DESC, chunk_id LIMIT 10""")
+def enhanced_search(spark, d):
+    found = retrieval.enhanced_search(tables.chunks(spark, d), tables.metadata(spark, d), tables.query_vector(spark, d), 10, 0.3)
+    return found.select("chunk_id", "chunk_type", r6("final_score"))
+
+
+@query(f"""+{_KNN.format(k=20)} SELECT chunk_id, row_number() OVER (ORDER BY {_FINAL3} DESC, chunk_id)::INT AS result_rank FROM knn20 JOIN meta USING (chunk_id)
+    ORDER BY result_rank LIMIT 10""")
+def search_access_events(spark, d):
+    _, events = retrieval.search_with_events(tables.chunks(spark, d), tables.metadata(spark, d), tables.query_vector(spark, d), tables.now(), 10)
+    return events.select("chunk_id", "result_rank")
+
+
+_BOOST = "CASE chunk_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.TYPE_BOOSTS.items()) + " ELSE 1.0 END"
+_RECENCY = f"CASE WHEN last_accessed_at IS NULL THEN 0.0 ELSE 1 / (1 + ({NOW_SECONDS * 1_000_000} - epoch_us(last_accessed_at)) / 86400000000.0 / 7) END"
+
+
+def _final6(graph_boost: str, boost: str = _BOOST) -> str:
+    return f"0.35 * score + 0.20 * decay_score + 0.15 * importance + 0.10 * ({_RECENCY}) + 0.10 * {graph_boost} + 0.10 * ({boost} - 1)"
+
+
+@query(f"+{_KNN.format(k=50)} SELECT chunk_id, round({_final6('0.0')}, 6) AS final_score FROM knn50 JOIN meta USING (chunk_id)")
+def hybrid_score(spark, d):
+    hits = knn.knn(tables.chunks(spark, d), tables.query_vector(spark, d), 50)
+    return retrieval.hybrid_scores(hits, tables.metadata(spark, d), None, tables.now()).select("chunk_id", r6("final_score"))
+
+
+@query(f"""+{_KNN.format(k=45)}, es AS (SELECT chunk_id, score FROM knn45 JOIN meta USING (chunk_id) WHERE NOT is_archived AND decay_score >= 0.1 AND chunk_type IN ('solution') ORDER BY {_FINAL3} DESC, chunk_id LIMIT 15)
+    SELECT chunk_id, round({_final6('0.0', f'({_BOOST}) * 1.1')}, 6) AS final_score FROM es JOIN meta USING (chunk_id) WHERE {_final6('0.0', f'({_BOOST}) * 1.1')} >= 0.3
+    ORDER BY {_final6('0.0', f'({_BOOST}) * 1.1')} DESC, chunk_id LIMIT 5""")
+def hybrid_past_solutions(spark, d):
+    found = retrieval.past_solutions(tables.chunks(spark, d), tables.metadata(spark, d), None, tables.query_vector(spark, d), tables.now())
+    return found.select("chunk_id", r6("final_score"))
+
+
+@query("SELECT chunk_id, round(0.6 * importance + 0.4 * decay_score, 6) AS rank_score FROM meta WHERE chunk_type IN ('pattern', 'standard', 'decision') AND NOT is_archived AND chunk_id IN (SELECT chunk_id FROM items WHERE category = 'database') ORDER BY 0.6 * importance + 0.4 * decay_score DESC, chunk_id LIMIT 10")
+def project_patterns(spark, d):
+    return retrieval.project_patterns(tables.metadata(spark, d), tables.category_items(spark, d), "database").select("chunk_id", r6("rank_score"))
+
+
+@query(f"""+hops AS (SELECT chunk_id, {_COS} AS score, chunk_id AS ord FROM chunks WHERE chunk_id < 300 UNION ALL SELECT chunk_id, {_COS} * 0.5, chunk_id + 1000 FROM chunks WHERE chunk_id >= 200 AND chunk_id < 400)
+    SELECT chunk_id, round(arg_max(score, ord), 6) AS score, min(ord) AS first FROM hops GROUP BY chunk_id""")
+def multi_hop_merge(spark, d):
+    scored = knn.knn(tables.chunks(spark, d), tables.query_vector(spark, d), 100_000).select("chunk_id", "score")
+    one = scored.where("chunk_id < 300").withColumn("ord", F.col("chunk_id"))
+    two = scored.where("chunk_id >= 200 and chunk_id < 400").select("chunk_id", (F.col("score") * 0.5).alias("score"), (F.col("chunk_id") + 1000).alias("ord"))
+    return retrieval.merge_hops(one.unionByName(two)).select("chunk_id", r6("score"), "first")
+
+
+@query()
+def recursive_query(spark, d):
+    docs = tables.chunks(spark, d)
+    vectors = {q: tables.query_vector(spark, d, i) for i, q in enumerate(("what is first?", "why second?"), 1)}
+    embed = lambda text: vectors.get(text, vectors["why second?"])
+    found, _ = retrieval.recursive_query(docs, "what is first? and why second?", embed)
+    return found.select("chunk_id", r6("score"))
+
+
+@query("""SELECT chunk_id, max(strength) AS strength FROM (SELECT dst AS chunk_id, strength, row_number() OVER (PARTITION BY src ORDER BY strength DESC, dst) AS r FROM sym WHERE strength >= 0.4 AND src IN (
+    SELECT chunk_id FROM (SELECT chunk_id, score FROM (SELECT chunk_id, """ + _COS + """ AS score FROM chunks ORDER BY score DESC, chunk_id LIMIT 45) JOIN meta USING (chunk_id)
+    WHERE NOT is_archived AND decay_score >= 0.05 AND chunk_type IN ('solution', 'pattern', 'decision') ORDER BY """ + _FINAL3 + """ DESC, chunk_id LIMIT 15) JOIN meta USING (chunk_id) ORDER BY """ + _final6("0.0") + """ DESC, chunk_id LIMIT 3)) WHERE r <= 3 GROUP BY chunk_id ORDER BY 2 DESC, 1 LIMIT 5""")
+def similar_issues(spark, d):
+    return retrieval.similar_issues(tables.chunks(spark, d), tables.metadata(spark, d), tables.edges(spark, d), tables.query_vector(spark, d), tables.now())
+
+
+# decay and tables
+
+
+@query("SELECT chunk_id, round(decay_score, 6) AS decay_score FROM meta")
+def decay_scores(spark, d):
+    return tables.metadata(spark, d).select("chunk_id", r6("decay_score"))
+
+
+@query("""+days AS (SELECT chunk_id AS item, importance, unnest(range(31)) AS day FROM meta WHERE chunk_id < 50), hits AS (SELECT item, day, importance, (SELECT count(*) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS n, (SELECT max(x) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS last FROM days)
+    SELECT item, day::INT AS day, round(greatest(0.0, least(1.0, 0.3 / (1 + day / 60) + 0.3 * CASE WHEN last IS NOT NULL AND day - last <= 7 THEN least(1.0, least(1.0, n / 5) * (1 + 0.5 * (1 - (day - last) / 7))) ELSE least(1.0, n / 5) END + 0.4 * importance)), 6) AS score FROM hits""")
+def decay_simulation(spark, d):
+    items = tables.metadata(spark, d).where("chunk_id < 50").select(F.col("chunk_id").alias("item"), "importance")
+    seen = items.select("item", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("day")).where(F.col("day") % (2 + F.col("item") % 5) == 0)
+    return N.simulate_decay(items, 30, seen).select("item", "day", r6("score"))
+
+
+@query("SELECT chunk_id, is_archived OR decay_score < 0.3 AS is_archived FROM meta")
+def archive_stale(spark, d):
+    return store.archive_below(tables.metadata(spark, d), 0.3).select("chunk_id", "is_archived")
+
+
+@query("SELECT chunk_id FROM meta WHERE decay_score < 0.3 AND NOT is_archived")
+def archival_candidates(spark, d):
+    return store.archival_candidates(tables.metadata(spark, d), 0.3).select("chunk_id")
+
+
+@query(f"SELECT chunk_id FROM meta WHERE created_at < make_timestamp({NOW_SECONDS - 180 * 86400}000000) AND access_count = 0")
+def old_unused(spark, d):
+    return store.old_unused(tables.metadata(spark, d), tables.now()).select("chunk_id")
+
+
+@query("SELECT chunk_id, round(decay_score, 6) AS decay_score FROM meta WHERE NOT is_archived AND decay_score >= 0.3 AND chunk_type IN ('solution', 'pattern')")
+def metadata_filter(spark, d):
+    return store.select_metadata(tables.metadata(spark, d), False, 0.3, ["solution", "pattern"]).select("chunk_id", r6("decay_score"))
+
+
+_UNTIL = "(SELECT max(accessed_at) FROM access_log)"
+_HOT = f"hot AS (SELECT chunk_id, count(*) AS accesses FROM access_log WHERE accessed_at > {_UNTIL} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)"
+
+
+@query(f"+{_HOT} SELECT * FROM hot")
+def hot_items_24h(spark, d):
+    log = tables.access_log(spark, d)
+    return maintenance.hot_items(log, F.lit(log.agg(F.max("accessed_at")).first()[0]))
+
+
+@query(f"+{_HOT} SELECT chunk_id, round(CASE WHEN chunk_id IN (SELECT chunk_id FROM hot) THEN least(1.0, importance + 0.05) ELSE importance END, 6) AS importance FROM meta")
+def promote_hot_items(spark, d):
+    return maintenance.promote(tables.metadata(spark, d), hot_items_24h(spark, d)).select("chunk_id", r6("importance"))
+
+
+@query("SELECT chunk_id, count(*) AS accesses, epoch_us(max(accessed_at)) AS last_us FROM access_log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def access_stats(spark, d):
+    return aggregates.access_stats(tables.access_log(spark, d)).select("chunk_id", "accesses", F.unix_micros("last_access").alias("last_us"))
+
+
+@query("SELECT count(*) AS total, count_if(NOT is_archived)::BIGINT AS active, count_if(is_archived)::BIGINT AS archived, round(avg(decay_score) FILTER (NOT is_archived), 6) AS avg_decay, round(avg(importance) FILTER (NOT is_archived), 6) AS avg_importance FROM meta")
+def memory_stats(spark, d):
+    return aggregates.memory_stats(tables.metadata(spark, d)).select("total", "active", "archived", r6("avg_decay"), r6("avg_importance"))
+
+
+@query("SELECT chunk_type, count(*) AS n FROM meta WHERE NOT is_archived GROUP BY 1")
+def chunks_by_type(spark, d):
+    return aggregates.chunks_by_type(tables.metadata(spark, d))
+
+
+@query("SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 'code' ELSE chunk_type END AS chunk_type, round(importance, 6) AS importance FROM meta UNION ALL SELECT chunk_id + 1000000, 'code', 0.5 FROM meta WHERE chunk_id % 3 = 0")
+def meta_upsert(spark, d):
+    m = tables.metadata(spark, d).select("chunk_id", "source", "chunk_type", "importance")
+    some = m.where("chunk_id % 3 = 0")
+    new = some.select("chunk_id", F.lit("code").alias("chunk_type")).unionByName(some.select((F.col("chunk_id") + 1000000).alias("chunk_id"), F.lit("code").alias("chunk_type")))
+    return store.merge_metadata(m, new).select("chunk_id", "chunk_type", r6("importance"))
+
+
+@query("SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 'unknown' ELSE source END AS source, CASE WHEN chunk_id % 3 = 0 THEN 0.5 ELSE round(importance, 6) END AS importance FROM meta")
+def meta_upsert_resetting(spark, d):
+    m = tables.metadata(spark, d).select("chunk_id", "source", "chunk_type", "importance")
+    new = m.where("chunk_id % 3 = 0").select("chunk_id", F.lit("code").alias("chunk_type"))
+    return store.merge_metadata(m, new, mode="reference").select("chunk_id", "source", r6("importance"))
+
+
+@query("SELECT from_id, to_id, rel_type, round(CASE WHEN from_id % 4 = 0 THEN 0.9 ELSE strength END, 6) AS strength, CASE WHEN from_id % 8 = 0 THEN 'new' ELSE 'old' END AS metadata FROM edges")
+def edge_upsert(spark, d):
+    e = tables.edges(spark, d).withColumn("metadata", F.lit("old"))
+    new = e.where("from_id % 4 = 0").select("from_id", "to_id", "rel_type", F.lit(0.9).alias("strength"), F.when(F.col("from_id") % 8 == 0, "new").alias("metadata"))
+    return store.merge_edges(e, new).select("from_id", "to_id", "rel_type", r6("strength"), "metadata")
+
+
+@query("SELECT 'metadata' AS t, count(*) AS n FROM meta WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'access_log', count(*) FROM access_log WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'category_items', count(*) FROM items WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'edges', count(*) FROM edges WHERE from_id % 7 <> 0 AND to_id % 7 <> 0")
+def cascade_delete(spark, d):
+    given = {"metadata": tables.metadata(spark, d), "access_log": tables.access_log(spark, d), "category_items": tables.category_items(spark, d), "edges": tables.edges(spark, d)}
+    gone = spark.range(0, 1_000_000, 7).select(F.col("id").alias("chunk_id"))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t, df in store.cascade_delete(given, gone).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("SELECT chunk_id, access_count + coalesce(n, 0) AS access_count FROM meta LEFT JOIN (SELECT chunk_id, count(*) AS n FROM access_log WHERE accessed_at > TIMESTAMP '2024-01-20' GROUP BY 1) USING (chunk_id)")
+def record_access(spark, d):
+    events = tables.access_log(spark, d).where("accessed_at > timestamp '2024-01-20'")
+    return store.record_access(tables.metadata(spark, d), events).select("chunk_id", "access_count")
+
+
+@query(f"SELECT chunk_id, max(reason) AS reason FROM (SELECT chunk_id, 'unused' AS reason FROM meta WHERE created_at < make_timestamp({NOW_SECONDS - 180 * 86400}000000) AND access_count = 0 UNION ALL SELECT chunk_id, 'weak' FROM meta WHERE is_archived AND decay_score < 0.1) GROUP BY 1")
+def cleanup_dry_run(spark, d):
+    return maintenance.cleanup(tables.metadata(spark, d), tables.now())
+
+
+@query("SELECT count_if(NOT is_archived)::BIGINT AS updated, count_if(NOT is_archived AND decay_score < 0.2)::BIGINT AS archived FROM meta")
+def maintenance_decay(spark, d):
+    return maintenance.recompute_decay(tables.metadata(spark, d), tables.now(), 0.2)[1]
+
+
+# graph
+
+
+@query("SELECT src, dst, rel_type, round(strength, 6) AS strength FROM sym")
+def symmetric_edges(spark, d):
+    return graph.symmetric(tables.edges(spark, d)).select("src", "dst", "rel_type", r6("strength"))
+
+
+@query("SELECT DISTINCT dst AS related_id FROM sym WHERE src = 10")
+def related_ids(spark, d):
+    return graph.related_ids(tables.edges(spark, d), 10)
+
+
+@query("SELECT from_id, to_id, rel_type FROM edges UNION ALL SELECT to_id, from_id, rel_type FROM edges WHERE rel_type IN ('relates_to', 'similar_to', 'contradicts')")
+def edges_with_reverse(spark, d):
+    return graph.with_reverse(tables.edges(spark, d)).select("from_id", "to_id", "rel_type")
+
+
+_BFS = """seeds AS (SELECT chunk_id FROM chunks WHERE chunk_id IN (5, 17, 120)), g AS (SELECT * FROM sym WHERE strength >= 0.3),
+l1 AS (SELECT chunk_id AS seed, dst AS node, arg_min(strength, (from_id, to_id, rel_type)) AS strength, min((from_id, to_id, rel_type)) AS e1 FROM seeds JOIN g ON src = chunk_id WHERE dst <> chunk_id GROUP BY 1, 2),
+l2 AS (SELECT seed, dst AS node, arg_min(g.strength, (e1, (from_id, to_id, rel_type))) AS strength FROM l1 JOIN g ON g.src = l1.node WHERE dst <> seed AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.seed = l1.seed AND x.node = g.dst) GROUP BY 1, 2),
+reach AS (SELECT seed, node, 1 AS depth, strength FROM l1 UNION ALL SELECT seed, node, 2, strength FROM l2)"""
+
+
+@query(f"+{_BFS} SELECT seed, node, depth, round(strength, 6) AS strength FROM reach")
+def graph_bfs_depth2(spark, d):
+    seeds = spark.createDataFrame([(5,), (17,), (120,)], "chunk_id long")
+    return graph.traverse(tables.edges(spark, d), seeds).select("seed", "node", "depth", r6("strength"))
+
+
+@query(f"+{_BFS} SELECT node AS chunk_id, round(max(strength / (1 + depth)), 6) AS graph_boost FROM reach GROUP BY 1")
+def graph_boost(spark, d):
+    seeds = spark.createDataFrame([(5,), (17,), (120,)], "chunk_id long")
+    return graph.graph_boosts(tables.edges(spark, d), seeds).select("chunk_id", r6("graph_boost"))
+
+
+@query(f"+{_BFS} SELECT node AS related_id, depth > 1 AS is_transitive, round(strength, 6) AS strength FROM reach WHERE seed = 5 ORDER BY reach.strength DESC, node LIMIT 5")
+def find_related(spark, d):
+    return graph.find_related(tables.edges(spark, d), 5, limit=5).select("related_id", "is_transitive", r6("strength"))
+
+
+@query("SELECT CASE WHEN from_id = 17 THEN to_id ELSE from_id END AS other_id, rel_type FROM edges WHERE (rel_type IN ('contradicts', 'invalidated_by') AND (from_id = 17 OR to_id = 17)) OR (rel_type = 'supersedes' AND to_id = 17)")
+def contradictions(spark, d):
+    return graph.contradictions(tables.edges(spark, d), 17).select("other_id", "rel_type")
+
+
+@query("""+newer AS (SELECT to_id AS old, min(from_id) AS new FROM edges WHERE rel_type = 'supersedes' GROUP BY 1),
+    chain AS (SELECT chunk_id, [chunk_id] AS c, false AS done FROM chunks WHERE chunk_id < 100 UNION ALL SELECT chunk_id, list_append(c, new), list_contains(c, new) FROM chain JOIN newer ON c[-1] = old WHERE NOT done)
+    SELECT chunk_id, arg_max(array_to_string(c, ','), len(c)) AS chain, arg_max(c[-1], len(c)) AS latest FROM chain GROUP BY 1""")
+def supersession_chain(spark, d):
+    seeds = tables.chunks(spark, d).where("chunk_id < 100")
+    return graph.supersession_chains(tables.edges(spark, d), seeds).select("chunk_id", F.array_join("chain", ",").alias("chain"), "latest")
+
+
+_SIM = "links AS (SELECT a.chunk_id AS x, b.chunk_id AS y FROM chunks a JOIN chunks b ON a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.35)"
+
+
+@query(f"+{_SIM}, both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), walk(x, y) AS (SELECT x, x FROM both_ways UNION SELECT walk.x, b.y FROM walk JOIN both_ways b ON walk.y = b.x) SELECT x AS node, min(y) AS component FROM walk GROUP BY 1")
+def connected_components(spark, d):
+    pairs = knn.similar_pairs(tables.chunks(spark, d), 0.35)
+    return graph.components(pairs.select(F.col("a").alias("from_id"), F.col("b").alias("to_id")))
+
+
+@query("""+ends AS (SELECT m.chunk_id, count(e.from_id) AS c FROM meta m LEFT JOIN edges e ON e.from_id = m.chunk_id OR e.to_id = m.chunk_id GROUP BY 1)
+    SELECT sum(c)::BIGINT // 2 AS total_relationships, round((sum(c)::BIGINT // 2) / count_if(c > 0), 6) AS avg_relationships, count_if(c = 0)::BIGINT AS isolated_chunks FROM ends""")
+def graph_stats(spark, d):
+    return graph.graph_stats(tables.edges(spark, d), tables.metadata(spark, d)).select("total_relationships", r6("avg_relationships"), "isolated_chunks")
+
+
+@query("SELECT rel_type, count(*) AS n FROM meta m JOIN edges e ON e.from_id = m.chunk_id OR e.to_id = m.chunk_id GROUP BY 1")
+def edges_by_type(spark, d):
+    return graph.edges_by_type(tables.edges(spark, d), tables.metadata(spark, d))
+
+
+@query("SELECT m.chunk_id, count(*) AS connections FROM meta m JOIN edges e ON e.from_id = m.chunk_id OR e.to_id = m.chunk_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_hubs(spark, d):
+    return graph.hubs(tables.edges(spark, d), tables.metadata(spark, d))
+
+
+@query("SELECT chunk_id FROM meta WHERE chunk_id NOT IN (SELECT from_id FROM edges WHERE from_id % 4 = 0) AND chunk_id NOT IN (SELECT to_id FROM edges WHERE from_id % 4 = 0)")
+def isolated_chunks(spark, d):
+    return graph.isolated(tables.edges(spark, d).where("from_id % 4 = 0"), tables.metadata(spark, d))
+
+
+# categories
+
+
+@query("SELECT category, count(*) AS items, round(avg(relevance), 6) AS avg_relevance FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY assigned_at DESC, chunk_id) AS r FROM items) WHERE r <= 100 GROUP BY 1")
+def category_stats(spark, d):
+    return categories.category_stats(tables.category_items(spark, d)).select("category", "items", r6("avg_relevance"))
+
+
+@query("SELECT category, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY relevance DESC, chunk_id)::INT AS rank FROM items) WHERE rank <= 5")
+def category_items_topn(spark, d):
+    return categories.items_top(tables.category_items(spark, d), 5).select("category", "chunk_id", "rank")
+
+
+@query("""+recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY assigned_at DESC, chunk_id) AS r FROM items) JOIN meta USING (chunk_id) WHERE r <= 20), kinds AS (SELECT category, chunk_type, count(*) AS n FROM recent GROUP BY 1, 2)
+    SELECT category, sum(n)::BIGINT AS items, string_agg(n || ' ' || chunk_type || '(s)', ', ' ORDER BY n DESC, chunk_type) AS breakdown FROM kinds GROUP BY 1""")
+def summary_histogram(spark, d):
+    return categories.summaries(tables.category_items(spark, d), tables.metadata(spark, d)).select("category", "items", "breakdown")
+
+
+_WORDS = [("the", "authentication", 0.8), ("test", "testing", 0.6), ("ing", "performance", 0.5), ("est", "debugging", 0.7), ("die", "standards", 0.9), ("que", "api", 0.8), ("ung", "database", 0.4), ("con", "devops", 0.9), ("and", "testing", 0.9)]
+_WORDS_SQL = ", ".join(f"('{k}', '{c}', {w})" for k, c, w in _WORDS)
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
+    return docs.withColumn("content_tags", F.array_compact(F.array(*[F.when(F.contains(F.lower("content"), F.lit(k)), F.lit(t)) for k, t in (("rea", "react"), ("api", "api"), ("log", "login"), ("test", "testing"), ("mod", "mod"))])))
+
+
+_TAGGED = "tagged AS (SELECT doc_id AS chunk_id, text AS content, source, lang, list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{t}' END" for k, t in (("rea", "react"), ("api", "api"), ("log", "login"), ("test", "testing"), ("mod", "mod"))) + "], lambda x: x IS NOT NULL) AS tags FROM documents)"
+_DEFS = "defs AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}', {t})" for n, s, t in C.CATEGORIES) + ") v(category, description, ctags))"
+_CLASS = f"""{_TAGGED}, {_DEFS}, ts AS (SELECT chunk_id, category, len(list_filter(tags, lambda t: len(list_filter(ctags, lambda c: contains(t, c) OR contains(c, t))) > 0)) / len(tags) AS s FROM tagged, defs WHERE len(tags) > 0),
+ks AS (SELECT chunk_id, category, least(1.0, sum(w) / 2) AS k FROM tagged JOIN (VALUES {_WORDS_SQL}) v(kw, category, w) ON contains(lower(content), kw) GROUP BY 1, 2 HAVING least(1.0, sum(w) / 2) >= 0.4),
+scored AS (SELECT chunk_id, category, CASE WHEN s IS NULL THEN k ELSE least(1.0, s + 0.3 * coalesce(k, 0)) END AS relevance FROM (SELECT * FROM ts WHERE s >= 0.4) FULL JOIN ks USING (chunk_id, category))"""
+
+
+@query(f"+{_CLASS} SELECT chunk_id, category, round(relevance, 6) AS relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(relevance, 9) DESC, category)::INT AS rank FROM scored) WHERE rank <= 3")
+def category_classify(spark, d):
+    docs = _tagged(spark, d)
+    tags = categories.tag_scores(docs, categories.definitions(spark))
+    words = categories.keyword_scores(docs, _WORDS)
+    both = categories.classify(tags.withColumn("tag_score", F.round("tag_score", 12)), words.withColumn("keyword_score", F.round("keyword_score", 12)))
+    return both.select("chunk_id", "category", r6("relevance"), "rank")
+
+
+@query(f"+{_DEFS}, q AS (SELECT unnest(['how', 'does', 'the', 'login', 'api', 'test']) AS w) SELECT category, round(least(1.0, sum(CASE WHEN contains(category, w) THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(description), w) THEN 0.2 ELSE 0 END + CASE WHEN len(list_filter(ctags, lambda t: contains(t, w) OR contains(w, t))) > 0 THEN 0.25 ELSE 0 END))::DOUBLE, 6) AS relevance FROM defs, q GROUP BY 1 HAVING relevance > 0 ORDER BY 2 DESC, 1 LIMIT 3")
+def category_select(spark, d):
+    counts = categories.category_counts(tables.category_items(spark, d))
+    return categories.select_categories(spark, "How does the login api test", counts).select("category", r6("relevance"))
+
+
+# text, grouping and rules over documents
+
+
+@query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n, arg_min(text, doc_id)[1:200] AS preview FROM documents GROUP BY 1", with_tables=False)
+def list_sources(spark, d):
+    return aggregates.list_sources(tables.table(spark, d, "documents"))
+
+
+_HASH = "md5(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))[1:16]"
+
+
+@query(f"SELECT doc_id, {_HASH} AS content_hash FROM documents", with_tables=False)
+def content_hash(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", X.normalised_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT {_HASH} AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1", with_tables=False)
+def exact_duplicates(spark, d):
+    return rules.exact_duplicates(tables.table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '\\b(the|ing|der|que|los|test)\\b'))) AS n_tags, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(the|ing|der|que|los|test)\\b'))), ',') AS tags FROM documents", with_tables=False)
+def extract_tags(spark, d):
+    tags = X.tech_tags(F.col("text"), [r"\b(the|ing|der)\b", r"\b(que|los|test)\b"])
+    return tables.table(spark, d, "documents").select("doc_id", F.size(tags).cast("long").alias("n_tags"), F.array_join(F.sort_array(tags), ",").alias("tags"))
+
+
+@query("""SELECT doc_id, i::INT AS i, md5(text[i * 900 + 1:i * 900 + 1000]) AS h FROM (SELECT doc_id, text, unnest(range(greatest(ceil((length(text) - 1000) / 900)::BIGINT, 0) + 1)) AS i FROM documents WHERE length(text) > 0)""", with_tables=False)
+def char_chunks(spark, d):
+    docs = tables.table(spark, d, "documents").select("doc_id", F.posexplode(X.char_chunks(F.col("text"), 1000, 100)).alias("i", "c"))
+    return docs.select("doc_id", "i", F.md5("c").alias("h"))
+
+
+@query("SELECT doc_id, length(CASE WHEN length(text) > 2000 THEN text[1:1997] || '...' ELSE text END)::INT AS n FROM documents", with_tables=False)
+def truncate_content(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", F.length(X.truncated(F.col("text"))).alias("n"))
+
+
+@query()
+def window_chunks(spark, d):
+    found = chunking.chunk_documents(tables.table(spark, d, "documents"), 256, 25)
+    return found.select("doc_id", "index", F.md5("content").alias("h"))
+
+
+@query("SELECT chunk_id, unnest(CASE WHEN len(g) = 0 THEN ['_other'] ELSE g END) AS \"group\" FROM (SELECT doc_id AS chunk_id, list_filter([CASE WHEN contains(lower(text), 'then') THEN 'then' END, CASE WHEN contains(lower(text), 'ung') THEN 'ung' END], lambda x: x IS NOT NULL) AS g FROM documents)", with_tables=False)
+def keyword_groups(spark, d):
+    return chunking.keyword_groups(_tagged(spark, d), ["then", "ung", "(broken"]).select("chunk_id", "group")
+
+
+@query("SELECT page_id AS chunk_id, regexp_replace(regexp_replace(url, '^\\w+://', ''), '[?#].*$', '').string_split('/')[-1] AS \"group\" FROM pages", with_tables=False)
+def structural_groups(spark, d):
+    docs = tables.table(spark, d, "pages").select(F.col("page_id").alias("chunk_id"), "url")
+    return chunking.structural_groups(docs, "url").select("chunk_id", "group")
+
+
+@query("SELECT chunk_id, CASE WHEN importance >= 0.7 THEN 'high' WHEN importance >= 0.4 THEN 'medium' ELSE 'low' END AS \"group\" FROM meta")
+def importance_groups(spark, d):
+    return chunking.importance_groups(tables.metadata(spark, d)).select("chunk_id", "group")
+
+
+@query("SELECT doc_id AS chunk_id, 'batch_' || ((row_number() OVER (ORDER BY doc_id) - 1) // 10) AS \"group\" FROM documents", with_tables=False)
+def uniform_batches(spark, d):
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+    return chunking.uniform_groups(docs, 10).select("chunk_id", "group")
+
+
+@query()
+def semantic_groups(spark, d):
+    found = chunking.semantic_groups(tables.chunks(spark, d), 5)
+    return found.groupBy("group").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT source) AS files, count(*) AS rules, sum(ceil(length(text) / 4))::BIGINT AS tokens FROM documents", with_tables=False)
+def report_summary(spark, d):
+    return rules.report_summary(tables.table(spark, d, "documents").withColumnRenamed("text", "content"))
+
+
+_DOC_TAGS = "string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g')[1:40], ' ')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_distinct(list_filter({_DOC_TAGS}, lambda x: x <> '')) AS tags FROM documents)
+    SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS jaccard FROM t a JOIN t b ON a.doc_id < b.doc_id
+    WHERE len(list_distinct(list_concat(a.tags, b.tags))) > 0 AND len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) >= 0.6""", with_tables=False)
+def jaccard_pairs(spark, d):
+    tags = F.filter(F.split(F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 40), " "), lambda x: x != "")
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), tags.alias("tags"))
+    return rules.tag_pairs(docs, 0.6).select("a", "b", r6("jaccard"))
+
+
+@query("""SELECT doc_id, round(greatest(CASE WHEN age > 365 THEN 0.4 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 0.6 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\\b(deprecated|legacy|obsolete)\\b') THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS confidence
+    FROM (SELECT doc_id, text, doc_id % 800 + 0.5 AS age FROM documents) WHERE age > 365 OR regexp_matches(text, '(?i)\\bthe\\b') OR regexp_matches(text, '(?i)\\b(deprecated|legacy|obsolete)\\b')""", with_tables=False)
+def outdated_refs(spark, d):
+    at = F.timestamp_seconds(F.lit(NOW_SECONDS) - (F.col("doc_id") % 800 * 86400 + 43200))
+    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), at.alias("last_modified"))
+    return rules.outdated(docs, tables.now(), [], [(r"\bthe\b", "says the")]).select("doc_id", r6("confidence"))
+
+
+@query()
+def rules_conflicts(spark, d):
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), F.col("text").alias("content"))
+    pairs = docs.select(F.col("rule_id").alias("a"), (F.col("rule_id") + 1).alias("b"))
+    return rules.conflicts(docs, pairs)
+
+
+@query()
+def frontmatter_parse(spark, d):
+    head = F.concat(F.lit("---\ntitle: doc "), F.col("doc_id").cast("string"), F.lit("\ntags: [a, b]\nempty:\n---\n"), F.col("text"))
+    docs = tables.table(spark, d, "documents").select("doc_id", head.alias("content"))
+    return rules.with_frontmatter(docs).select("doc_id", "frontmatter", F.length("body").alias("n"))
+
+
+@query("SELECT greatest((SELECT sum(ceil(length(text) / 4) - ceil(length(text) / 8))::BIGINT FROM documents WHERE doc_id % 10 = 0) + (SELECT sum(least(doc_id % 7, doc_id % 5))::BIGINT FROM documents WHERE doc_id % 3 < 2), 0) AS tokens_saved", with_tables=False)
+def token_savings(spark, d):
+    docs = tables.table(spark, d, "documents")
+    merges = docs.where("doc_id % 10 = 0").select(N.token_estimate(F.col("text")).alias("before"), F.ceil(F.length("text") / 8).alias("after"))
+    kept = F.element_at(F.array(F.lit("keep_newer"), F.lit("keep_specific"), F.lit("merge")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return rules.savings(merges, docs.select(kept.alias("recommendation"), (F.col("doc_id") % 7).alias("tokens_a"), (F.col("doc_id") % 5).alias("tokens_b")))
+
+
+@query(f"+{_KNN.format(k=60)} SELECT round(least(1.0, least(count_if(score > 0.1) / 10, 0.9) + least(max(chunk_id % 3) * 0.1, 0.2)), 6) AS confidence FROM (SELECT chunk_id, score FROM knn60)")
+def confidence(spark, d):
+    hits = knn.knn(tables.chunks(spark, d), tables.query_vector(spark, d), 60)
+    return aggregates.confidence(hits.select((F.col("score") + 0.6).alias("score"), (F.col("chunk_id") % 3).alias("iteration"))).select(r6("confidence"))
+
+
+@query("SELECT sum(length(text))::BIGINT AS chars, CASE WHEN sum(length(text)) < 50000 THEN 'simple' WHEN sum(length(text)) < 200000 THEN 'moderate' ELSE 'complex' END AS complexity FROM documents WHERE source = 'src1'", with_tables=False)
+def complexity(spark, d):
+    return aggregates.complexity(tables.table(spark, d, "documents").where("source = 'src1'"), "text")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE regexp_matches(text, '(?i)then') OR regexp_matches(text, '(?i)schul') ORDER BY n_chars DESC, doc_id LIMIT 50", with_tables=False)
+def prefilter(spark, d):
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("n_chars").alias("importance"))
+    return retrieval.prefilter(docs, ["then", "schul"]).select("chunk_id")
+
+
+# conversations
+
+
+@query("""WITH n AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations WHERE role IN ('user', 'assistant')), g AS (SELECT conv_id, x, max(text) FILTER (role = 'user') AS q, count(*) FILTER (role = 'assistant') AS a, max(x) OVER (PARTITION BY conv_id) AS l FROM n WHERE x > 0 GROUP BY conv_id, x)
+    SELECT conv_id, x::BIGINT AS exchange, md5(q) AS question, a::INT AS n_answers FROM g WHERE a > 0 OR x < l""", with_tables=False)
+def conv_exchanges(spark, d):
+    found = conversations.exchanges(tables.table(spark, d, "conversations"))
+    return found.select("conv_id", "exchange", F.md5("question").alias("question"), "n_answers")
+
+
+@query("SELECT conv_id, turn, md5(answer) AS answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'", with_tables=False)
+def conv_adjacent_pairs(spark, d):
+    return conversations.adjacent_pairs(tables.table(spark, d, "conversations")).select("conv_id", "turn", F.md5("answer").alias("answer"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, arg_min(text, turn)[1:200] AS preview FROM conversations GROUP BY 1", with_tables=False)
+def conv_preview(spark, d):
+    return conversations.previews(tables.table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, count_if(role = 'user')::BIGINT AS n_user, count_if(role = 'assistant')::BIGINT AS n_assistant, sum(length(text))::BIGINT AS n_chars, count_if(contains(text, '```'))::BIGINT AS n_code FROM conversations GROUP BY 1", with_tables=False)
+def conv_rollup(spark, d):
+    return conversations.rollup(tables.table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id DESC LIMIT 100) WHERE conv_id IN (SELECT conv_id FROM conversations WHERE contains(lower(text), 'then'))", with_tables=False)
+def conv_search(spark, d):
+    return conversations.search(tables.table(spark, d, "conversations"), "Then")
+
+
+@query("SELECT conv_id, turn, round(least(1.0, 0.5 + CASE WHEN contains(text, '```') THEN 0.15 ELSE 0 END + CASE WHEN length(text) > 2000 THEN 0.1 ELSE 0 END + CASE WHEN length(text) > 5000 THEN 0.05 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 0.1 ELSE 0 END + CASE WHEN turn > 0 THEN 0.05 ELSE 0 END + CASE WHEN turn > 5 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS importance FROM conversations WHERE role = 'assistant'", with_tables=False)
+def conv_importance(spark, d):
+    c = tables.table(spark, d, "conversations").where("role = 'assistant'")
+    value = conversations.exchange_importance(F.length("text"), F.contains("text", F.lit("```")), F.col("turn") % 4 == 1, F.col("turn"))
+    return c.select("conv_id", "turn", r6(value, "importance"))
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 <> 0", with_tables=False)
+def conv_unprocessed(spark, d):
+    c = tables.table(spark, d, "conversations").select("conv_id").distinct()
+    return conversations.unprocessed(c, c.where("conv_id % 4 = 0"))
+
+
+@query("SELECT a.chunk_id AS from_id, b.chunk_id AS to_id, 'implements' AS rel_type, 0.5::DOUBLE AS strength FROM meta a JOIN meta b USING (conversation_id) WHERE a.chunk_type = 'solution' AND b.chunk_type = 'pattern'")
+def knowledge_edges(spark, d):
+    items = tables.metadata(spark, d).select(F.col("chunk_id").alias("item_id"), F.col("conversation_id").alias("conv_id"), F.col("chunk_type").alias("kind"))
+    return conversations.knowledge_edges(items)
+
+
+@query()
+def conv_chunks(spark, d):
+    return conversations.exchange_chunks(tables.table(spark, d, "conversations")).select("chunk_id", "conv_id", "exchange", r6("importance"), F.size("entities").alias("n_entities"))
+
+
+# streams, pages and generic aggregates
+
+
+@query("""SELECT epoch_us(w)::BIGINT // 1000000 AS window_start, chunk_id, count(*) AS accesses FROM (SELECT chunk_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, accessed_at) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, accessed_at), INTERVAL 1 HOUR)) AS w FROM access_log WHERE chunk_id < 20) GROUP BY 1, 2""")
+def sliding_access_counts(spark, d):
+    found = access.sliding_counts(tables.access_log(spark, d).where("chunk_id < 20"))
+    return found.select(F.unix_seconds("window_start").alias("window_start"), "chunk_id", "accesses")
+
+
+@query("SELECT event_type AS \"group\", round(avg(value), 6) AS value FROM events GROUP BY 1", with_tables=False)
+def generic_aggregate(spark, d):
+    return aggregates.aggregate(tables.table(spark, d, "events"), "avg", "value", "event_type").select(F.col("event_type").alias("group"), r6("value"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages", with_tables=False)
+def page_titles(spark, d):
+    return pages.read_pages(tables.table(spark, d, "pages")).select("page_id", "title")

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.functions import constants as C
 
 
+#: A word border as JavaScript and RE2 see it, between ASCII word characters and others; Java's own
+#: counts all letters (Q35).
+BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_borders(pattern: str) -> str:
+    """A pattern with its \\b replaced."""
+    return pattern.replace(r"\b", BORDER)
+
+
 def normalised_hash(text: Column, digits: int = 16) -> Column:
     """X19. md5 of the lower-cased text with white space collapsed."""
     return F.substring(F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))), 1, digits)
@@ -42,29 +52,29 @@ def truncated(text: Column, limit: int = 2000) -> Column:
 
 def tech_tags(text: Column, patterns: list[str] = C.TECH_PATTERNS) -> Column:
     """X8. All matches of the patterns in the lower-cased text, each once, in order of the patterns."""
-    found = [F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(0)) for p in patterns]
+    found = [F.regexp_extract_all(F.lower(text), F.lit(ascii_borders(p)), F.lit(0)) for p in patterns]
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
 def named_tags(text: Column, patterns: dict[str, str] = C.TURN_TAGS) -> Column:
     """X9. Names of the patterns that the text matches."""
-    return F.array_compact(F.array(*[F.when(F.lower(text).rlike(p), F.lit(name)) for name, p in patterns.items()]))
+    return F.array_compact(F.array(*[F.when(F.lower(text).rlike(ascii_borders(p)), F.lit(name)) for name, p in patterns.items()]))
 
 
 def entities(text: Column, patterns: list[tuple[str, str, str]] = C.ENTITY_PATTERNS) -> Column:
     """X12. Entities as structs of type, value and confidence."""
-    tests = [F.when(F.lower(text).rlike(p), F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value"), F.lit(0.8).alias("confidence"))) for p, kind, value in patterns]
+    tests = [F.when(F.lower(text).rlike(ascii_borders(p)), F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value"), F.lit(0.8).alias("confidence"))) for p, kind, value in patterns]
     return F.array_distinct(F.array_compact(F.array(*tests)))
 
 
 def is_error_question(text: Column) -> Column:
     """X10."""
-    return F.lower(text).rlike(C.ERROR_QUESTION)
+    return F.lower(text).rlike(ascii_borders(C.ERROR_QUESTION))
 
 
 def is_decision_question(text: Column) -> Column:
     """X10."""
-    return F.lower(text).rlike(C.DECISION_QUESTION)
+    return F.lower(text).rlike(ascii_borders(C.DECISION_QUESTION))
 
 
 def error_message(text: Column) -> Column:
@@ -125,8 +135,8 @@ def preferences(text: Column) -> Column:
     """X23. A map from what is not preferred to what is; the last statement on a topic counts."""
     wanted, topics = (F.regexp_extract_all(text, F.lit(C.PREFERENCE), F.lit(i)) for i in (1, 2))
     pairs = F.arrays_zip(F.transform(topics, lambda t: F.lower(t)).alias("k"), F.transform(wanted, lambda w: F.lower(w)).alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["0"] == p["0"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["0"]), F.transform(last, lambda p: p["1"]))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
 
 
 def match_type(same_hash: Column, similarity: Column, a: Column, b: Column) -> Column:

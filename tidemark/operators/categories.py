@@ -75,15 +75,12 @@ def select_categories(spark: SparkSession, query: str, categories: DataFrame, li
     description (0.2) and tags (0.25 each word), at most 1."""
     words = [w for w in query.lower().split() if len(w) > 2]
     known = categories.where(F.col("chunk_count") >= min_items).join(F.broadcast(definitions(spark)), "category")
-    parts: list[Column] = [F.lit(0.0)]
-    for w in words:
-        q = F.lit(w)
-        parts += [
-            F.when(F.contains("category", q), 0.3).otherwise(0.0), F.when(F.contains(F.lower("description"), q), 0.2).otherwise(0.0),
-            F.when(F.exists("tags", lambda t, q=q: F.contains(t, q) | F.contains(q, t)), 0.25).otherwise(0.0),
-        ]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
+
+    def fit(q: Column) -> Column:
+        name, about = F.contains("category", q), F.contains(F.lower("description"), q)
+        tagged = F.exists("tags", lambda t: F.contains(t, q) | F.contains(q, t))
+        return F.when(name, 0.3).otherwise(0.0) + F.when(about, 0.2).otherwise(0.0) + F.when(tagged, 0.25).otherwise(0.0)
+
+    total = sum((fit(F.lit(w)) for w in words), F.lit(0.0))
     scored = known.withColumn("relevance", F.least(F.lit(1.0), total)).where("relevance > 0")
     return scored.select("category", "relevance", "chunk_count").orderBy(F.desc("relevance"), "category").limit(limit)

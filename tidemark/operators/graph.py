@@ -14,7 +14,8 @@ from tidemark.functions import constants as C
 
 def with_reverse(edges: DataFrame) -> DataFrame:
     """K12. Edges of types that hold both ways also stored in reverse."""
-    back = edges.where(F.col("rel_type").isin(*C.BIDIRECTIONAL)).withColumnsRenamed({"from_id": "to_id", "to_id": "from_id"})
+    other = {"from_id": "to_id", "to_id": "from_id"}
+    back = edges.where(F.col("rel_type").isin(*C.BIDIRECTIONAL)).select(*[F.col(other.get(c, c)).alias(c) for c in edges.columns])
     return edges.unionByName(back)
 
 
