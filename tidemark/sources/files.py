@@ -17,7 +17,7 @@ def read_tree(spark: SparkSession, path: str, extensions: list[str] | None = Non
     """S2, S3. path, modified, size and text of every file below a folder with a listed extension."""
     wanted = "|".join(map(re.escape, extensions or EXTENSIONS))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.lower("path").rlike(rf"\.({wanted})$")).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(F.lower("path").rlike(rf"\.({wanted})$")).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
 
 
 def glob_pattern(glob: str) -> str:
@@ -34,7 +34,7 @@ def read_rules(spark: SparkSession, path: str, include: tuple[str, ...] = ("**/*
     kept = files.where(F.col("path").rlike("|".join(map(glob_pattern, include)))).where(~F.col("path").rlike("|".join(map(glob_pattern, exclude))))
     return kept.select(
         F.substring(F.md5("path"), 1, 8).alias("rule_id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("format"),
-        F.col("modificationTime").alias("last_modified"), F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.col("modificationTime").alias("last_modified"), F.decode("content", "UTF-8").alias("content"),
     )
 
 

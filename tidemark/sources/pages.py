@@ -21,7 +21,7 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(lines, r"<[^>]*>", " ")
     for name, char in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
