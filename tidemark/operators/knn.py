@@ -30,10 +30,11 @@ def knn(docs: DataFrame, query: Iterable[float], k: int = 10, conditions: Mappin
     return scored.orderBy(F.desc("score"), id_col).limit(k or 10)
 
 
-def knn_frame(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", query_col: str = "query_id", vector_col: str = "embedding", cells: int = 1) -> DataFrame:
+def knn_frame(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", query_col: str = "query_id", vector_col: str = "embedding", cells: int | None = None) -> DataFrame:
     """J5, W1. The k nearest documents of every row of a small query table (query_id, vector), with
     rank. The stated queries meet all documents in cells: documents are dealt over `cells`, queries
     are sent to each, and every cell keeps k rows per query before the merge."""
+    cells = cells or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("cell", F.pmod(F.xxhash64(id_col), F.lit(cells)).cast("int"))
     asked = queries.select(F.col(query_col), F.col("vector").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     scored = dealt.join(asked, "cell").select(query_col, id_col, V.cosine(F.col(vector_col), F.col("_q")).alias("score"), "cell")
