@@ -109,7 +109,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = SC
     Rows whose vector is null or holds null or non-finite components take no part; a row with a
     null id is no query, and as a candidate ranks last among ties. Repeated rows are candidates
     for one another and each queries; they are pre-aggregated, so a hot row costs one. Vectors of
-    unlike length are compared as if padded with zeros. An empty table gives no rows.
+    unlike length are compared as if padded with zeros. A score beyond 64 bits is reported as the
+    nearest long. An empty table gives no rows.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("v is not null")
     base = scratch(base.groupBy("id", "v").agg(F.count("*").alias("n")), "vectors")
@@ -136,7 +137,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = SC
         query, row, score, _ = search_cell(ids, x, y, k + 1)
         q = right["q"].to_numpy()
         return pa.table({
-            "q": q[query], "qh": right["qh"].to_numpy()[query], "qn": right["qn"].to_numpy()[query], "id": ids[row], "score": score.astype(np.int64),
+            "q": q[query], "qh": right["qh"].to_numpy()[query], "qn": right["qn"].to_numpy()[query], "id": ids[row], "score": np.clip(score, -(2**63), 2**63 - 1).astype(np.int64),
             "n": left["n"].to_numpy()[row], "own": (ids[row] == q[query]) & (x[row] == y[query]).all(1),
         }, schema=into)
 
