@@ -35,3 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         now = scratch(_small_star(_large_star(now)), "stars")
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (node, comp) after further edges a, b: only the graph of components that these
+    link is worked on, so what is known already costs one join."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    found = edges.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    found = scratch(found, "found")
+    moved = components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    nodes = found.select(F.col("a").alias("node"), F.col("x").alias("comp")).unionByName(found.select(F.col("b").alias("node"), F.col("y").alias("comp")))
+    return scratch(labels.unionByName(nodes).distinct().join(moved, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined
 from tidemark.llm.recompress import mixed
 
 #: Defaults of near-duplicate stages; op10's contract sets its own.
@@ -183,12 +183,16 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), *more).distinct()
 
 
+def _bits_apart(x: str, y: str) -> Column:
+    """Differing bits of two parity bitmaps; never more than the sets' symmetric difference."""
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs whose parity bitmaps differ in no more bits than linked sets may in items."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    differing = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
-    return pairs.join(left, "a").join(right, "b").where(differing <= _allowed(F.col("na"), F.col("nb"), share)).select(*pairs.columns)
+    return pairs.join(left, "a").join(right, "b").where(_bits_apart("ba", "bb") <= _allowed(F.col("na"), F.col("nb"), share)).select(*pairs.columns)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -211,10 +215,9 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries of the lists with the component of their node, lists of one component left out."""
-    found = components(edges)
-    named = scratch(lists.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+    named = scratch(lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
     several = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     return named.join(several, "token", "left_semi")
 
@@ -234,16 +237,18 @@ def _met(lists: DataFrame, largest: bool, share: tuple[int, int]) -> DataFrame:
     return _pairs(probe.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("p.node").alias("p")))
 
 
-def _left(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of sets of different components in one list, one of them outside its main component."""
+def _left(lists: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of sets of different components in one list, one of them outside its main component,
+    whose bitmaps allow a link. The bitmaps go with the entries and are compared in the join, so
+    pairs that they rule out are never made."""
     sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_lists = lists.join(main, "token")
-    few = open_lists.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"), "cls")
+    entries = lists.join(main, "token").join(nodes.select("node", "bits"), "node")
+    few = entries.where("comp <> main").select(F.col("token").alias("t"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), "cls")
     few = few.select("*", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("near")).drop("cls")
-    pairs = few.join(open_lists, (few["token"] == open_lists["token"]) & (few["near"] == open_lists["cls"])).where("ca <> comp")
-    pairs = pairs.where(_reachable(F.col("na"), F.col("i"), F.col("n"), F.col("pos"), share))
-    return _pairs(pairs.select("a", F.col("node").alias("b")))
+    apart = _bits_apart("ba", "bits") <= _allowed(F.col("na"), F.col("n"), share)
+    found = few.join(entries, (F.col("t") == F.col("token")) & (F.col("near") == F.col("cls")) & (F.col("ca") != F.col("comp")) & _reachable(F.col("na"), F.col("i"), F.col("n"), F.col("pos"), share) & apart)
+    return _pairs(found.select("a", F.col("node").alias("b")))
 
 
 def _derived(pairs: DataFrame, answers: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -303,21 +308,24 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int]
     first = short.unionByName(met.select("a", "b")).distinct()
     sets = build(_nodes(first))
     known = scratch(_measured(first, sets, share), "known")
-    fresh = _met(_labelled(lists, known.where("linked").select("a", "b")), True, share)
+    labels = scratch(components(known.where("linked")), "labels")
+    fresh = _met(_labelled(lists, labels), True, share)
     fresh = scratch(_alike(fresh.join(known.select("a", "b"), ["a", "b"], "left_anti"), slim, share), "met")
     sets = _with_sets(fresh, sets, build)
-    known = known.unionByName(scratch(_measured(fresh.select("a", "b").distinct(), sets, share), "known"))
-    last = _left(_labelled(lists, known.where("linked").select("a", "b")), share).join(known.select("a", "b"), ["a", "b"], "left_anti")
-    last = _alike(last, slim, share)
+    more = scratch(_measured(fresh.select("a", "b").distinct(), sets, share), "known")
+    labels = joined(labels, more.where("linked"))
+    known = known.unionByName(more)
+    last = _left(_labelled(lists, labels), slim, share).join(known.select("a", "b"), ["a", "b"], "left_anti")
     asked = met.unionByName(fresh).join(known, ["a", "b"])
-    answers = asked.select(F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a")).alias("x"), "p", "d").unionByName(asked.select(F.col("p").alias("x"), "p", F.lit(0).cast("long").alias("d"))).distinct()
+    answers = asked.select(F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a")).alias("x"), "p", "d")
+    answers = answers.unionByName(asked.select(F.col("p").alias("x"), "p", F.lit(0).cast("long").alias("d"))).distinct()
     last = scratch(_derived(last, answers, slim, share), "last")
-    open_pairs = last.where("verdict is null").select("a", "b")
-    sets = _with_sets(open_pairs, sets, build)
-    rest = _measured(open_pairs, sets, share)
-    edges = known.where("linked").select("a", "b").unionByName(last.where("verdict").select("a", "b")).unionByName(rest.where("linked").select("a", "b"))
+    undecided = last.where("verdict is null").select("a", "b")
+    sets = _with_sets(undecided, sets, build)
+    linked = _measured(undecided, sets, share).where("linked").select("a", "b")
+    labels = joined(labels, linked.unionByName(last.where("verdict").select("a", "b")))
 
-    found = ids.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = ids.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = found.join(least, "comp").select("k1", "k2", "component_id")
     out = rows.where("n > 0").select("id", "n", "k1", "k2").join(labels, ["k1", "k2"]).select("id", "n", "component_id")
