@@ -109,16 +109,18 @@ def with_base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda later, first: F.least(later - first, F.lit(WINDOW)),
     )
     covered = F.when(F.size("_p") == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(WINDOW), lambda s, g: s + g))
-    return df.withColumn("n_repeat_words", covered.cast("long")).drop("_w", "_lines", "_g", "_s", "_m", "_t", "_p")
+    return df.withColumn("n_repeat_words", _fixed(covered.cast("long"))).drop("_w", "_lines", "_g", "_s", "_m", "_t", "_p")
+
+
+def _fixed(c: Column) -> Column:
+    """The column, tied to something that is no function of the row: so the optimizer does not move
+    a filter on it below the projections, where every count would be inlined for each of its uses."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, **options: object) -> DataFrame:
     """The documents that quality_verdicts keeps, with their own columns."""
-    judged = quality_verdicts(docs, trusted, **options)
-    # a column that is no function of the row keeps the optimizer from moving the filter below the
-    # projections, where it would evaluate every count anew for each use
-    once = F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))
-    return judged.withColumn("kept", once).where("kept").select(*docs.columns)
+    return quality_verdicts(docs, trusted, **options).where("kept").select(*docs.columns)
 
 
 def quality_verdicts(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING, max_trusted: int = MAX_TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,11 +139,11 @@ def quality_verdicts(docs: DataFrame, trusted: DataFrame, threshold: int = THRES
     df = with_base_counts(df, text_col)
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     if ratios is None:
-        return df.withColumns({"n_grams": F.lit(0).cast("long"), "score": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
+        return df.withColumns({"n_grams": F.lit(0).cast("long"), "score": F.lit(None).cast("double"), "kept": _fixed(~F.col("base_failed"))})
     model = F.from_json(F.lit(str(ratios)), "array<bigint>")
     df = df.withColumn("_h", feature_hashes(F.col(text_col))).withColumn("_b", gram_buckets(F.col("_h"), buckets))
     df = df.withColumns({"n_grams": F.size("_b").cast("long"), "_sum": F.aggregate("_b", F.lit(0).cast("long"), lambda s, b: s + F.get(model, b))})
     return df.withColumns({
         "score": F.when(F.col("n_grams") > 0, F.col("_sum") / F.col("n_grams")),
-        "kept": ~F.col("base_failed") & ((F.col("n_grams") == 0) | (F.col("_sum") >= threshold * F.col("n_grams"))),
+        "kept": _fixed(~F.col("base_failed") & ((F.col("n_grams") == 0) | (F.col("_sum") >= threshold * F.col("n_grams")))),
     }).drop("_h", "_b", "_sum")
