@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch
+from tidemark.llm.common import SEPARATORS, scratch
 from tidemark.llm.components import components, joined
 from tidemark.llm.recompress import mixed
 
@@ -99,7 +99,7 @@ def word_counts(docs: DataFrame, text_col: str, buckets: int = WORD_BUCKETS) ->
 
 
 def node_rows(docs: DataFrame, counts: np.ndarray, k: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), k1, k2 (a 128-bit hash of the set), prefix (its first shingles in the global
+    """id, text_hash, n (set size), k1, k2 (a 128-bit hash of the set), prefix (its first shingles in the global
     order) and bits (its parity bitmap) of every document."""
     num, den = share
     rank = np.minimum(counts, np.iinfo(np.int32).max).astype(np.uint64)
@@ -132,12 +132,12 @@ def node_rows(docs: DataFrame, counts: np.ndarray, k: int, share: tuple[int, int
                     odd = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
                     bitmaps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                    part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())),
-                ], ["id", "n", "k1", "k2", "prefix", "bits"])
+                ], ["id", "text_hash", "n", "k1", "k2", "prefix", "bits"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return given.mapInArrow(work, "id long, n long, k1 long, k2 long, prefix array<long>, bits array<long>")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("text_hash"))
+    return given.mapInArrow(work, "id long, text_hash long, n long, k1 long, k2 long, prefix array<long>, bits array<long>")
 
 
 def set_keys(found: np.ndarray) -> tuple[int, int]:
@@ -263,24 +263,26 @@ def _derived(pairs: DataFrame, answers: DataFrame, nodes: DataFrame, share: tupl
     return sized.select("a", "b", F.when(F.col("high") <= most, True).when(F.col("low") > most, False).alias("verdict"))
 
 
-def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id of every document: the smallest id reachable by links, where
-    two documents link when den * |intersection| >= num * |union| of their sets of k-word shingles.
+def _named(classes: DataFrame) -> DataFrame:
+    """Classes of equal sets with node, a number of their own: their smallest id, or a hash where
+    they have none or another class has the same."""
+    hashed = -1 - F.pmod(F.col("k1"), F.lit(2**62))
+    shared = classes.where("least is not null").groupBy("least").agg(F.count("*").alias("c")).where("c > 1").select("least", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return classes.withColumn("node", F.coalesce("least", hashed))
+    return classes.join(shared, "least", "left").withColumn("node", F.when(F.col("shared"), hashed).otherwise(F.coalesce("least", hashed))).drop("shared")
 
-    A text of under k words has one shingle, all its words; a null, empty or blank text has none
-    and links with nothing. Repeated rows are linked with each other, each giving a row. A null id
-    takes part, but component_id is the smallest id that is not null, null if there is none. An
-    empty table gives no rows. No list, block or component is cut off at any size.
-    """
+
+def _rows_in_components(docs: DataFrame, k: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash, n, comp (null for an empty set) and component_id of every document."""
     num, den = share
     counts = word_counts(docs, text_col)
     rows = scratch(node_rows(docs, counts, k, share, id_col, text_col), "set-rows")
-    # equal sets are one node, named by the smallest id, or by its hash where all ids are null
-    name = F.coalesce(F.min("id"), -1 - F.pmod(F.first("k1"), F.lit(2**62)))
-    ids = rows.where("n > 0").groupBy("k1", "k2").agg(name.alias("node"), F.min("id").alias("least"))
-    nodes = scratch(
-        rows.where("prefix is not null").groupBy("k1", "k2").agg(name.alias("node"), F.min(F.struct("n", "prefix", "bits")).alias("s")).select("node", "s.*"), "nodes"
-    )
+    # equal sets are one node
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.struct("n", "prefix", "bits")).alias("s"))
+    classes = scratch(_named(scratch(classes.select("k1", "k2", "least", "s.*"), "classes")), "nodes")
+    ids = classes.select("k1", "k2", "node", "least")
+    nodes = classes.where("prefix is not null").select("node", "n", "prefix", "bits")
     base = math.log(den / num) * 1.0001
     entries = nodes.select("node", "n", F.floor(F.log(F.col("n").cast("double")) / base).cast("int").alias("cls"), F.posexplode("prefix").alias("pos", "token"))
     common = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -299,8 +301,10 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int]
         keys = ids.join(wanted, "node").select("k1", "k2", "node")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
         of_node = rows.join(keys, ["k1", "k2"]).groupBy("node").agg(F.min("id").alias("id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
-        joined = texts.join(of_node.hint("merge"), texts["id"].eqNullSafe(of_node["id"])).select("node", "k1", "k2", "t")
-        return scratch(shingle_sets(joined, k).dropDuplicates(["node"]), "sets")
+        found = texts.join(of_node.hint("merge"), texts["id"].eqNullSafe(of_node["id"])).select("node", "k1", "k2", "t")
+        again = rows.join(of_node.select("id", "node"), rows["id"].eqNullSafe(of_node["id"])).groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        found = shingle_sets(found, k)
+        return scratch(found if again.isEmpty() else found.dropDuplicates(["node"]), "sets")
 
     # the first pivots need no components: each set is its own
     alone = lists.withColumn("comp", F.col("node"))
@@ -327,17 +331,37 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int]
 
     found = ids.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.groupBy("comp").agg(F.min("least").alias("component_id"))
-    labels = found.join(least, "comp").select("k1", "k2", "component_id")
-    out = rows.where("n > 0").select("id", "n", "k1", "k2").join(labels, ["k1", "k2"]).select("id", "n", "component_id")
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    labels = found.join(least, "comp").select("k1", "k2", "comp", "component_id")
+    out = rows.where("n > 0").join(labels, ["k1", "k2"]).select("id", "text_hash", "n", "comp", "component_id")
+    alone = rows.where("n = 0").select("id", "text_hash", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles and component_id of every document: the smallest id reachable by links, where
+    two documents link when den * |intersection| >= num * |union| of their sets of k-word shingles.
+
+    A text of under k words has one shingle, all its words; a null, empty or blank text has none
+    and links with nothing. Repeated rows are linked with each other, each giving a row; one id
+    with several texts is several documents. A null id takes part, but component_id is the smallest
+    id that is not null, null if there is none. An empty table gives no rows. No list, block or
+    component is cut off at any size.
+    """
+    found = _rows_in_components(docs, k, share, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each component: that with the component's smallest id. Texts
-    without words are linked with nothing and all stay."""
-    found = linked_components(docs, k, share, id_col, text_col)
-    first = found.where((F.col("component_id") == F.col(id_col)) & (F.col("n_shingles") > 0)).select(F.col(id_col)).distinct()
-    bare = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x09-\\x0D]", " ")) == ""
-    worded = docs.where(~bare).join(first, id_col, "left_semi")
-    return worded.dropDuplicates([id_col]).unionByName(docs.where(bare))
+    """The documents with one row of each component: that with the smallest id, and of several texts
+    of that id one. Texts without words are linked with nothing and all stay. Further columns stay;
+    one named _hash is lost."""
+    found = _rows_in_components(docs, k, share, id_col, text_col).where("comp is not null")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.text_hash").alias("_hash"))
+    first = first.distinct().hint("merge")
+    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
+    blank = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SEPARATORS)) == ""
+    met = hashed.where(~blank).alias("d").join(first.alias("f"), F.col(f"d.{id_col}").eqNullSafe(F.col("f._id")) & (F.col("d._hash") == F.col("f._hash")), "left_semi")
+    # repeated rows of the chosen document: one of them
+    again = met.groupBy(id_col, "_hash").agg(F.count("*").alias("c")).where("c > 1")
+    kept = met if again.isEmpty() else met.dropDuplicates([id_col, "_hash"])
+    return kept.drop("_hash").unionByName(docs.where(blank))
