@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,20 @@ def _at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back at the end of a task; workers wait long for others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Limits what is handed to a Python worker at once, for this session: texts may be long, and
+    the default of 64 MB is held several times on the way."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def scratch(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again. Cuts the lineage:
     a lost executor costs a re-read, not the recomputation of what stands before. The table is

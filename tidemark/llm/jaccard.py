@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SEPARATORS, scratch
+from tidemark.llm.common import SEPARATORS, bounded_batches, release, scratch
 from tidemark.llm.components import components, joined
 from tidemark.llm.recompress import mixed
 
@@ -43,14 +43,14 @@ BITMAP = 16
 SHORT = 8
 #: Positions in a block of a long list.
 POSITIONS = 16
-PART_TEXTS = 256
+PART_TEXTS = 64
 
 
 class _Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -89,6 +89,8 @@ def word_counts(docs: DataFrame, text_col: str, buckets: int = WORD_BUCKETS) ->
                 found = [word_hashes(t) for t in batch.column(0).slice(at, PART_TEXTS).to_pylist()]
                 total += np.bincount((np.concatenate(found) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         some = np.flatnonzero(total)
+        _memory().clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
     counted = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("binary").alias("t")).mapInArrow(work, "bucket int, n long")
@@ -135,6 +137,8 @@ def node_rows(docs: DataFrame, counts: np.ndarray, k: int, share: tuple[int, int
                     part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())),
                 ], ["id", "text_hash", "n", "k1", "k2", "prefix", "bits"])
+        _memory().clear()
+        release()
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("text_hash"))
     return given.mapInArrow(work, "id long, text_hash long, n long, k1 long, k2 long, prefix array<long>, bits array<long>")
@@ -159,6 +163,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(word_hashes(t or b""), k)) for t in part.column(3).to_pylist()]
                 own = pa.array([set_keys(x) == key for x, key in zip(sets, zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "items"]).filter(own)
+        _memory().clear()
+        release()
 
     return docs.select("node", "k1", "k2", "t").mapInArrow(work, "node long, items array<long>")
 
@@ -276,6 +282,7 @@ def _named(classes: DataFrame) -> DataFrame:
 def _rows_in_components(docs: DataFrame, k: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, n, comp (null for an empty set) and component_id of every document."""
     num, den = share
+    bounded_batches(docs.sparkSession)
     counts = word_counts(docs, text_col)
     rows = scratch(node_rows(docs, counts, k, share, id_col, text_col), "set-rows")
     # equal sets are one node

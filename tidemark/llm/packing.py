@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches, release
+
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -160,6 +162,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, window:
     has `window` ids or a power of two below. A null or empty text is the end id alone; repeated
     rows are documents of their own; an empty table gives no rows; further columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     path = vocabulary_path or default_vocabulary_path()
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
@@ -211,6 +214,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, window:
                     yield flush()
         if held:
             yield flush()
+        release()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, words
+from tidemark.llm.common import bounded_batches, release, scratch, words
 from tidemark.llm.recompress import CONTEXT, LONGEST, Hasher, anchors
 
 WINDOW = 35
 #: Words that a worker parses at once.
-PART_WORDS = 400_000
+PART_WORDS = 150_000
 KEY = ["k1", "k2"]
 
 
@@ -76,6 +76,7 @@ def signatures(docs: DataFrame, window: int, text_col: str) -> DataFrame:
                     pa.array(sig.view(np.int64), mask=~known), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
                     pa.array((low - offset).astype(np.int32)), pa.array((high - offset).astype(np.int32)), _signed(one(low, high + window)), _signed(two(low, high + window)),
                 ], ["sig", *KEY, "first", "last", "u1", "u2"])
+        release()
 
     given = docs.select(*KEY, _hashed(text_col))
     return given.mapInArrow(work, "sig long, k1 long, k2 long, first int, last int, u1 long, u2 long")
@@ -101,6 +102,7 @@ def window_hashes(docs: DataFrame, window: int, text_col: str) -> DataFrame:
                     _signed(one(at, at + window)), _signed(two(at, at + window)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
                     pa.array(place.astype(np.int32)), pa.array(np.repeat(weight, lengths).astype(np.int32)),
                 ], ["u1", "u2", *KEY, "first", "weight"])
+        release()
 
     # all columns are read, so that the plan shares the exchange of the documents with the caller's
     rest = [c for c in docs.columns if c not in (*KEY, "ranges", "w")]
@@ -147,6 +149,7 @@ def with_spans(docs: DataFrame, window: int, text_col: str) -> DataFrame:
     """The documents with k1, k2 and spans, null where nothing is removed."""
     if window < 2 * CONTEXT + 2 * LONGEST:
         raise ValueError(f"window must have at least {2 * CONTEXT + 2 * LONGEST} words")
+    bounded_batches(docs.sparkSession)
     given = keyed(docs, text_col)
     return given.join(repeated_spans(given, window, text_col).hint("merge"), KEY, "left")
 

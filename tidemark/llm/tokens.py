@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Chunks and token pairs that a worker remembers; beyond it starts afresh, with the same results.
@@ -173,6 +175,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = LI
     rows each return a row; an empty table gives none; further columns are not looked at. Narrow:
     no shuffle, and a lost task is recomputed alone.
     """
+    bounded_batches(docs.sparkSession)
     path = model_path or default_model_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -197,6 +200,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = LI
 def token_prefixes(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and prefix_tokens: the whole table of a text, an array with the token count of its first
     0, 1, 2, ... code points. Truncation to b tokens is the last index with a value of at most b."""
+    bounded_batches(docs.sparkSession)
     path = model_path or default_model_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
