@@ -1,6 +1,7 @@
 """The training-data pipeline over documents: quality rules, near-duplicate removal, substring
 dedup, mixing by source, and packing. Every stage is written as Parquet in the shared folder and
-read again, so a lost executor costs a part of one stage."""
+read again, so a lost executor costs a part of one stage. A stage begins when the one before it has
+been written, and removes the tables that were made on the way."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, mixing, packing, quality, substrings
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import drop_scratch, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,23 +20,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard of 0.8 or more)."""
+    drop_scratch(spark)
     return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the words in 35-word windows that start anywhere else."""
+    drop_scratch(spark)
     found = substrings.dedup_substrings(docs)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of the documents: a row for each pass that takes words of one."""
+    drop_scratch(spark)
     found = mixing.mixed_documents(docs)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids packed into sequences, a row per piece."""
+    drop_scratch(spark)
     return packing.pack_documents(docs)
 
 
@@ -55,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        docs = scratch(stage(spark, docs, sf_dir), name, keep=True)
     return docs

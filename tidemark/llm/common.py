@@ -42,13 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        if spark.sparkContext._jsc is not None:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    atexit.register(_remove, spark, path)
+
 
-    atexit.register(remove)
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes the scratch tables of operators whose results have been written. DataFrames that
+    still wait to be computed from such tables can't be afterwards."""
+    while _passing:
+        _remove(spark, _passing.pop())
 
 
 def release() -> None:
@@ -65,13 +73,18 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def scratch(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+#: Scratch tables that drop_scratch removes.
+_passing: list[str] = []
+
+
+def scratch(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again. Cuts the lineage:
     a lost executor costs a re-read, not the recomputation of what stands before. The table is
-    removed when the driver ends."""
+    removed when the driver ends, or by drop_scratch unless it is to be kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _at_exit(spark, path)
+    if not keep:
+        _passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
