@@ -261,6 +261,15 @@ def test_counts_of_any_text(counter, library, text):
     assert counter.count(text) == len(library.encode(text))
 
 
+@pytest.mark.parametrize("sign", ["a", "_", ".", "-", "="])
+def test_runs_whose_counts_fall_past_a_byte(counter, library, sign):
+    counts = counter.prefixes(sign * 5000).tolist()
+    assert counts == [len(library.encode(sign * n)) for n in range(5001)]
+    falling = [n for n in range(5001) if counts[n] < 256 <= max(counts[: n + 1])]
+    assert falling
+    assert [counter.count(sign * n) for n in falling] == [counts[n] for n in falling]
+
+
 def test_token_counts(docs, nothing, library):
     got = tokens.token_counts(docs, limit=50)
     rows = got.collect()

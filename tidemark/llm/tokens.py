@@ -133,7 +133,7 @@ class PrefixCounter:
         if len(self.tables) >= REMEMBERED:
             self.tables.clear()
         del counts[0]
-        found = self.tables[chunk] = bytes(counts) if counts[-1] < 256 else tuple(counts)
+        found = self.tables[chunk] = bytes(counts) if max(counts) < 256 else tuple(counts)  # counts may fall as a chunk grows
         return found
 
     def chunks(self, text: str) -> list[str]:
