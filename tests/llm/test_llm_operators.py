@@ -229,6 +229,68 @@ def test_license_scan(spark, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+BSD2 = """Copyright (c) 2020, A. Writer
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software, to deal in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+WRAPPED = {
+    "BSD-2-Clause": BSD2.format(""),
+    "BSD-3-Clause": BSD2.format("3. Neither the\n   name of the holder nor the names of its contributors may be used.\n"),
+    "GPL-2.0-or-later": GPL.format(2),
+    "GPL-3.0-or-later": GPL.format(3),
+    "ISC": ISC,
+    "MIT": MIT,
+    "MPL-2.0": MPL,
+}
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", "dnl ", "REM ", "\t;; "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_licenses(spark, leader, end):
+    rows = [(n, "".join(leader + line + end for line in text.split("\n")), "") for n, text in enumerate(WRAPPED.values())]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[n].licenses for n in range(len(WRAPPED))] == [[name] for name in WRAPPED]
+    left = [set(got[n].unmatched) for n in range(len(WRAPPED))]
+    assert left == [{"Copyright", "AllRightsReserved"} if name.startswith("BSD") else set() for name in WRAPPED]
+
+
+def test_sentences_end_at_full_stops_and_empty_lines(spark):
+    texts = ["Released under the MIT. License", "Released under the\n#\n# MIT License", "neither\nthe name\nof", "MPL: subject to the Mozilla Public License v.\n2.0"]
+    got = licenses.scan_licenses(spark.createDataFrame([(n, t, "") for n, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    assert [r.license_sentences for r in got] == [[], [], ["BSDEndorse"], []]
+
+
 def test_every_known_sentence_has_a_sign():
     assert [s for s, _ in licenses.SENTENCES if not re.search(licenses.SIGNS, s)] == []
 

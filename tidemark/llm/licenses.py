@@ -1,18 +1,23 @@
 """License scans by sentence rules: sentences are normalised and mapped to known licence sentences;
 the sequence of their identifiers is matched against ordered rules.
 
-A sentence ends at a line end or behind a full stop before white space. Normalised, it is lower
-case with every run of other characters than a-z, 0-9 and + as one space, and without words that
-carry no meaning for the match. A known sentence may begin inside a longer one, as in a line with
-a comment sign before it. Rules are tried in order, longest first; a match consumes its part of
-the sequence, so a sentence counts for one licence only, and what no rule takes is reported as
-unmatched.
+A sentence ends at a line without words or behind a full stop before white space, but not behind the
+full stop of "v. 2"; lines between are joined. Normalised, it is lower case with every run of other
+characters than a-z, 0-9 and + as one space, so signs of comments vanish. A sentence may hold several
+known ones, each beginning anywhere in it. Rules are tried in order, longest first; a match consumes
+its part of the sequence, so a sentence counts for one licence only, and what no rule takes is
+reported as unmatched.
+
+The SQL of `oracle` cuts at every line end (END) and knows one sentence a line; both agree on texts
+whose known sentences have a line each.
 
 Native: DataFrame functions only, row by row, no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +83,30 @@ RULES = [
 ]
 #: Every known sentence has one of these; a text without any needs no cutting into sentences.
 SIGNS = "licens|permission|warrant|redistribut|copyright|copy of the|neither the name|version 2|version 3|rights reserved|public domain|free software|provided"
+#: Between two words of one sentence, over line ends and comment signs.
+WRAP = r"[^a-z0-9+]+(?:(?:dnl|rem)[^a-z0-9+]+)?"
+#: Where the oracle cuts.
 END = r"\n|\.[\x20\x09-\x0D]+|\.$"
+#: Comment signs that are words, at the beginning of a line.
+LEADERS = r"(?m)^[\x20\x09]*(?:dnl|rem)(?=[\x20\x09\r]|$)"
+#: The full stop of "v. 2" ends no sentence. BREAK does; as a capital it is in no lower-case text.
+VERSION, BREAK = r"(?<![a-z0-9+])v\.(?=[\x20\x09-\x0D]+[0-9])", "Z"
+BREAKS = r"\n[^a-z0-9+\n]*(?=\n)|\.[\x20\x09-\x0D]+"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case a-z, 0-9 and +, all else as single spaces, with a space at either end."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9+]+", " ")), F.lit(" "))
+def normalised(text: Column) -> Column:
+    """Lower case a-z, 0-9 and +, BREAK between sentences, all else as single spaces, with a space at
+    either end."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), LEADERS, ""), VERSION, "v")
+    broken = F.regexp_replace(lines, BREAKS, f"\n {BREAK} ")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(broken, f"[^a-z0-9+{BREAK}]+", " ")), F.lit(" "))
 
 
-def identified(sentence: Column) -> Column:
-    """The identifier of the first known sentence that a normalised sentence holds, else null."""
-    return F.coalesce(*[F.when(F.contains(sentence, F.lit(f" {start} ")), F.lit(name)) for start, name in SENTENCES])
+def identified(text: Column) -> Column:
+    """The identifiers of the known sentences that a normalised text holds, in order."""
+    known = "|".join(re.escape(start).replace(r"\ ", " ") for start, _ in SENTENCES)
+    names = F.create_map(*[F.lit(x) for pair in SENTENCES for x in pair])
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?<= )(?:{known})(?= )"), F.lit(0)), lambda s: F.element_at(names, s))
 
 
 def scan_licenses(docs: DataFrame, rules: list[tuple[tuple[str, ...], str]] = RULES, text_col: str = "text") -> DataFrame:
@@ -101,10 +119,9 @@ def scan_licenses(docs: DataFrame, rules: list[tuple[tuple[str, ...], str]] = RU
     """
     plain = docs.drop("license_sentences", "licenses", "unmatched", "_left", "_found")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sentences = F.split(text, END)
-    named = F.filter(F.transform(sentences, lambda s: identified(normalised(s))), lambda i: i.isNotNull())
+    named = identified(normalised(text))
     none = F.array().cast("array<string>")
-    df = plain.withColumn("license_sentences", F.when(F.lower(text).rlike(SIGNS), named).otherwise(none))
+    df = plain.withColumn("license_sentences", F.when(F.lower(text).rlike(SIGNS.replace(" ", WRAP)), named).otherwise(none))
     df = df.withColumn("_left", F.concat(F.lit(";"), F.array_join("license_sentences", ";;"), F.lit(";")))
     found = []
     for n, (sequence, name) in enumerate(rules):
