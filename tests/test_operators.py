@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -179,6 +180,21 @@ def test_rules(spark):
     assert [(x.a, x.b, x.contradictions, x.preference_conflicts, x.conflict_type) for x in r] == [(1, 2, 1, 1, "direct_contradiction")]
 
 
+def test_rules_conflicts_of_distant_ids(spark, tmp_path):
+    """All pairs of rules of like tags, wherever in the text these stand."""
+    from tidemark import catalog
+
+    no, yes = "Never use strict types in project modules. ", "Always use strict types in project modules. "
+    filler = "words that say nothing at all here. " * 9
+    texts = [yes + filler + "python docker", "nothing", no + filler + "python docker", yes + "mysql", "python", no + filler + "docker", no + "python docker redis", yes + filler]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tags = [set(re.findall("python|docker|mysql|redis", t)) for t in texts]
+    alike = [(a, b) for a in range(8) for b in range(a + 1, 8) if tags[a] | tags[b] and len(tags[a] & tags[b]) / len(tags[a] | tags[b]) >= 0.3]
+    wanted = [(a, b) for a, b in alike if {texts[a].split()[0], texts[b].split()[0]} == {"Always", "Never"}]
+    assert wanted == [(0, 2), (0, 5), (0, 6)]
+    assert sorted((r.a, r.b) for r in catalog.QUERIES["rules_conflicts"](spark, str(tmp_path)).collect()) == wanted
+
+
 def test_outdated(spark):
     rows = [(1, "react 16 in 2019, deprecated", NOW), (2, "fine", NOW - timedelta(days=400)), (3, "fine", NOW), (4, "legacy but migrat", NOW)]
     df = spark.createDataFrame(rows, "rule_id int, content string, last_modified timestamp")

@@ -513,7 +513,8 @@ def outdated_refs(spark, d):
 @query()
 def rules_conflicts(spark, d):
     docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), F.col("text").alias("content"))
-    pairs = docs.select(F.col("rule_id").alias("a"), (F.col("rule_id") + 1).alias("b"))
+    says = (F.size(X.directives(F.col("content"))) > 0) | (F.size(X.preferences(F.col("content"))) > 0)  # others conflict with nobody
+    pairs = rules.tag_pairs(docs.where(says).withColumn("tags", X.tech_tags(F.col("content")))).select("a", "b")
     return rules.conflicts(docs, pairs)
 
 
