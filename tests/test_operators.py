@@ -195,6 +195,19 @@ def test_rules_conflicts_of_distant_ids(spark, tmp_path):
     assert sorted((r.a, r.b) for r in catalog.QUERIES["rules_conflicts"](spark, str(tmp_path)).collect()) == wanted
 
 
+def test_jaccard_pairs_of_whole_texts(spark, tmp_path):
+    from tidemark import catalog
+
+    opening, filler = "the same opening of all that has forty letters ", "words that say nothing at all here. " * 9
+    texts = [opening + filler + "python docker", "nothing", filler + "python docker redis", opening + "mysql", opening, "docker python", filler * 30 + "mysql", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tags = [set(re.findall("python|docker|mysql|redis", t or "")) for t in texts]
+    both = [(a, b, tags[a] & tags[b], tags[a] | tags[b]) for a in range(8) for b in range(a + 1, 8)]
+    wanted = [(a, b, round(len(x) / len(y), 6)) for a, b, x, y in both if y and len(x) / len(y) >= 0.6]
+    assert wanted == [(0, 2, 0.666667), (0, 5, 1.0), (2, 5, 0.666667), (3, 6, 1.0)]
+    assert sorted((r.a, r.b, r.jaccard) for r in catalog.QUERIES["jaccard_pairs_whole"](spark, str(tmp_path)).collect()) == wanted
+
+
 def test_outdated(spark):
     rows = [(1, "react 16 in 2019, deprecated", NOW), (2, "fine", NOW - timedelta(days=400)), (3, "fine", NOW), (4, "legacy but migrat", NOW)]
     df = spark.createDataFrame(rows, "rule_id int, content string, last_modified timestamp")

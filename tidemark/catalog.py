@@ -502,6 +502,13 @@ def jaccard_pairs(spark, d):
     return rules.tag_pairs(docs, 0.6).select("a", "b", r6("jaccard"))
 
 
+@query()
+def jaccard_pairs_whole(spark, d):
+    """J7 over the tags of whole texts; jaccard_pairs keeps the 40 letters of its SQL."""
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), X.tech_tags(F.col("text")).alias("tags"))
+    return rules.tag_pairs(docs, 0.6).select("a", "b", r6("jaccard"))
+
+
 @query("""SELECT doc_id, round(greatest(CASE WHEN age > 365 THEN 0.4 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 0.6 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\\b(deprecated|legacy|obsolete)\\b') THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS confidence
     FROM (SELECT doc_id, text, doc_id % 800 + 0.5 AS age FROM documents) WHERE age > 365 OR regexp_matches(text, '(?i)\\bthe\\b') OR regexp_matches(text, '(?i)\\b(deprecated|legacy|obsolete)\\b')""", with_tables=False)
 def outdated_refs(spark, d):
