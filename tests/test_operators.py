@@ -208,6 +208,18 @@ def test_jaccard_pairs_of_whole_texts(spark, tmp_path):
     assert sorted((r.a, r.b, r.jaccard) for r in catalog.QUERIES["jaccard_pairs_whole"](spark, str(tmp_path)).collect()) == wanted
 
 
+def test_cascade_delete_beyond_a_million(spark, monkeypatch):
+    from tidemark import catalog
+
+    ids = spark.createDataFrame([(7_000_000,), (7_000_001,), (14,)], "chunk_id long")
+    edges = spark.createDataFrame([(7_000_007, 1), (1, 2), (2, 21)], "from_id long, to_id long")
+    for name in ("metadata", "access_log", "category_items"):
+        monkeypatch.setattr(catalog.tables, name, lambda s, d: ids)
+    monkeypatch.setattr(catalog.tables, "edges", lambda s, d: edges)
+    got = {r.t: r.n for r in catalog.QUERIES["cascade_delete"](spark, "").collect()}
+    assert got == {"metadata": 1, "access_log": 1, "category_items": 1, "edges": 1}
+
+
 def test_outdated(spark):
     rows = [(1, "react 16 in 2019, deprecated", NOW), (2, "fine", NOW - timedelta(days=400)), (3, "fine", NOW), (4, "legacy but migrat", NOW)]
     df = spark.createDataFrame(rows, "rule_id int, content string, last_modified timestamp")

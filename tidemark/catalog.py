@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,16 @@ def knn_multi_query(spark, d):
     return knn.knn_frame(docs, asked, 5, cells=4).select("query_id", "chunk_id", r6("score"), "rank")
 
 
+@query("""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT q.chunk_id AS query_id, c.chunk_id, list_cosine_similarity(c.embedding, q.embedding) AS score,
+    row_number() OVER (PARTITION BY q.chunk_id ORDER BY list_cosine_similarity(c.embedding, q.embedding) DESC, c.chunk_id)::INT AS rank
+    FROM chunks c, chunks q WHERE q.chunk_id % 50 = 0) WHERE rank <= 5""")
+def knn_multi_query_whole(spark, d):
+    """knn_multi_query for every id divisible by 50."""
+    docs = tables.chunks(spark, d)
+    asked = docs.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn.knn_frame(docs, asked, 5).select("query_id", "chunk_id", r6("score"), "rank")
+
+
 @query("""SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity
     FROM chunks a JOIN chunks b ON a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.4""")
 def near_duplicates(spark, d):
@@ -139,15 +150,30 @@ def project_patterns(spark, d):
     return retrieval.project_patterns(tables.metadata(spark, d), tables.category_items(spark, d), "database").select("chunk_id", r6("rank_score"))
 
 
+def _scored(spark, d):
+    q = F.array(*[F.lit(float(x)) for x in tables.query_vector(spark, d)])
+    return tables.chunks(spark, d).select("chunk_id", V.cosine(F.col("embedding"), q).alias("score"))
+
+
 @query(f"""+hops AS (SELECT chunk_id, {_COS} AS score, chunk_id AS ord FROM chunks WHERE chunk_id < 300 UNION ALL SELECT chunk_id, {_COS} * 0.5, chunk_id + 1000 FROM chunks WHERE chunk_id >= 200 AND chunk_id < 400)
     SELECT chunk_id, round(arg_max(score, ord), 6) AS score, min(ord) AS first FROM hops GROUP BY chunk_id""")
 def multi_hop_merge(spark, d):
-    scored = knn.knn(tables.chunks(spark, d), tables.query_vector(spark, d), 100_000).select("chunk_id", "score")
+    scored = _scored(spark, d)
     one = scored.where("chunk_id < 300").withColumn("ord", F.col("chunk_id"))
     two = scored.where("chunk_id >= 200 and chunk_id < 400").select("chunk_id", (F.col("score") * 0.5).alias("score"), (F.col("chunk_id") + 1000).alias("ord"))
     return retrieval.merge_hops(one.unionByName(two)).select("chunk_id", r6("score"), "first")
 
 
+@query(f"""+hops AS (SELECT chunk_id, {_COS} AS score, chunk_id AS ord FROM chunks UNION ALL SELECT chunk_id, {_COS} * 0.5, chunk_id + 1000 FROM chunks WHERE chunk_id IN (SELECT to_id FROM edges))
+    SELECT chunk_id, round(arg_max(score, ord), 6) AS score, min(ord) AS first FROM hops GROUP BY chunk_id""")
+def multi_hop_merge_whole(spark, d):
+    """multi_hop_merge over all chunks, then all that an edge leads to."""
+    scored, led = _scored(spark, d), tables.edges(spark, d).select(F.col("to_id").alias("chunk_id"))
+    one = scored.withColumn("ord", F.col("chunk_id"))
+    two = scored.join(led, "chunk_id", "left_semi").select("chunk_id", (F.col("score") * 0.5).alias("score"), (F.col("chunk_id") + 1000).alias("ord"))
+    return retrieval.merge_hops(one.unionByName(two)).select("chunk_id", r6("score"), "first")
+
+
 @query()
 def recursive_query(spark, d):
     docs = tables.chunks(spark, d)
@@ -180,6 +206,15 @@ def decay_simulation(spark, d):
     return N.simulate_decay(items, 30, seen).select("item", "day", r6("score"))
 
 
+@query("""+days AS (SELECT chunk_id AS item, importance, unnest(range(31)) AS day FROM meta), hits AS (SELECT item, day, importance, (SELECT count(*) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS n, (SELECT max(x) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS last FROM days)
+    SELECT item, day::INT AS day, round(greatest(0.0, least(1.0, 0.3 / (1 + day / 60) + 0.3 * CASE WHEN last IS NOT NULL AND day - last <= 7 THEN least(1.0, least(1.0, n / 5) * (1 + 0.5 * (1 - (day - last) / 7))) ELSE least(1.0, n / 5) END + 0.4 * importance)), 6) AS score FROM hits""")
+def decay_simulation_whole(spark, d):
+    """decay_simulation for all chunks."""
+    items = tables.metadata(spark, d).select(F.col("chunk_id").alias("item"), "importance")
+    seen = items.select("item", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("day")).where(F.col("day") % (2 + F.col("item") % 5) == 0)
+    return N.simulate_decay(items, 30, seen).select("item", "day", r6("score"))
+
+
 @query("SELECT chunk_id, is_archived OR decay_score < 0.3 AS is_archived FROM meta")
 def archive_stale(spark, d):
     return store.archive_below(tables.metadata(spark, d), 0.3).select("chunk_id", "is_archived")
@@ -255,7 +290,9 @@ def edge_upsert(spark, d):
 @query("SELECT 'metadata' AS t, count(*) AS n FROM meta WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'access_log', count(*) FROM access_log WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'category_items', count(*) FROM items WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'edges', count(*) FROM edges WHERE from_id % 7 <> 0 AND to_id % 7 <> 0")
 def cascade_delete(spark, d):
     given = {"metadata": tables.metadata(spark, d), "access_log": tables.access_log(spark, d), "category_items": tables.category_items(spark, d), "edges": tables.edges(spark, d)}
-    gone = spark.range(0, 1_000_000, 7).select(F.col("id").alias("chunk_id"))
+    ends = [given["edges"].select(F.col(c).alias("chunk_id")) for c in ("from_id", "to_id")]
+    held = [given[t].select("chunk_id") for t in ("metadata", "access_log", "category_items")] + ends
+    gone = functools.reduce(DataFrame.union, held).where("chunk_id % 7 = 0").distinct()
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t, df in store.cascade_delete(given, gone).items()]
     out = parts[0]
     for p in parts[1:]:
@@ -333,6 +370,15 @@ def supersession_chain(spark, d):
     return graph.supersession_chains(tables.edges(spark, d), seeds).select("chunk_id", F.array_join("chain", ",").alias("chain"), "latest")
 
 
+@query("""+newer AS (SELECT to_id AS old, min(from_id) AS new FROM edges WHERE rel_type = 'supersedes' GROUP BY 1),
+    chain AS (SELECT chunk_id, [chunk_id] AS c, false AS done FROM chunks UNION ALL SELECT chunk_id, list_append(c, new), list_contains(c, new) FROM chain JOIN newer ON c[-1] = old WHERE NOT done)
+    SELECT chunk_id, arg_max(array_to_string(c, ','), len(c)) AS chain, arg_max(c[-1], len(c)) AS latest FROM chain GROUP BY 1""")
+def supersession_chain_whole(spark, d):
+    """supersession_chain from all chunks."""
+    seeds = tables.chunks(spark, d)
+    return graph.supersession_chains(tables.edges(spark, d), seeds).select("chunk_id", F.array_join("chain", ",").alias("chain"), "latest")
+
+
 _SIM = "links AS (SELECT a.chunk_id AS x, b.chunk_id AS y FROM chunks a JOIN chunks b ON a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.35)"
 
 
@@ -363,6 +409,12 @@ def isolated_chunks(spark, d):
     return graph.isolated(tables.edges(spark, d).where("from_id % 4 = 0"), tables.metadata(spark, d))
 
 
+@query("SELECT chunk_id FROM meta WHERE chunk_id NOT IN (SELECT from_id FROM edges) AND chunk_id NOT IN (SELECT to_id FROM edges)")
+def isolated_chunks_whole(spark, d):
+    """isolated_chunks among all edges."""
+    return graph.isolated(tables.edges(spark, d), tables.metadata(spark, d))
+
+
 # categories
 
 
@@ -540,6 +592,15 @@ def token_savings(spark, d):
     return rules.savings(merges, docs.select(kept.alias("recommendation"), (F.col("doc_id") % 7).alias("tokens_a"), (F.col("doc_id") % 5).alias("tokens_b")))
 
 
+@query("SELECT greatest((SELECT sum(ceil(length(text) / 4) - ceil(length(text) / 8))::BIGINT FROM documents) + (SELECT sum(least(doc_id % 7, doc_id % 5))::BIGINT FROM documents WHERE doc_id % 3 < 2), 0) AS tokens_saved", with_tables=False)
+def token_savings_whole(spark, d):
+    """token_savings with every document merged."""
+    docs = tables.table(spark, d, "documents")
+    merges = docs.select(N.token_estimate(F.col("text")).alias("before"), F.ceil(F.length("text") / 8).alias("after"))
+    kept = F.element_at(F.array(F.lit("keep_newer"), F.lit("keep_specific"), F.lit("merge")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return rules.savings(merges, docs.select(kept.alias("recommendation"), (F.col("doc_id") % 7).alias("tokens_a"), (F.col("doc_id") % 5).alias("tokens_b")))
+
+
 @query(f"+{_KNN.format(k=60)} SELECT round(least(1.0, least(count_if(score > 0.1) / 10, 0.9) + least(max(chunk_id % 3) * 0.1, 0.2)), 6) AS confidence FROM (SELECT chunk_id, score FROM knn60)")
 def confidence(spark, d):
     hits = knn.knn(tables.chunks(spark, d), tables.query_vector(spark, d), 60)
@@ -620,6 +681,13 @@ def sliding_access_counts(spark, d):
     return found.select(F.unix_seconds("window_start").alias("window_start"), "chunk_id", "accesses")
 
 
+@query("""SELECT epoch_us(w)::BIGINT // 1000000 AS window_start, chunk_id, count(*) AS accesses FROM (SELECT chunk_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, accessed_at) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, accessed_at), INTERVAL 1 HOUR)) AS w FROM access_log) GROUP BY 1, 2""")
+def sliding_access_counts_whole(spark, d):
+    """sliding_access_counts of all chunks."""
+    found = access.sliding_counts(tables.access_log(spark, d))
+    return found.select(F.unix_seconds("window_start").alias("window_start"), "chunk_id", "accesses")
+
+
 @query("SELECT event_type AS \"group\", round(avg(value), 6) AS value FROM events GROUP BY 1", with_tables=False)
 def generic_aggregate(spark, d):
     return aggregates.aggregate(tables.table(spark, d, "events"), "avg", "value", "event_type").select(F.col("event_type").alias("group"), r6("value"))
