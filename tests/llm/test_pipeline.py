@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import queries
+from tidemark.llm import packing, queries
 from tidemark.llm.common import scratch, table
 from tests.llm.test_llm_operators import brute_components, brute_dedup, brute_targets, words_of
 
@@ -49,6 +49,27 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_last_stages_and_run(spark):
+    """run() gives what the stages in turn give, and each token id of each mixed row once."""
+    docs, out = table(spark, DATA, "documents"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(docs := scratch(stage(spark, docs, DATA), name, keep=True))
+    given, mixed, packed = (df.collect() for df in out[-3:])
+    texts = {r.doc_id: Counter(words_of(r.text)) for r in given}
+    assert len(texts) == len(given) and max(Counter(r.doc_id for r in mixed).values()) <= 2
+    assert not any(Counter(words_of(r.text)) - texts[r.doc_id] for r in mixed)
+    wanted = Counter()
+    for r in mixed:
+        ids = packing.token_ids(r.text, packing.default_vocabulary_path()).tolist()
+        wanted.update((r.doc_id, len(ids), at, x) for at, x in enumerate(ids))
+
+    def held(rows):
+        return Counter((r.doc_id, r.doc_tokens, r.start + k, x) for r in rows for k, x in enumerate(r.ids))
+
+    assert all(r.length == len(r.ids) for r in packed) and held(packed) == wanted
+    assert held(corpus_pipeline.run(spark, DATA).collect()) == wanted
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
