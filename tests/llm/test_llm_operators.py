@@ -378,6 +378,23 @@ def test_mixing(docs, nothing, block_words):
     assert mixing.mixed_sizes(nothing).count() == 0
 
 
+def test_sources_and_passes_have_orders_of_their_own(spark):
+    rows = [(n, " ".join(f"{s}{n}w{i}" for i in range(200)), s) for n, s in enumerate("abc")]
+    slots = mixing.mix_blocks(spark.createDataFrame(rows, SCHEMA), share_percent=200, block_words=5)[0].orderBy("slot").collect()
+    orders = defaultdict(list)
+    for r in slots:
+        orders[r.source_key, r["pass"]].append(r.block)
+    assert len(orders) == 6 and all(sorted(o) == list(range(40)) for o in orders.values())
+    assert len({tuple(o[o.index(0) :] + o[: o.index(0)]) for o in orders.values()}) == 6
+
+
+def test_permutation_by_a_key_of_the_row(spark):
+    rows = [(k, n, x) for k in (3, -5, 2**62) for n in (1, 2, 3, 50, 101) for x in range(n)]
+    df = spark.createDataFrame(rows, "k long, n long, x long").withColumn("y", feistel.permute(F.col("x"), F.col("n"), F.col("k")))
+    got = df.withColumn("back", feistel.permute(F.col("y"), F.col("n"), F.col("k"), inverse=True)).collect()
+    assert sorted((r.k, r.n, r.y) for r in got) == sorted(rows) and all(r.back == r.x for r in got)
+
+
 def test_mixed_documents(docs):
     want = {(r.id, r.row_hash, r.copy): r.taken for r in mixing.mixed_sizes(docs, block_words=16).collect()}
     mixed = mixing.mixed_documents(docs, block_words=16)

@@ -50,14 +50,17 @@ def _applied(x: Column, a: Column, b: Column, keys: Column, forward: bool) -> Co
     return F.aggregate(keys, start, step, lambda s: s["l"] * s["b"] + s["r"])
 
 
-def permute(x: Column, n: Column, key: int, inverse: bool = False) -> Column:
+def permute(x: Column, n: Column, key: int | Column, inverse: bool = False) -> Column:
     """Where the permutation of 0 .. n-1 under the key sends x, or with inverse, what it sends to
-    x. n may differ by row. Null for null x."""
+    x. n may differ by row, and so may a key given as a column of longs. Null for null x."""
     x, n = x.cast("long"), n.cast("long")
     a = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("long"), F.lit(1).cast("long"))
     b = div(n + a - 1, a)
-    order = round_keys(key) if not inverse else round_keys(key)[::-1]
-    keys = F.array(*[F.lit(k).cast("long") for k in order])
+    if isinstance(key, Column):
+        order = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(PRIME).cast("long")) for i in range(ROUNDS)]
+    else:
+        order = [F.lit(k).cast("long") for k in round_keys(key)]
+    keys = F.array(*(order[::-1] if inverse else order))
     first = _applied(x, a, b, keys, not inverse)
     walk = F.sequence(F.lit(1).cast("long"), F.greatest(a * b - n, F.lit(1).cast("long")))
     return F.when(first < n, first).otherwise(

@@ -5,8 +5,8 @@ be shorter. A source is given a target of words by weight, at most `repeats` tim
 the excess of those that reach it is shared among the rest by weight. For every output shard a
 multinomial draw says how many slots each source gets in it; the draws become ranges of the
 source's slots, clipped to what its target needs, and what the draws leave over is dealt in turn.
-Slot j of a pass over a source holds block p(j), p being the source's own Feistel permutation, so
-a block is used at most once a pass. Slots and the documents' pieces of blocks meet by source and
+Slot j of a pass over a source holds block p(j), p being the Feistel permutation of that source
+and pass, so a block is used at most once a pass. Slots and the documents' pieces of blocks meet by source and
 block number. The slot in which a source reaches its target holds only the first words of its
 block, so a source's words come within one word of its target.
 
@@ -136,11 +136,11 @@ def mix_blocks(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share_percen
         "source_key", "source_no", "source_size", "goal", "shard", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + RANGE, F.col("high")) - 1)).alias("slot")
     )
     each = each.withColumn("n_blocks", blocks).withColumns({"pass": div(F.col("slot"), F.col("n_blocks")), "j": F.col("slot") % F.col("n_blocks")})
-    # a source's own permutation: the common one after a turn by a number drawn from its own
-    turn = F.pmod(F.xxhash64(F.col("source_key"), F.lit(key), F.col("pass")), F.col("n_blocks"))
+    # a permutation of each source and pass
+    own = F.xxhash64(F.col("source_key"), F.lit(key), F.col("pass"))
     each = each.withColumns({
-        "block": permute((F.col("j") + turn) % F.col("n_blocks"), F.col("n_blocks"), key),
-        "short_at": F.pmod(permute(F.col("n_blocks") - 1, F.col("n_blocks"), key, inverse=True) - turn, F.col("n_blocks")),
+        "block": permute(F.col("j"), F.col("n_blocks"), own),
+        "short_at": permute(F.col("n_blocks") - 1, F.col("n_blocks"), own, inverse=True),
     })
     lacking = F.col("n_blocks") * block - F.col("source_size")
     length = block - F.when(F.col("block") == F.col("n_blocks") - 1, lacking).otherwise(F.lit(0))
