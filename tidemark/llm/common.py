@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +33,27 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SEPARATOR_RUN))
 
 
+def packed(docs: DataFrame, **own: str) -> DataFrame:
+    """The columns of docs that `own` names, under the names given, and all others as fields of one
+    struct `rest`: whatever they are called, they clash with nothing that an operator adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own.values()]
+    return docs.select(*[F.col(f"`{c}`").alias(n) for n, c in own.items()], (F.struct(*rest) if rest else F.lit(0)).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **own: str) -> list[Column]:
+    """The columns of a table that `packed` took apart, in their order."""
+    names = {c: n for n, c in own.items()}
+    return [(df[names[c]] if c in names else df["rest"].getField(c)).alias(c) for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made for this
-    session where the setting is absent (a local test session)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the setting is absent,
+    a local session gets a folder of its own; on a cluster that is an error, as executors would each
+    write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         _at_exit(spark, found)
@@ -52,11 +70,21 @@ def _at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_remove, spark, path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Removes the scratch tables of operators whose results have been written. DataFrames that
-    still wait to be computed from such tables can't be afterwards."""
-    while _passing:
-        _remove(spark, _passing.pop())
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Owns the scratch tables made inside and removes them at its end, but for those to be kept,
+    which fall to the block around it, or to the end of the driver. What is made outside, by this
+    or another thread, stays. A result computed later must not read a table of a block that ended:
+    write it with keep=True as the last thing inside."""
+    around = _owner.get()
+    own: list[str] = []
+    token = _owner.set((own, around))
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for path in own:
+            _remove(spark, path)
 
 
 def release() -> None:
@@ -73,18 +101,23 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-#: Scratch tables that drop_scratch removes.
-_passing: list[str] = []
+#: The innermost block of `passing` here, and those around it.
+_owner: contextvars.ContextVar[tuple[list[str], object] | None] = contextvars.ContextVar("owner", default=None)
 
 
 def scratch(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again. Cuts the lineage:
-    a lost executor costs a re-read, not the recomputation of what stands before. The table is
-    removed when the driver ends, or by drop_scratch unless it is to be kept."""
+    a lost executor costs a re-read, not the recomputation of what stands before. The table goes
+    with the block of `passing` that it is made in, or with the one around that if it is to be kept;
+    without such a block, when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    owner = _owner.get()
+    if keep and owner is not None:
+        owner = owner[1]
+    if owner is None:
+        _at_exit(spark, path)
+    else:
+        owner[0].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _at_exit(spark, path)
-    if not keep:
-        _passing.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SEPARATORS, bounded_batches, release, scratch
+from tidemark.llm.common import SEPARATORS, bounded_batches, packed, passing, release, scratch, unpacked
 from tidemark.llm.components import components, joined
 from tidemark.llm.recompress import mixed
 
@@ -279,15 +279,9 @@ def _named(classes: DataFrame) -> DataFrame:
     return classes.join(shared, "least", "left").withColumn("node", F.when(F.col("shared"), hashed).otherwise(F.coalesce("least", hashed))).drop("shared")
 
 
-def _rows_in_components(docs: DataFrame, k: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """id, text_hash, n, comp (null for an empty set) and component_id of every document."""
+def _labels(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """node and comp of every class of equal sets that is linked with another."""
     num, den = share
-    bounded_batches(docs.sparkSession)
-    counts = word_counts(docs, text_col)
-    rows = scratch(node_rows(docs, counts, k, share, id_col, text_col), "set-rows")
-    # equal sets are one node
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.struct("n", "prefix", "bits")).alias("s"))
-    classes = scratch(_named(scratch(classes.select("k1", "k2", "least", "s.*"), "classes")), "nodes")
     ids = classes.select("k1", "k2", "node", "least")
     nodes = classes.where("prefix is not null").select("node", "n", "prefix", "bits")
     base = math.log(den / num) * 1.0001
@@ -334,8 +328,20 @@ def _rows_in_components(docs: DataFrame, k: int, share: tuple[int, int], id_col:
     undecided = last.where("verdict is null").select("a", "b")
     sets = _with_sets(undecided, sets, build)
     linked = _measured(undecided, sets, share).where("linked").select("a", "b")
-    labels = joined(labels, linked.unionByName(last.where("verdict").select("a", "b")))
+    return joined(labels, linked.unionByName(last.where("verdict").select("a", "b")))
+
 
+def _rows_in_components(docs: DataFrame, k: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash, n, comp (null for an empty set) and component_id of every document."""
+    bounded_batches(docs.sparkSession)
+    counts = word_counts(docs, text_col)
+    rows = scratch(node_rows(docs, counts, k, share, id_col, text_col), "set-rows")
+    # equal sets are one node
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.struct("n", "prefix", "bits")).alias("s"))
+    classes = scratch(_named(scratch(classes.select("k1", "k2", "least", "s.*"), "classes")), "nodes")
+    ids = classes.select("k1", "k2", "node", "least")
+    with passing(docs.sparkSession):
+        labels = scratch(_labels(docs, rows, classes, k, share, id_col, text_col), "labels", keep=True)
     found = ids.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = found.join(least, "comp").select("k1", "k2", "comp", "component_id")
@@ -360,15 +366,17 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int]
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each component: that with the smallest id, and of several texts
-    of that id one. Texts without words are linked with nothing and all stay. Further columns stay;
-    one named _hash is lost."""
+    of that id one. Texts without words are linked with nothing and all stay, null ones too. Of
+    repeated rows one stays. An empty table gives no rows. Further columns stay, whatever their names."""
+    own = {"id": id_col, "text": text_col}
     found = _rows_in_components(docs, k, share, id_col, text_col).where("comp is not null")
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.text_hash").alias("_hash"))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("f")).select(F.col("f.id").alias("id"), F.col("f.text_hash").alias("hash"))
     first = first.distinct().hint("merge")
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    blank = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SEPARATORS)) == ""
-    met = hashed.where(~blank).alias("d").join(first.alias("f"), F.col(f"d.{id_col}").eqNullSafe(F.col("f._id")) & (F.col("d._hash") == F.col("f._hash")), "left_semi")
+    given = packed(docs, **own).withColumn("hash", F.xxhash64("text"))
+    blank = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SEPARATORS)) == ""
+    met = given.where(~blank).alias("d").join(first.alias("f"), F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.hash") == F.col("f.hash")), "left_semi")
     # repeated rows of the chosen document: one of them
-    again = met.groupBy(id_col, "_hash").agg(F.count("*").alias("c")).where("c > 1")
-    kept = met if again.isEmpty() else met.dropDuplicates([id_col, "_hash"])
-    return kept.drop("_hash").unionByName(docs.where(blank))
+    again = met.groupBy("id", "hash").agg(F.count("*").alias("c")).where("c > 1")
+    kept = met if again.isEmpty() else met.dropDuplicates(["id", "hash"])
+    kept = kept.unionByName(given.where(blank))
+    return kept.select(*unpacked(kept, docs.columns, **own))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import scratch, words
+from tidemark.llm.common import packed, scratch, unpacked, words
 from tidemark.llm.feistel import div, permute
 
 BLOCK_WORDS = 256
@@ -171,15 +171,20 @@ def mixed_sizes(docs: DataFrame, **options: object) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The mix as documents: for every document and pass the words taken, in order, with the other
     columns of the document. A document taken whole keeps its text as it is; otherwise words are
-    joined by one space. One taken in both passes gives two rows, one taken not at all none."""
-    placements, documents = mix_blocks(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    joined by one space. One taken in both passes gives two rows, one taken not at all none. A null
+    or blank text has no words and gives no row; null is a source of its own; repeated rows are
+    mixed as documents of their own; an empty table gives none; other columns keep any names."""
+    own = {"id": id_col, "text": text_col, "source": source_col}
+    given = packed(docs, **own)
+    placements, _ = mix_blocks(given, id_col="id", text_col="text", source_col="source", **options)
     row = ["source_key", "id", "row_hash", "copy", "pass"]
-    spans = placements.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"), F.sum(F.col("last") - F.col("first")).alias("_taken"))
-    spans = spans.select(F.col("id").alias("_id"), F.col("source_key").alias("_source_key"), F.col("row_hash").alias("_row_hash"), F.col("copy").alias("_copy"), "_spans", "_taken")
-    own = docs.withColumns({"_row_hash": F.xxhash64(text_col), "_source_key": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))})
-    repeated = W.partitionBy(id_col, "_row_hash", "_source_key").orderBy(F.lit(0))
-    own = own.withColumn("_copy", (F.row_number().over(repeated) - 1).cast("long"))
-    match = own[id_col].eqNullSafe(spans["_id"]) & (own["_row_hash"] == spans["_row_hash"]) & (own["_source_key"] == spans["_source_key"]) & (own["_copy"] == spans["_copy"])
-    joined = own.join(spans.hint("merge"), match).withColumn("_w", words(F.col(text_col)))
-    cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_w"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " ")
-    return joined.withColumn(text_col, F.when(F.col("_taken") == F.size("_w"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    spans = placements.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum(F.col("last") - F.col("first")).alias("taken"))
+    given = given.withColumns({"row_hash": F.xxhash64("text"), "source_key": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))})
+    repeated = W.partitionBy("id", "row_hash", "source_key").orderBy(F.lit(0))
+    given = given.withColumn("copy", (F.row_number().over(repeated) - 1).cast("long"))
+    matches = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) if c == "id" else F.col(f"d.{c}") == F.col(f"s.{c}") for c in row[:-1]]
+    joined = given.alias("d").join(spans.hint("merge").alias("s"), matches[0] & matches[1] & matches[2] & matches[3])
+    joined = joined.select("d.*", "s.spans", "s.taken").withColumn("w", words(F.col("text")))
+    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("w"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " ")
+    joined = joined.withColumn("text", F.when(F.col("taken") == F.size("w"), F.col("text")).otherwise(cut))
+    return joined.select(*unpacked(joined, docs.columns, **own))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PRIME, SEPARATORS, words
+from tidemark.llm.common import PRIME, SEPARATORS, packed, unpacked, words
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
@@ -118,9 +118,12 @@ def _fixed(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def kept_documents(docs: DataFrame, trusted: DataFrame, **options: object) -> DataFrame:
-    """The documents that quality_verdicts keeps, with their own columns."""
-    return quality_verdicts(docs, trusted, **options).where("kept").select(*docs.columns)
+def kept_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The documents that quality_verdicts keeps, with their own columns, whatever their names."""
+    own = {"id": id_col, "text": text_col}
+    given = packed(docs, **own)
+    found = quality_verdicts(given, trusted.withColumnRenamed(id_col, "id"), id_col="id", text_col="text", **options).where("kept")
+    return found.select(*unpacked(found, docs.columns, **own))
 
 
 def quality_verdicts(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING, max_trusted: int = MAX_TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,11 +12,11 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import PRIME, scratch
+from tidemark.llm.common import PRIME, packed, scratch, unpacked
 from tidemark.llm.feistel import div, permute
 
 #: Buckets of the numbering; bounds the offsets table that is broadcast.
@@ -44,6 +44,12 @@ def number_rows(groups: DataFrame, order: list[str], id_col: str, crc_col: str,
     )
 
 
+def _row_hash(docs: DataFrame, text_col: str) -> Column:
+    """Hash of a row's columns; maps can't be hashed and are left out."""
+    hashed = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and n != text_col]
+    return F.xxhash64(F.col(text_col), *hashed)
+
+
 def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row per document: id, size (UTF-8 bytes of the text plus 1), text_crc32, row_hash (of
     all columns), row_number, position (its place in the shuffle), shard and slot.
@@ -53,13 +59,12 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, key: int = KEY, id_
     columns are left out); names that clash with the outputs do no harm, as only the id and the
     text are carried on.
     """
-    hashed = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and n != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64(F.col(text_col), *hashed).alias("row_hash"),
+        _row_hash(docs, text_col).alias("row_hash"),
     )
     columns = ["id", "text_crc32", "size", "row_hash"]
     numbered = number_rows(base.groupBy(*columns).agg(F.count("*").alias("copies")), columns, "id", "text_crc32", buckets)
@@ -73,13 +78,21 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, key: int = KEY, id_
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, and their shard and slot, ready to be written with
-    partitionBy("shard") and sorted by slot. Distinct rows are joined to their places by a hash of
-    all their columns, and a row that occurs n times takes n places."""
-    hashed = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and n != text_col]
-    places = assign_shards(docs, n_shards, key, id_col, text_col).select(
-        F.col(id_col).alias("_id"), F.col("row_hash").alias("_row_hash"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
-    )
-    plain = [c for c in docs.columns if c not in ("shard", "slot")]
-    distinct = docs.withColumns({"_row_hash": F.xxhash64(F.col(text_col), *hashed), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")))}).dropDuplicates()
-    joined = distinct.join(places, (distinct[id_col].eqNullSafe(places["_id"])) & (distinct["_row_hash"] == places["_row_hash"]) & (distinct["_crc"] == places["_crc"]))
-    return joined.select(*plain, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    partitionBy("shard") and sorted by slot. Rows meet their places by a hash of all their columns
+    but maps; a row that occurs n times takes n places.
+
+    A null text or id is an ordinary value. Repeated rows, and rows that differ in a map only, each
+    get a place of their own. An empty table gives no rows. Columns named shard or slot are replaced;
+    all others stay, whatever their names and kinds.
+    """
+    own = {"id": id_col, "text": text_col}
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    places = assign_shards(docs, n_shards, key, id_col, text_col).select(F.col(id_col).alias("id"), "row_hash", F.col("text_crc32").alias("crc"), "shard", "slot")
+    number = lambda by: (F.row_number().over(W.partitionBy("id", "row_hash", "crc").orderBy(by))).alias("copy")
+    places = places.select("*", number("slot"))
+    given = packed(docs.select("*", _row_hash(docs, text_col).alias("the row's hash")), **own, row_hash="the row's hash")
+    given = given.withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    given = given.select("*", number(F.lit(0)))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) if c == "id" else F.col(f"d.{c}") == F.col(f"p.{c}") for c in ("id", "row_hash", "crc", "copy")]
+    joined = given.alias("d").join(places.alias("p"), same[0] & same[1] & same[2] & same[3]).select("d.*", "p.shard", "p.slot")
+    return joined.select(*unpacked(joined, columns, **own), "shard", "slot")

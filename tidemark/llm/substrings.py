@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, release, scratch, words
+from tidemark.llm.common import bounded_batches, packed, release, scratch, unpacked, words
 from tidemark.llm.recompress import CONTEXT, LONGEST, Hasher, anchors
 
 WINDOW = 35
@@ -161,13 +161,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "tex
 
     A null text stays null, an empty one empty; both lose nothing. Texts of any length are taken
     whole. Repeated rows of at least `window` words lose all their words, as each window occurs
-    again. An empty table gives no rows. Columns named n_removed, k1, k2 or spans are replaced.
+    again. An empty table gives no rows. Further columns stay, whatever their names, but for one
+    named n_removed, which is replaced.
     """
-    found = with_spans(docs.drop("n_removed", "k1", "k2", "spans", "ranges", "w"), window, text_col)
+    own = {"text": text_col}
+    found = with_spans(packed(docs, **own), window, "text")
     same = F.col("spans").isNull()
-    out = found.withColumn("_w", words(F.col(text_col))).withColumn("_kept", F.when(same, F.col("_w")).otherwise(_kept(F.col("_w"), F.col("spans"))))
-    text = F.when(same, F.col(text_col)).otherwise(F.array_join("_kept", " "))
-    return out.withColumns({"n_removed": (F.size("_w") - F.size("_kept")).cast("long"), text_col: text}).drop("_w", "_kept", "spans", *KEY)
+    out = found.withColumn("w", words(F.col("text"))).withColumn("kept", F.when(same, F.col("w")).otherwise(_kept(F.col("w"), F.col("spans"))))
+    out = out.withColumns({"n_removed": (F.size("w") - F.size("kept")).cast("long"), "text": F.when(same, F.col("text")).otherwise(F.array_join("kept", " "))})
+    return out.select(*unpacked(out, [c for c in docs.columns if c != "n_removed"], **own), "n_removed")
 
 
 def dedup_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
