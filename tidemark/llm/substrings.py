@@ -8,8 +8,10 @@ others, the stretch that all windows of a symbol cover is compared by a 128-bit
 occurs again, all its windows do. What remains, the ends of repeats, is decided window by window
 in the same manner, against one copy of each stretch found whole.
 
-About one row per ten words is shuffled for the signatures, and the texts themselves once: to the
-ranges that are looked at window by window and to what is removed, through the same exchange.
+About one row per ten words is written and shuffled for the signatures, and the texts themselves twice:
+to the ranges that are looked at window by window, and to what is removed.
+Hot keys (a signature, window or text that many rows share) are never dealt to one task: keys with more
+than 1/20,000 of the rows, hence at most 20,000, are broadcast and their rows stay where they lie.
 """
 
 from __future__ import annotations
@@ -21,26 +23,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, packed, release, scratch, unpacked, words
+from tidemark.llm.common import bounded_batches, packed, passing, release, scratch, unpacked, words
 from tidemark.llm.recompress import CONTEXT, LONGEST, Hasher, anchors
 
 WINDOW = 35
 #: Words that a worker parses at once.
 PART_WORDS = 150_000
 KEY = ["k1", "k2"]
+#: A key is hot with more rows than HOT_ROWS and than all rows / HOT_KEYS.
+HOT_ROWS = 1000
+HOT_KEYS = 20_000
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """A batch in parts of bounded size: rows, all word hashes, and the place of each text's first."""
-    column = batch.column(batch.schema.get_field_index("w"))
-    ends = column.offsets.to_numpy()
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """A batch in parts of bounded size: rows, both hashes of all words, and the place of each text's
+    first word."""
+    place = batch.schema.get_field_index("w")
+    ends = batch.column(place).offsets.to_numpy()
     at = 0
     while at < len(batch):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_WORDS, side="right")) - 1)
         part = batch.slice(at, to - at)
-        held = part.column(batch.schema.get_field_index("w"))
+        held = part.column(place).flatten()
         first = ends[at : to + 1].astype(np.int64) - ends[at]
-        yield part, held.flatten().to_numpy(zero_copy_only=False).view(np.uint64), first
+        yield part, *(held.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1)), first
         at = to
 
 
@@ -50,7 +56,8 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _hashed(text_col: str) -> Column:
-    return F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("w")
+    """Two hashes of every word, of which no one follows from the other."""
+    return F.transform(words(F.col(text_col)), lambda w: F.struct(F.xxhash64(w), F.xxhash64(F.lit("other"), w))).alias("w")
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -63,9 +70,9 @@ def signatures(docs: DataFrame, window: int, text_col: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, hashes, first in _parts(batch):
+            for part, hashes, others, first in _parts(batch):
                 doc = np.repeat(np.arange(len(part)), np.diff(first))
-                one, two = Hasher(hashes), Hasher(hashes, 1)
+                one, two = Hasher(hashes), Hasher(others, 1)
                 start, end, low, high = anchors(hashes, doc, first, window, one)
                 known = start >= 0
                 sig = np.zeros(len(start), np.uint64)
@@ -88,7 +95,7 @@ def window_hashes(docs: DataFrame, window: int, text_col: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, hashes, first in _parts(batch):
+            for part, hashes, others, first in _parts(batch):
                 spans = part.column(part.schema.get_field_index("ranges"))
                 row = np.repeat(np.arange(len(part)), np.diff(spans.offsets.to_numpy()))
                 flat = spans.flatten()
@@ -97,43 +104,69 @@ def window_hashes(docs: DataFrame, window: int, text_col: str) -> DataFrame:
                 place = np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
                 row = np.repeat(row, lengths)
                 at = place + first[row]
-                one, two = Hasher(hashes), Hasher(hashes, 1)
+                one, two = Hasher(hashes), Hasher(others, 1)
                 yield pa.RecordBatch.from_arrays([
                     _signed(one(at, at + window)), _signed(two(at, at + window)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
                     pa.array(place.astype(np.int32)), pa.array(np.repeat(weight, lengths).astype(np.int32)),
                 ], ["u1", "u2", *KEY, "first", "weight"])
         release()
 
-    # all columns are read, so that the plan shares the exchange of the documents with the caller's
-    rest = [c for c in docs.columns if c not in (*KEY, "ranges", "w")]
-    given = docs.select(*KEY, _hashed(text_col), "ranges", *rest)
+    given = docs.select(*KEY, _hashed(text_col), "ranges")
     return given.mapInArrow(work, "u1 long, u2 long, k1 long, k2 long, first int, weight int")
 
 
+def _frequent(counts: DataFrame) -> tuple[DataFrame, int]:
+    """The hot ones of a table of keys with their counts n, and the count above which a key is hot.
+    There are at most HOT_KEYS, as each has more than that part of all rows: they may be broadcast."""
+    limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    return F.broadcast(counts.where(F.col("n") > limit)), limit
+
+
+def _times(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of a written table with n, how often their key occurs; null for once. Rows with a hot
+    key get it by broadcast, the others by a join in which no key is hot."""
+    counts = scratch(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "times")
+    hot, limit = _frequent(counts)
+    split = rows.join(hot, key, "left")
+    rest = split.where("n is null").drop("n").join(counts.where(F.col("n") <= limit).hint("merge"), key, "left")
+    return split.where("n is not null").unionByName(rest)
+
+
 def repeated_spans(docs: DataFrame, window: int, text_col: str) -> DataFrame:
     """k1, k2 and spans, a sorted array of (first, end) in words: all words of a text that lie in a
-    window whose words also start elsewhere. docs has k1 and k2."""
-    signed = signatures(docs, window, text_col)
-    named = signed.where("sig is not null")
-    twice = named.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    shared = named.join(twice, "sig", "left_semi").unionByName(signed.where("sig is null"))
-    shared = scratch(shared, "shared")
-    counted = shared.groupBy("u1", "u2").agg(F.count("*").alias("n"))
-    marked = scratch(shared.join(counted, ["u1", "u2"]).withColumn("sig", F.coalesce("sig", F.lit(0))), "stretches")
-    whole, rest = marked.where("n > 1"), marked.where("n = 1")
+    window whose words also start elsewhere. docs has k1 and k2, and one row at least of each text."""
+    spark = docs.sparkSession
+    with passing(spark):
+        with passing(spark):
+            signed = scratch(signatures(docs, window, text_col), "signed")
+            named = _times(signed.where("sig is not null"), ["sig"]).where("n is not null")
+            shared = scratch(named.unionByName(signed.where("sig is null").withColumn("n", F.lit(None).cast("long"))).withColumnRenamed("n", "sig_n"), "shared", keep=True)
+        marked = scratch(_times(shared, ["u1", "u2"]).withColumn("sig", F.coalesce("sig", F.lit(0))), "stretches", keep=True)
+    whole, rest = marked.where("n is not null"), marked.where("n is null")
     found = whole.select(*KEY, "first", (F.col("last") + window).alias("end")).distinct()
     # windows of the rest are looked up among themselves and in one copy of each stretch found
-    # whole that has their signature; such a copy stands for two
-    one_copy = whole.groupBy("u1", "u2").agg(F.min(F.struct(*KEY, "first", "last", "sig")).alias("s")).select("s.*")
-    one_copy = one_copy.join(rest.select("sig").distinct(), "sig", "left_semi")
+    # whole that has their signature; such a copy stands for two. For a hot signature, all that is
+    # found whole is looked at, without asking whether the rest has it too
+    one_copy = whole.groupBy("u1", "u2").agg(F.min(F.struct(*KEY, "first", "last", "sig", "sig_n")).alias("s")).select("s.*")
+    busy = F.coalesce(F.col("sig_n") > HOT_ROWS, F.lit(True))
+    one_copy = one_copy.where(busy).unionByName(one_copy.where(~busy).join(rest.where(~busy).select("sig").distinct().hint("merge"), "sig", "left_semi").select(*one_copy.columns))
     looked = rest.select(*KEY, "first", "last", F.lit(1).alias("weight")).unionByName(one_copy.select(*KEY, "first", "last", F.lit(2).alias("weight")))
     looked = looked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "weight")).alias("ranges"))
-    each = window_hashes(docs.join(looked.hint("merge"), KEY), window, text_col)
-    again = each.groupBy("u1", "u2").agg(F.sum("weight").alias("n"), F.min("weight").alias("least")).where("n > 1 and least = 1")
-    ends = each.where("weight = 1").join(again.select("u1", "u2"), ["u1", "u2"], "left_semi").select(*KEY, "first", (F.col("first") + window).alias("end"))
+    each = scratch(window_hashes(docs.join(looked.hint("merge"), KEY), window, text_col), "windows")
+    ends = _again(each).select(*KEY, "first", (F.col("first") + window).alias("end"))
     return found.unionByName(ends).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
 
+def _again(each: DataFrame) -> DataFrame:
+    """The windows of weight 1 whose words occur again, rows with hot words apart."""
+    key = ["u1", "u2"]
+    counts = scratch(each.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("weight").alias("least")).where("n > 1 and least = 1").select(*key, "n"), "times")
+    hot, limit = _frequent(counts)
+    split = each.where("weight = 1").join(hot, key, "left")
+    rest = split.where("n is null").drop("n").join(counts.where(F.col("n") <= limit).select(*key).hint("merge"), key, "left_semi")
+    return split.where("n is not null").drop("n").unionByName(rest)
+
+
 def _kept(w: Column, spans: Column) -> Column:
     """The words outside the sorted spans."""
     step: Callable[[Column, Column], Column] = lambda s, r: F.struct(
@@ -146,12 +179,22 @@ def _kept(w: Column, spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, window: int, text_col: str) -> DataFrame:
-    """The documents with k1, k2 and spans, null where nothing is removed."""
+    """The documents with k1, k2 and spans, null where nothing is removed. All words of a text that
+    occurs again are repeated; so the copies of hot texts need no look-up, and one of each stands for
+    them where others are compared."""
     if window < 2 * CONTEXT + 2 * LONGEST:
         raise ValueError(f"window must have at least {2 * CONTEXT + 2 * LONGEST} words")
     bounded_batches(docs.sparkSession)
-    given = keyed(docs, text_col)
-    return given.join(repeated_spans(given, window, text_col).hint("merge"), KEY, "left")
+    given, there = keyed(docs, text_col), F.col(text_col).isNotNull()
+    hot, _ = _frequent(scratch(given.where(there).groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), "texts"))
+    split = given.join(hot, KEY, "left")
+    cold, copies = split.where(F.col("n").isNull() & there).drop("n"), split.where(F.col("n").isNotNull() | ~there).drop("n")
+    one = scratch(copies.where(there).select(*KEY, text_col).dropDuplicates(), "hot-texts")
+    known = cold.select(*KEY, text_col).unionByName(one).unionByName(one)
+    found = cold.join(repeated_spans(known, window, text_col).hint("merge"), KEY, "left")
+    n_words = F.size(words(F.col(text_col)))
+    whole = F.when(n_words >= window, F.array(F.struct(F.lit(0).alias("first"), n_words.alias("end"))))
+    return found.unionByName(copies.withColumn("spans", whole))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
