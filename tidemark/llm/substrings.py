@@ -117,9 +117,11 @@ def window_hashes(docs: DataFrame, window: int, text_col: str) -> DataFrame:
 
 def _frequent(counts: DataFrame) -> tuple[DataFrame, int]:
     """The hot ones of a table of keys with their counts n, and the count above which a key is hot.
-    There are at most HOT_KEYS, as each has more than that part of all rows: they may be broadcast."""
+    There are at most HOT_KEYS, as each has more than that part of all rows: they may be broadcast.
+    A row without a key, which nothing meets, keeps the plan the same where nothing is hot."""
     limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    return F.broadcast(counts.where(F.col("n") > limit)), limit
+    nothing = counts.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in counts.schema])
+    return F.broadcast(counts.where(F.col("n") > limit).unionByName(nothing)), limit
 
 
 def _times(rows: DataFrame, key: list[str]) -> DataFrame:
