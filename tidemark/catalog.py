@@ -55,20 +55,10 @@ def knn_source_filter(spark, d):
     return retrieval.search(tables.chunks(spark, d), tables.query_vector(spark, d), 10, ["src1", "src2"]).select("chunk_id", r6("score"))
 
 
-@query("""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT q.chunk_id AS query_id, c.chunk_id, list_cosine_similarity(c.embedding, q.embedding) AS score,
-    row_number() OVER (PARTITION BY q.chunk_id ORDER BY list_cosine_similarity(c.embedding, q.embedding) DESC, c.chunk_id)::INT AS rank
-    FROM chunks c, chunks q WHERE q.chunk_id < 8) WHERE rank <= 5""")
-def knn_multi_query(spark, d):
-    docs = tables.chunks(spark, d)
-    asked = docs.where("chunk_id < 8").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return knn.knn_frame(docs, asked, 5, cells=4).select("query_id", "chunk_id", r6("score"), "rank")
-
-
 @query("""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT q.chunk_id AS query_id, c.chunk_id, list_cosine_similarity(c.embedding, q.embedding) AS score,
     row_number() OVER (PARTITION BY q.chunk_id ORDER BY list_cosine_similarity(c.embedding, q.embedding) DESC, c.chunk_id)::INT AS rank
     FROM chunks c, chunks q WHERE q.chunk_id % 50 = 0) WHERE rank <= 5""")
-def knn_multi_query_whole(spark, d):
-    """knn_multi_query for every id divisible by 50."""
+def knn_multi_query(spark, d):
     docs = tables.chunks(spark, d)
     asked = docs.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
     return knn.knn_frame(docs, asked, 5).select("query_id", "chunk_id", r6("score"), "rank")
@@ -155,26 +145,18 @@ def _scored(spark, d):
     return tables.chunks(spark, d).select("chunk_id", V.cosine(F.col("embedding"), q).alias("score"))
 
 
-@query(f"""+hops AS (SELECT chunk_id, {_COS} AS score, chunk_id AS ord FROM chunks WHERE chunk_id < 300 UNION ALL SELECT chunk_id, {_COS} * 0.5, chunk_id + 1000 FROM chunks WHERE chunk_id >= 200 AND chunk_id < 400)
-    SELECT chunk_id, round(arg_max(score, ord), 6) AS score, min(ord) AS first FROM hops GROUP BY chunk_id""")
-def multi_hop_merge(spark, d):
-    scored = _scored(spark, d)
-    one = scored.where("chunk_id < 300").withColumn("ord", F.col("chunk_id"))
-    two = scored.where("chunk_id >= 200 and chunk_id < 400").select("chunk_id", (F.col("score") * 0.5).alias("score"), (F.col("chunk_id") + 1000).alias("ord"))
-    return retrieval.merge_hops(one.unionByName(two)).select("chunk_id", r6("score"), "first")
-
-
 @query(f"""+hops AS (SELECT chunk_id, {_COS} AS score, chunk_id AS ord FROM chunks UNION ALL SELECT chunk_id, {_COS} * 0.5, chunk_id + 1000 FROM chunks WHERE chunk_id IN (SELECT to_id FROM edges))
     SELECT chunk_id, round(arg_max(score, ord), 6) AS score, min(ord) AS first FROM hops GROUP BY chunk_id""")
-def multi_hop_merge_whole(spark, d):
-    """multi_hop_merge over all chunks, then all that an edge leads to."""
+def multi_hop_merge(spark, d):
     scored, led = _scored(spark, d), tables.edges(spark, d).select(F.col("to_id").alias("chunk_id"))
     one = scored.withColumn("ord", F.col("chunk_id"))
     two = scored.join(led, "chunk_id", "left_semi").select("chunk_id", (F.col("score") * 0.5).alias("score"), (F.col("chunk_id") + 1000).alias("ord"))
     return retrieval.merge_hops(one.unionByName(two)).select("chunk_id", r6("score"), "first")
 
 
-@query()
+@query("""+hits AS (SELECT chunk_id, score, 10 * h + row_number() OVER (PARTITION BY h ORDER BY score DESC, chunk_id) AS ord FROM (SELECT 0 AS h, chunk_id, list_cosine_similarity(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)) AS score FROM chunks
+    UNION ALL SELECT 1, chunk_id, list_cosine_similarity(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 2)) FROM chunks) QUALIFY row_number() OVER (PARTITION BY h ORDER BY score DESC, chunk_id) <= 10)
+    SELECT chunk_id, round(arg_max(score, ord), 6) AS score FROM hits GROUP BY 1 ORDER BY arg_max(score, ord) DESC, min(ord) LIMIT 20""")
 def recursive_query(spark, d):
     docs = tables.chunks(spark, d)
     vectors = {q: tables.query_vector(spark, d, i) for i, q in enumerate(("what is first?", "why second?"), 1)}
@@ -198,18 +180,9 @@ def decay_scores(spark, d):
     return tables.metadata(spark, d).select("chunk_id", r6("decay_score"))
 
 
-@query("""+days AS (SELECT chunk_id AS item, importance, unnest(range(31)) AS day FROM meta WHERE chunk_id < 50), hits AS (SELECT item, day, importance, (SELECT count(*) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS n, (SELECT max(x) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS last FROM days)
-    SELECT item, day::INT AS day, round(greatest(0.0, least(1.0, 0.3 / (1 + day / 60) + 0.3 * CASE WHEN last IS NOT NULL AND day - last <= 7 THEN least(1.0, least(1.0, n / 5) * (1 + 0.5 * (1 - (day - last) / 7))) ELSE least(1.0, n / 5) END + 0.4 * importance)), 6) AS score FROM hits""")
-def decay_simulation(spark, d):
-    items = tables.metadata(spark, d).where("chunk_id < 50").select(F.col("chunk_id").alias("item"), "importance")
-    seen = items.select("item", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("day")).where(F.col("day") % (2 + F.col("item") % 5) == 0)
-    return N.simulate_decay(items, 30, seen).select("item", "day", r6("score"))
-
-
 @query("""+days AS (SELECT chunk_id AS item, importance, unnest(range(31)) AS day FROM meta), hits AS (SELECT item, day, importance, (SELECT count(*) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS n, (SELECT max(x) FROM range(1, 31) t(x) WHERE x % (2 + item % 5) = 0 AND x <= day) AS last FROM days)
     SELECT item, day::INT AS day, round(greatest(0.0, least(1.0, 0.3 / (1 + day / 60) + 0.3 * CASE WHEN last IS NOT NULL AND day - last <= 7 THEN least(1.0, least(1.0, n / 5) * (1 + 0.5 * (1 - (day - last) / 7))) ELSE least(1.0, n / 5) END + 0.4 * importance)), 6) AS score FROM hits""")
-def decay_simulation_whole(spark, d):
-    """decay_simulation for all chunks."""
+def decay_simulation(spark, d):
     items = tables.metadata(spark, d).select(F.col("chunk_id").alias("item"), "importance")
     seen = items.select("item", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("day")).where(F.col("day") % (2 + F.col("item") % 5) == 0)
     return N.simulate_decay(items, 30, seen).select("item", "day", r6("score"))
@@ -362,19 +335,10 @@ def contradictions(spark, d):
     return graph.contradictions(tables.edges(spark, d), 17).select("other_id", "rel_type")
 
 
-@query("""+newer AS (SELECT to_id AS old, min(from_id) AS new FROM edges WHERE rel_type = 'supersedes' GROUP BY 1),
-    chain AS (SELECT chunk_id, [chunk_id] AS c, false AS done FROM chunks WHERE chunk_id < 100 UNION ALL SELECT chunk_id, list_append(c, new), list_contains(c, new) FROM chain JOIN newer ON c[-1] = old WHERE NOT done)
-    SELECT chunk_id, arg_max(array_to_string(c, ','), len(c)) AS chain, arg_max(c[-1], len(c)) AS latest FROM chain GROUP BY 1""")
-def supersession_chain(spark, d):
-    seeds = tables.chunks(spark, d).where("chunk_id < 100")
-    return graph.supersession_chains(tables.edges(spark, d), seeds).select("chunk_id", F.array_join("chain", ",").alias("chain"), "latest")
-
-
 @query("""+newer AS (SELECT to_id AS old, min(from_id) AS new FROM edges WHERE rel_type = 'supersedes' GROUP BY 1),
     chain AS (SELECT chunk_id, [chunk_id] AS c, false AS done FROM chunks UNION ALL SELECT chunk_id, list_append(c, new), list_contains(c, new) FROM chain JOIN newer ON c[-1] = old WHERE NOT done)
     SELECT chunk_id, arg_max(array_to_string(c, ','), len(c)) AS chain, arg_max(c[-1], len(c)) AS latest FROM chain GROUP BY 1""")
-def supersession_chain_whole(spark, d):
-    """supersession_chain from all chunks."""
+def supersession_chain(spark, d):
     seeds = tables.chunks(spark, d)
     return graph.supersession_chains(tables.edges(spark, d), seeds).select("chunk_id", F.array_join("chain", ",").alias("chain"), "latest")
 
@@ -404,14 +368,8 @@ def top_hubs(spark, d):
     return graph.hubs(tables.edges(spark, d), tables.metadata(spark, d))
 
 
-@query("SELECT chunk_id FROM meta WHERE chunk_id NOT IN (SELECT from_id FROM edges WHERE from_id % 4 = 0) AND chunk_id NOT IN (SELECT to_id FROM edges WHERE from_id % 4 = 0)")
-def isolated_chunks(spark, d):
-    return graph.isolated(tables.edges(spark, d).where("from_id % 4 = 0"), tables.metadata(spark, d))
-
-
 @query("SELECT chunk_id FROM meta WHERE chunk_id NOT IN (SELECT from_id FROM edges) AND chunk_id NOT IN (SELECT to_id FROM edges)")
-def isolated_chunks_whole(spark, d):
-    """isolated_chunks among all edges."""
+def isolated_chunks(spark, d):
     return graph.isolated(tables.edges(spark, d), tables.metadata(spark, d))
 
 
@@ -503,12 +461,6 @@ def truncate_content(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", F.length(X.truncated(F.col("text"))).alias("n"))
 
 
-@query()
-def window_chunks(spark, d):
-    found = chunking.chunk_documents(tables.table(spark, d, "documents"), 256, 25)
-    return found.select("doc_id", "index", F.md5("content").alias("h"))
-
-
 @query("SELECT chunk_id, unnest(CASE WHEN len(g) = 0 THEN ['_other'] ELSE g END) AS \"group\" FROM (SELECT doc_id AS chunk_id, list_filter([CASE WHEN contains(lower(text), 'then') THEN 'then' END, CASE WHEN contains(lower(text), 'ung') THEN 'ung' END], lambda x: x IS NOT NULL) AS g FROM documents)", with_tables=False)
 def keyword_groups(spark, d):
     return chunking.keyword_groups(_tagged(spark, d), ["then", "ung", "(broken"]).select("chunk_id", "group")
@@ -542,23 +494,19 @@ def report_summary(spark, d):
     return rules.report_summary(tables.table(spark, d, "documents").withColumnRenamed("text", "content"))
 
 
-_DOC_TAGS = "string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g')[1:40], ' ')"
+_DOC_WORDS = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '')))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_distinct(list_filter({_DOC_TAGS}, lambda x: x <> '')) AS tags FROM documents)
-    SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS jaccard FROM t a JOIN t b ON a.doc_id < b.doc_id
-    WHERE len(list_distinct(list_concat(a.tags, b.tags))) > 0 AND len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) >= 0.6""", with_tables=False)
+@query(f"""WITH t AS (SELECT {_DOC_WORDS} AS tags, min(doc_id) AS node, count(*) AS n FROM documents GROUP BY 1 HAVING len(tags) > 0),
+    each AS (SELECT node, unnest(tags) AS tag FROM t),
+    met AS (SELECT x.node AS a, y.node AS b, count(*) AS c FROM each x JOIN each y ON x.tag = y.tag AND x.node < y.node GROUP BY 1, 2)
+    SELECT a, b, round(c / (len(x.tags) + len(y.tags) - c), 6) AS jaccard, x.n AS n_a, y.n AS n_b FROM met JOIN t x ON x.node = a JOIN t y ON y.node = b WHERE c / (len(x.tags) + len(y.tags) - c) >= 0.8""", with_tables=False)
 def jaccard_pairs(spark, d):
-    tags = F.filter(F.split(F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 40), " "), lambda x: x != "")
-    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), tags.alias("tags"))
-    return rules.tag_pairs(docs, 0.6).select("a", "b", r6("jaccard"))
-
-
-@query()
-def jaccard_pairs_whole(spark, d):
-    """J7 over the tags of whole texts; jaccard_pairs keeps the 40 letters of its SQL."""
-    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), X.tech_tags(F.col("text")).alias("tags"))
-    return rules.tag_pairs(docs, 0.6).select("a", "b", r6("jaccard"))
+    """J7 over the words of whole texts: pairs of different sets, each with the number of its texts."""
+    tags = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " "), lambda x: x != "")
+    sets = rules.tag_sets(tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), tags.alias("tags")))
+    size = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
+    return rules.tag_set_pairs(sets, 0.8).join(size("a"), "a").join(size("b"), "b").select("a", "b", r6("jaccard"), "n_a", "n_b")
 
 
 @query("""SELECT doc_id, round(greatest(CASE WHEN age > 365 THEN 0.4 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 0.6 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\\b(deprecated|legacy|obsolete)\\b') THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS confidence
@@ -569,32 +517,22 @@ def outdated_refs(spark, d):
     return rules.outdated(docs, tables.now(), [], [(r"\bthe\b", "says the")]).select("doc_id", r6("confidence"))
 
 
-@query()
-def rules_conflicts(spark, d):
-    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("rule_id"), F.col("text").alias("content"))
-    says = (F.size(X.directives(F.col("content"))) > 0) | (F.size(X.preferences(F.col("content"))) > 0)  # others conflict with nobody
-    pairs = rules.tag_pairs(docs.where(says).withColumn("tags", X.tech_tags(F.col("content")))).select("a", "b")
-    return rules.conflicts(docs, pairs)
-
-
-@query()
+@query(r"""WITH t AS (SELECT doc_id, '---' || chr(10) || 'title: doc ' || doc_id || chr(10) || 'tags: [a, "b c"]' || chr(10) || 'empty:' || chr(10) || 'size: 0' || length(text) || '.5' || chr(10) || 'on: true' || chr(10) || '---' || chr(10) || text AS content FROM documents)
+    SELECT doc_id, json_object('title', regexp_extract(content, '(?m)^title: (.*)$', 1), 'tags', list_transform(string_split(regexp_extract(content, '(?m)^tags: \[(.*)\]$', 1), ','), lambda x: trim(trim(x), '"')), 'empty', 0)::VARCHAR AS texts,
+    regexp_extract(content, '(?m)^size: 0(.*)$', 1) AS size, regexp_extract(content, '(?m)^on: (.*)$', 1) AS "on", length(regexp_replace(content, '(?s)^---\n.*?\n---\n', ''))::INT AS n FROM t""", with_tables=False)
 def frontmatter_parse(spark, d):
-    head = F.concat(F.lit("---\ntitle: doc "), F.col("doc_id").cast("string"), F.lit("\ntags: [a, b]\nempty:\n---\n"), F.col("text"))
-    docs = tables.table(spark, d, "documents").select("doc_id", head.alias("content"))
-    return rules.with_frontmatter(docs).select("doc_id", "frontmatter", F.length("body").alias("n"))
-
-
-@query("SELECT greatest((SELECT sum(ceil(length(text) / 4) - ceil(length(text) / 8))::BIGINT FROM documents WHERE doc_id % 10 = 0) + (SELECT sum(least(doc_id % 7, doc_id % 5))::BIGINT FROM documents WHERE doc_id % 3 < 2), 0) AS tokens_saved", with_tables=False)
-def token_savings(spark, d):
-    docs = tables.table(spark, d, "documents")
-    merges = docs.where("doc_id % 10 = 0").select(N.token_estimate(F.col("text")).alias("before"), F.ceil(F.length("text") / 8).alias("after"))
-    kept = F.element_at(F.array(F.lit("keep_newer"), F.lit("keep_specific"), F.lit("merge")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return rules.savings(merges, docs.select(kept.alias("recommendation"), (F.col("doc_id") % 7).alias("tokens_a"), (F.col("doc_id") % 5).alias("tokens_b")))
+    head = F.concat(
+        F.lit("---\ntitle: doc "), F.col("doc_id").cast("string"), F.lit('\ntags: [a, "b c"]\nempty:\nsize: 0'), F.length("text").cast("string"), F.lit(".5\non: true\n---\n"), F.col("text"),
+    )
+    found = rules.with_frontmatter(tables.table(spark, d, "documents").select("doc_id", head.alias("content")))
+    return found.select(
+        "doc_id", F.regexp_replace("frontmatter", ',"size".*', "}").alias("texts"), F.regexp_extract("frontmatter", '"size":([^,]*)', 1).alias("size"),
+        F.get_json_object("frontmatter", "$.on").alias("on"), F.length("body").alias("n"),
+    )
 
 
 @query("SELECT greatest((SELECT sum(ceil(length(text) / 4) - ceil(length(text) / 8))::BIGINT FROM documents) + (SELECT sum(least(doc_id % 7, doc_id % 5))::BIGINT FROM documents WHERE doc_id % 3 < 2), 0) AS tokens_saved", with_tables=False)
-def token_savings_whole(spark, d):
-    """token_savings with every document merged."""
+def token_savings(spark, d):
     docs = tables.table(spark, d, "documents")
     merges = docs.select(N.token_estimate(F.col("text")).alias("before"), F.ceil(F.length("text") / 8).alias("after"))
     kept = F.element_at(F.array(F.lit("keep_newer"), F.lit("keep_specific"), F.lit("merge")), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -667,7 +605,15 @@ def knowledge_edges(spark, d):
     return conversations.knowledge_edges(items)
 
 
-@query()
+_ENTITIES = " + ".join(f"regexp_matches(lower(body), '{p}')::INT" for p, _, _ in C.ENTITY_PATTERNS)
+
+
+@query(rf"""WITH n AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations WHERE role IN ('user', 'assistant')),
+    g AS (SELECT conv_id, x, max(text) FILTER (role = 'user') AS q, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS a, count(*) FILTER (role = 'assistant') AS m, max(x) OVER (PARTITION BY conv_id) AS l FROM n WHERE x > 0 GROUP BY conv_id, x),
+    e AS (SELECT *, '## User' || chr(10) || q || chr(10) || chr(10) || '## Assistant' || chr(10) || a AS body FROM g WHERE (m > 0 OR x < l) AND length(q) + length(a) >= 50)
+    SELECT sha256(conv_id || ':' || x || ':exchange')[1:16] AS chunk_id, conv_id, x::BIGINT AS exchange,
+    round(least(1.0, 0.5 + CASE WHEN regexp_matches(a, '(?s)```\w*\n.*?```') THEN 0.15 ELSE 0 END + CASE WHEN length(a) > 2000 THEN 0.1 ELSE 0 END + CASE WHEN length(a) > 5000 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS importance,
+    ({_ENTITIES})::INT AS n_entities FROM e""", with_tables=False)
 def conv_chunks(spark, d):
     return conversations.exchange_chunks(tables.table(spark, d, "conversations")).select("chunk_id", "conv_id", "exchange", r6("importance"), F.size("entities").alias("n_entities"))
 
@@ -675,15 +621,8 @@ def conv_chunks(spark, d):
 # streams, pages and generic aggregates
 
 
-@query("""SELECT epoch_us(w)::BIGINT // 1000000 AS window_start, chunk_id, count(*) AS accesses FROM (SELECT chunk_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, accessed_at) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, accessed_at), INTERVAL 1 HOUR)) AS w FROM access_log WHERE chunk_id < 20) GROUP BY 1, 2""")
-def sliding_access_counts(spark, d):
-    found = access.sliding_counts(tables.access_log(spark, d).where("chunk_id < 20"))
-    return found.select(F.unix_seconds("window_start").alias("window_start"), "chunk_id", "accesses")
-
-
 @query("""SELECT epoch_us(w)::BIGINT // 1000000 AS window_start, chunk_id, count(*) AS accesses FROM (SELECT chunk_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, accessed_at) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, accessed_at), INTERVAL 1 HOUR)) AS w FROM access_log) GROUP BY 1, 2""")
-def sliding_access_counts_whole(spark, d):
-    """sliding_access_counts of all chunks."""
+def sliding_access_counts(spark, d):
     found = access.sliding_counts(tables.access_log(spark, d))
     return found.select(F.unix_seconds("window_start").alias("window_start"), "chunk_id", "accesses")
 
@@ -696,3 +635,6 @@ def generic_aggregate(spark, d):
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages", with_tables=False)
 def page_titles(spark, d):
     return pages.read_pages(tables.table(spark, d, "pages")).select("page_id", "title")
+
+
+from tidemark import catalog_more  # noqa: E402, F401  registers further queries

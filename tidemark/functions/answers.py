@@ -13,7 +13,10 @@ from tidemark.functions.text import ascii_borders
 
 # Where keywords stand in a rule, and words that are none.
 KEYWORD_PLACES = [r"\busing\s+(\w+)", r"\bwith\s+(\w+)", r"\bin\s+(\w+)\s+(?:project|app|code)", r"\bfor\s+(\w+)\s+(?:project|development)"]
-STOP_WORDS = "the and for with this that from have will your code file files when should must always never use using make sure all any are not".split()
+STOP_WORDS = [
+    "the", "and", "for", "with", "this", "that", "from", "have", "will", "your", "code", "file", "files", "when", "should", "must", "always", "never",
+    "use", "using", "make", "sure", "all", "any", "are", "not",
+]
 # Terms that a question is searched for.
 QUERY_TERMS = [
     r"\b(error|exception|bug|issue|problem)\b", r"\b(function|method|class|component|module)\b", r"\b(api|endpoint|route|handler)\b",
@@ -45,6 +48,14 @@ def query_keywords(query: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def question_keywords(text: Column) -> Column:
+    """X27 as a column."""
+    terms = [F.transform(F.regexp_extract_all(text, F.lit("(?i)" + ascii_borders(p)), F.lit(0)), lambda w: F.lower(w)) for p in QUERY_TERMS]
+    quoted = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
+    camel = F.regexp_extract_all(text, F.lit(ascii_borders(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b")), F.lit(0))
+    return F.array_distinct(F.flatten(F.array(*terms, quoted, camel)))
+
+
 def _any(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?i)" + "|".join(f"(?:{ascii_borders(p)})" for p in patterns))
 
@@ -107,3 +118,10 @@ def formatted_knowledge(kind: Column, title: Column, body: Column, tags: Column)
         .when(kind == "pattern", markdown(title, {"Implementation": fenced(body), "Tags": listed}))
         .otherwise(markdown(title, {"Details": body, "Tags": listed}))
     )
+
+
+def outermost_json(answer: str) -> str:
+    """X29. The text of a fenced JSON block, else from the first opening brace to the last closing."""
+    fenced_block = re.search(r"```json\s*(.*?)\s*```", answer, re.S)
+    braces = re.search(r"\{.*\}", answer, re.S)
+    return fenced_block[1] if fenced_block else braces[0] if braces else answer

@@ -111,3 +111,11 @@ def explain(row: dict[str, float]) -> str:
     w = C.SIX_WEIGHTS
     parts = [f"{name}: {row[name]:.3f} x {w[name]:.2f} = {row[name] * w[name]:.3f}" for name in w if name in row]
     return f"final {row['final_score']:.3f}\n" + "\n".join(parts)
+
+
+def score_parts(scored: DataFrame, signals: dict[str, str], weights: dict[str, float] = C.SIX_WEIGHTS) -> DataFrame:
+    """N18 over a table: a row per chunk and part of its score with weight, value and contribution.
+    signals: the column of each part; the type counts by what its boost adds."""
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(w).alias("weight"), (F.col(signals[p]) - (1.0 if p == "type" else 0.0)).alias("value")) for p, w in weights.items()])
+    each = scored.select("chunk_id", F.explode(parts).alias("s")).select("chunk_id", "s.*")
+    return each.withColumn("contribution", F.col("weight") * F.col("value"))

@@ -175,6 +175,14 @@ def decompose(query: str) -> list[str]:
     return [query]
 
 
+def decomposed(question: Column) -> Column:
+    """X5 as a column: the parts of a question, an array."""
+    part = F.filter(F.transform(F.split(question, r"(?i)\s+(?:and|,)\s+"), lambda p: F.trim(p)), lambda p: p != "")
+    marked = F.transform(F.filter(F.split(question, r"\?+"), lambda p: F.trim(p) != ""), lambda p: F.concat(F.trim(p), F.lit("?")))
+    several = (F.size(part) > 1) & F.forall(part, lambda p: F.contains(p, F.lit("?")))
+    return F.when(several, part).when(F.length(question) - F.length(F.replace(question, F.lit("?"), F.lit(""))) > 1, marked).otherwise(F.array(question))
+
+
 def follow_ups(query: str, chunks_found: int, limit: int = 3) -> list[str]:
     """X6 (Q14). Further questions while fewer than five chunks are known."""
     if chunks_found >= 5:

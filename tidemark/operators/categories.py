@@ -84,3 +84,16 @@ def select_categories(spark: SparkSession, query: str, categories: DataFrame, li
     total = sum((fit(F.lit(w)) for w in words), F.lit(0.0))
     scored = known.withColumn("relevance", F.least(F.lit(1.0), total)).where("relevance > 0")
     return scored.select("category", "relevance", "chunk_count").orderBy(F.desc("relevance"), "category").limit(limit)
+
+
+def listed(defs: DataFrame) -> DataFrame:
+    """T6. Categories by name, in code points."""
+    return defs.orderBy("category")
+
+
+def category_summary(defs: DataFrame, counts: DataFrame, summaries: DataFrame, name: str) -> DataFrame:
+    """R11. category, description, items and summary of the category of that name, whatever its case;
+    no row if there is none, a null summary if none has been made."""
+    found = defs.where(F.lower("category") == name.lower()).select("category", "description")
+    met = found.join(counts, "category", "left").join(summaries.select("category", F.col("breakdown").alias("summary")), "category", "left")
+    return met.select("category", "description", F.coalesce("chunk_count", F.lit(0)).alias("items"), "summary")

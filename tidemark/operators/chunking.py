@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -26,18 +27,15 @@ def word_windows(text: str, size: int, overlap_percent: int, mode: str = "defaul
     """X2 (Q12, Q13). Windows of words whose token counts add up to at most `size`, each beginning
     with the last overlap_percent of the words of the one before. A share that rounds to no word
     means no overlap; in `reference` mode it means all words, so windows grow."""
-    out, held, total = [], [], 0
-    for word in re.split(r"\s+", text):
-        n = tokens(word)
-        if total + n > size and held:
-            out.append(" ".join(held))
-            keep = len(held) * overlap_percent // 100
-            held = held[-keep:] if keep else (list(held) if mode == "reference" else [])
-            total = sum(map(tokens, held))
-        held.append(word)
-        total += n
-    if held:
-        out.append(" ".join(held))
+    words = re.split(r"\s+", text)
+    ends = list(itertools.accumulate(map(tokens, words), initial=0))  # tokens before each word
+    out, first = [], 0
+    for i in range(len(words)):
+        if ends[i + 1] - ends[first] > size and i > first:
+            out.append(" ".join(words[first:i]))
+            share = (i - first) * overlap_percent // 100
+            first = i - share if share or mode == "default" else first
+    out.append(" ".join(words[first:]))
     return [w for w in out if w.strip()]
 
 
@@ -75,10 +73,12 @@ def uniform_groups(chunks: DataFrame, size: int = 10, order: str = "chunk_id", w
     return global_positions(chunks, order).withColumn("group", F.concat(F.lit("batch_"), F.floor(F.col("position") / size))).drop("position")
 
 
-def global_positions(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
+def global_positions(df: DataFrame, order: str, range_rows: int = 1_000_000, most: int = 10_000) -> DataFrame:
     """Adds position, the place of every row in the whole order. Rows are ranked inside ranges of
-    the order column (cut at quantiles of a sketch), and ranges are offset by the counts before."""
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
+    the order column (cut at quantiles of a sketch, as many as the rows ask for, at most `most`), and
+    ranges are offset by the counts before."""
+    buckets = min(most, max(64, df.count() // range_rows))
+    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], min(0.001, 0.25 / buckets))))
     bound = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     ranged = df.withColumn("_range", F.size(F.filter(bound, lambda c: c < F.col(order))))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)

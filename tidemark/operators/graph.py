@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import constants as C
+from tidemark.scratch import kept
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
@@ -91,16 +92,17 @@ def contradictions(edges: DataFrame, chunk_id: object) -> DataFrame:
     return edges.where(either | replaced).select(other.alias("other_id"), "rel_type", "strength")
 
 
-def supersession_chains(edges: DataFrame, seeds: DataFrame, max_length: int = 64) -> DataFrame:
+def supersession_chains(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """G5 (Q20). chain, for every seed the ids from it over the chunk that first supersedes it, and
-    so on, until none does or one recurs; the recurring one ends the chain."""
+    so on, until none does or one recurs; the recurring one ends the chain. A round per step of the
+    longest chain, each kept in the shared folder."""
     best = edges.where("rel_type = 'supersedes'").groupBy(F.col("to_id").alias("old")).agg(F.min("from_id").alias("new"))
     state = seeds.select("chunk_id", F.array("chunk_id").alias("chain"), F.lit(False).alias("done"))
-    for _ in range(max_length):
+    while True:
         step = state.join(best, F.element_at("chain", -1) == F.col("old"), "left")
         cycle = F.array_contains("chain", F.col("new"))
         grown = ~F.col("done") & F.col("new").isNotNull()
-        state = step.select("chunk_id", F.when(grown, F.array_append("chain", F.col("new"))).otherwise(F.col("chain")).alias("chain"), (~grown | cycle).alias("done")).cache()
+        state = kept(step.select("chunk_id", F.when(grown, F.array_append("chain", F.col("new"))).otherwise(F.col("chain")).alias("chain"), (~grown | cycle).alias("done")))
         if state.where(~F.col("done")).isEmpty():
             break
     return state.select("chunk_id", "chain", F.element_at("chain", -1).alias("latest"))
@@ -108,23 +110,21 @@ def supersession_chains(edges: DataFrame, seeds: DataFrame, max_length: int = 64
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """G6 (Q19). node and component, its smallest id: undirected components by hooking every
-    component to its smallest neighbour and jumping over parents, each round in the shared folder
-    where one is set. A path of n nodes takes about log n rounds."""
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-    links = keep(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).where("a <> b").distinct())
+    component to its smallest neighbour and jumping over parents, each round in the shared folder. A path of n nodes takes about log n rounds."""
+    links = kept(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).where("a <> b").distinct())
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    labels = keep((ends if nodes is None else ends.unionByName(nodes.select(F.col("chunk_id").alias("node")))).distinct().withColumn("component", F.col("node")))
+    labels = kept((ends if nodes is None else ends.unionByName(nodes.select(F.col("chunk_id").alias("node")))).distinct().withColumn("component", F.col("node")))
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
         for _ in range(2):
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("g"))
             parent = parent.join(up, "p", "left").select("c", F.coalesce("g", "p").alias("p"))
-        parent = keep(parent)
-        labels = keep(labels.join(parent, labels["component"] == parent["c"], "left").select("node", F.coalesce("p", "component").alias("component")))
+        parent = kept(parent)
+        labels = kept(labels.join(parent, labels["component"] == parent["c"], "left").select("node", F.coalesce("p", "component").alias("component")))
         low = parent.select(F.col("c").alias("a"), F.col("p").alias("pa"))
         high = parent.select(F.col("c").alias("b"), F.col("p").alias("pb"))
-        links = keep(links.join(low, "a").join(high, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
+        links = kept(links.join(low, "a").join(high, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
     return labels
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import vector as V
+from tidemark.scratch import kept
 
 #: Vectors in a cell of the all-pairs product; a task holds two cells.
 CELL = 4096
@@ -57,7 +58,8 @@ def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "chunk_id", v
     def product(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         own, x = table["own"].to_numpy(), table["x"][0].as_py()
-        ids, vectors = table["id"].to_numpy(), np.array(table["v"].to_pylist(), np.float64)
+        held = table["v"].chunk(0)
+        ids, vectors = table["id"].to_numpy(), held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
         length = np.linalg.norm(vectors, axis=1)
         vectors = np.divide(vectors, length[:, None], out=np.zeros_like(vectors), where=length[:, None] > 0)
         left = own == x
@@ -107,16 +109,16 @@ def greedy_keepers(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     key = lambda s, i: F.struct((-F.col(s)).alias("s"), F.col(i).alias("i"))
     named = pairs.join(scores.withColumnsRenamed({"id": "a", "score": "sa"}), "a").join(scores.withColumnsRenamed({"id": "b", "score": "sb"}), "b")
     edges = named.select(F.when(key("sa", "a") < key("sb", "b"), F.struct(key("sa", "a").alias("u"), key("sb", "b").alias("v"))).otherwise(F.struct(key("sb", "b").alias("u"), key("sa", "a").alias("v"))).alias("e")).select("e.*").distinct()
-    edges = edges.checkpoint() if pairs.sparkSession.sparkContext.getCheckpointDir() else edges.cache()
+    edges = kept(edges)
     dropped, todo = None, edges
     while not todo.isEmpty():
-        kept = todo.select(F.col("u").alias("k")).distinct().join(todo.select(F.col("v").alias("k")).distinct(), "k", "left_anti")
-        hit = todo.join(kept, todo["u"] == kept["k"]).groupBy("v").agg(F.min("u").alias("keeper"))
+        best = todo.select(F.col("u").alias("k")).distinct().join(todo.select(F.col("v").alias("k")).distinct(), "k", "left_anti")
+        hit = todo.join(best, todo["u"] == best["k"]).groupBy("v").agg(F.min("u").alias("keeper"))
         dropped = hit if dropped is None else dropped.unionByName(hit)
         gone = hit.select("v")
-        rest = todo.join(kept, todo["u"] == kept["k"], "left_anti").join(gone, "v", "left_anti")
+        rest = todo.join(best, todo["u"] == best["k"], "left_anti").join(gone, "v", "left_anti")
         todo = rest.join(gone.withColumnRenamed("v", "u"), "u", "left_anti")
-        todo = todo.checkpoint() if pairs.sparkSession.sparkContext.getCheckpointDir() else todo.cache()
+        todo = kept(todo)
     if dropped is None:
         return edges.select(F.col("v.i").alias("id"), F.col("u.i").alias("keeper")).limit(0)
     return dropped.select(F.col("v.i").alias("id"), F.col("keeper.i").alias("keeper"))

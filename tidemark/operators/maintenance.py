@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as N
-from tidemark.operators import graph, knn, store
+from tidemark.operators import categories, graph, knn, store
 
 
 def recompute_decay(metadata: DataFrame, now: Column, threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -25,8 +25,8 @@ def hot_items(access_log: DataFrame, until: Column, hours: int = 24, limit: int
 
 
 def promote(metadata: DataFrame, hot: DataFrame) -> DataFrame:
-    """N17. Hot chunks with their importance raised. hot has at most `limit` rows."""
-    flagged = metadata.join(F.broadcast(hot.select("chunk_id", F.lit(True).alias("_hot"))), "chunk_id", "left")
+    """N17. Hot chunks with their importance raised."""
+    flagged = metadata.join(hot.select("chunk_id", F.lit(True).alias("_hot")), "chunk_id", "left")
     return flagged.withColumn("importance", F.when(F.col("_hot"), N.promoted(F.col("importance"))).otherwise(F.col("importance"))).drop("_hot")
 
 
@@ -55,3 +55,42 @@ def cleanup(metadata: DataFrame, now: Column, days: int = 180, weak: float = 0.1
     old = store.old_unused(metadata, now, days).select("chunk_id", F.lit("unused").alias("reason"))
     faint = metadata.where(F.col("is_archived") & (F.col("decay_score") < weak)).select("chunk_id", F.lit("weak").alias("reason"))
     return old.unionByName(faint).groupBy("chunk_id").agg(F.max("reason").alias("reason"))
+
+
+def consolidation_metrics(before: DataFrame, after: DataFrame, edges: DataFrame, access_log: DataFrame, now: Column) -> DataFrame:
+    """R18. What consolidate did: chunks with decay, duplicates, hot items promoted, chunks archived."""
+    live = before.agg(F.count_if(~F.col("is_archived")).alias("updated"), F.count_if(F.col("is_archived")).alias("was"), F.lit(1).alias("k"))
+    late = after.agg(F.count_if(F.col("is_archived")).alias("is"), F.lit(1).alias("k"))
+    rest = edges.agg(F.count("*").alias("duplicates"), F.lit(1).alias("k")).join(hot_items(access_log, now).agg(F.count("*").alias("promoted"), F.lit(1).alias("k")), "k")
+    return live.join(late, "k").join(rest, "k").select("updated", "duplicates", "promoted", (F.col("is") - F.col("was")).alias("archived"))
+
+
+def summarize(items: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R18. Weekly: the summaries of all categories anew (A6), and how many there are."""
+    found = categories.summaries(items, metadata)
+    return found, found.agg(F.count_if(F.col("items") > 0).alias("categories_updated"))
+
+
+def reindex(metadata: DataFrame, edges: DataFrame, access_log: DataFrame, items: DataFrame, now: Column, days: int = 180) -> tuple[dict[str, DataFrame], DataFrame]:
+    """R18. Monthly: old chunks that nobody reads archived, and what hangs on no known chunk removed.
+    Returns the tables and one row: edges in all, isolated chunks, chunks archived, rows removed."""
+    old = store.old_unused(metadata, now, days).where(~F.col("is_archived")).select("chunk_id")
+    known = metadata.select("chunk_id")
+    new = {
+        "metadata": metadata.join(old.withColumn("_old", F.lit(True)), "chunk_id", "left").withColumn("is_archived", F.col("is_archived") | F.coalesce("_old", F.lit(False))).drop("_old"),
+        "edges": edges.join(known.withColumnRenamed("chunk_id", "from_id"), "from_id", "left_semi").join(known.withColumnRenamed("chunk_id", "to_id"), "to_id", "left_semi"),
+        "access_log": access_log.join(known, "chunk_id", "left_semi"),
+        "category_items": items.join(known, "chunk_id", "left_semi"),
+    }
+    one = lambda df, name: df.agg(F.count("*").alias(name), F.lit(1).alias("k"))
+    out = one(edges, "relationships").join(one(graph.isolated(edges, metadata), "isolated"), "k").join(one(old, "archived"), "k")
+    for name, df in (("edges", edges), ("access_log", access_log), ("category_items", items)):
+        out = out.join(one(df, f"{name}_before"), "k").join(one(new[name], f"{name}_after"), "k")
+    removed = sum((F.col(f"{n}_before") - F.col(f"{n}_after") for n in ("edges", "access_log", "category_items")), F.lit(0))
+    return new, out.select("relationships", "isolated", "archived", removed.alias("orphans"))
+
+
+def cleanup_metrics(metadata: DataFrame, weak: float = 0.1) -> DataFrame:
+    """R18. What a clean-up finds: archived chunks, which it would delete, and weak ones not archived."""
+    archived = F.count_if(F.col("is_archived"))
+    return metadata.agg(archived.alias("archived"), F.count_if(~F.col("is_archived") & (F.col("decay_score") < weak)).alias("weak"), archived.alias("would_delete"))

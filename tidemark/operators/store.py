@@ -3,7 +3,9 @@ the caller writes the result; nothing is changed during a lazy plan (Q6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -109,6 +111,47 @@ def mark_processed(ledger: DataFrame, done: DataFrame) -> DataFrame:
     return upsert(ledger, done, ["conversation_id"])
 
 
-def recent_activity(log: DataFrame, limit: int = 100) -> DataFrame:
-    """S13, K21. The newest entries of an append-only log."""
-    return log.orderBy(F.desc("at")).limit(limit)
+def recent_activity(log: DataFrame, limit: int = 100, *ties: str) -> DataFrame:
+    """S13, K21. The newest entries of an append-only log, ties by the columns named."""
+    return log.orderBy(F.desc("at"), *ties).limit(limit)
+
+
+def add_chunks(tables: dict[str, DataFrame], docs: DataFrame) -> dict[str, DataFrame]:
+    """K4. Documents (chunk_id, embedding and metadata columns) into the chunks and, as a partial
+    upsert, into their metadata."""
+    both = {name: [c for c in tables[name].columns if c in docs.columns] for name in ("chunks", "metadata")}
+    return tables | {
+        "chunks": upsert(tables["chunks"], docs.select(both["chunks"]), ["chunk_id"]),
+        "metadata": merge_metadata(tables["metadata"], docs.select(both["metadata"])),
+    }
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """K3. Rows of every table by name."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n") for name, df in tables.items()])
+
+
+def lookup(df: DataFrame, value: object, key: str = "chunk_id", ignore_case: bool = False) -> DataFrame:
+    """P3. The row with a key, or none; the condition reaches the scan."""
+    return df.where(F.lower(key) == str(value).lower() if ignore_case else F.col(key) == value)
+
+
+def reset(df: DataFrame) -> DataFrame:
+    """K19. The table without rows, to be written over it."""
+    return df.limit(0)
+
+
+def compact(spark: SparkSession, path: str, out: str, file_bytes: int = 256 << 20) -> int:
+    """K20. A Parquet table written anew to `out` in files of about file_bytes each, by the size of
+    what is there; returns their number. The caller puts it in the old one's place."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    files = max(1, -(-held // file_bytes))
+    spark.read.parquet(path).coalesce(files).write.mode("errorifexists").parquet(out)
+    return files
+
+
+def shaped(df: DataFrame, fields: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
+    """P16. The fields of a result that are asked for and exist, and at most so many rows."""
+    kept = [f for f in fields or df.columns if f in df.columns]
+    return df.select(*kept) if max_rows is None else df.select(*kept).limit(max_rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 
 @dataclass
@@ -42,23 +44,29 @@ class CircuitBreaker:
 
 @dataclass
 class CachedCalls:
-    """Sub-calls, at most `concurrency` at a time, remembered for a time, with a limit on their number."""
+    """Sub-calls, at most `concurrency` at a time, remembered for a time, with a limit on their number
+    and, where per_key is set, on those under one key. Several threads may ask at once."""
 
     call: Callable[[str], str]
     clock: Callable[[], float]
     limit: int = 50
     concurrency: int = 5
     ttl: float = 300.0
+    per_key: int | None = None
     made: int = 0
     memory: dict[str, tuple[float, str]] = field(default_factory=dict)
-
-    def ask(self, prompt: str) -> str:
-        held = self.memory.get(prompt)
-        if held and self.clock() - held[0] < self.ttl:
-            return held[1]
-        if self.made >= self.limit:
-            raise RuntimeError("no sub-calls left")
-        self.made += 1
+    by_key: Counter[str] = field(default_factory=Counter)
+    lock: Lock = field(default_factory=Lock)
+
+    def ask(self, prompt: str, key: str = "") -> str:
+        with self.lock:
+            held = self.memory.get(prompt)
+            if held and self.clock() - held[0] < self.ttl:
+                return held[1]
+            if self.made >= self.limit or self.per_key is not None and self.by_key[key] >= self.per_key:
+                raise RuntimeError("no sub-calls left")
+            self.made += 1
+            self.by_key[key] += 1
         answer = self.call(prompt)
         self.memory[prompt] = (self.clock(), answer)
         return answer
@@ -71,3 +79,46 @@ class CachedCalls:
 def model_limits(name: str, table: list[tuple[str, int]], default: int = 8192) -> int:
     """Q27. The limit of the first entry whose name is part of the model's, in order."""
     return next((limit for part, limit in table if part in name), default)
+
+
+# How a question is answered, by what a model's code is worth and how hard the question is.
+STRATEGIES = {
+    "none": {"simple": "direct", "moderate": "iterative", "complex": "iterative"},
+    "limited": {"simple": "direct", "moderate": "iterative", "complex": "iterative"},
+    "good": {"simple": "direct", "moderate": "iterative", "complex": "recursive"},
+    "excellent": {"simple": "direct", "moderate": "recursive", "complex": "recursive"},
+}
+
+
+def strategy(code: str, complexity: str) -> str:
+    """E4. How to retrieve: direct, iterative or recursive."""
+    return STRATEGIES.get(code, STRATEGIES["excellent"])[complexity]
+
+
+@dataclass
+class Termination:
+    """E4. When a loop of model answers ends: at a limit at once, else with enough signs."""
+
+    needed: int = 2
+    out_of_rounds: bool = False
+    out_of_budget: bool = False
+
+    def decide(self, signals: dict[str, bool]) -> tuple[bool, str, float]:
+        """Whether to end, why, and how sure."""
+        if self.out_of_rounds or self.out_of_budget:
+            return True, "rounds" if self.out_of_rounds else "budget", 1.0
+        n = sum(signals[name] for name in ("explicit_tag", "confidence_statement", "no_more_actions", "answer_valid"))
+        return n >= self.needed, f"{n} signals", n / 4
+
+
+def run_guarded(call: Callable[[], str], breaker: CircuitBreaker) -> str:
+    """E4. A call behind a circuit breaker: refused while it is open; after its time one is tried."""
+    if not breaker.allows():
+        raise RuntimeError("too many recent failures")
+    try:
+        answer = call()
+    except Exception:
+        breaker.record(False)
+        raise
+    breaker.record(True)
+    return answer

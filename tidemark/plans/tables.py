@@ -64,6 +64,31 @@ def category_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What a rule document says under its scope, by its id.
+PHRASES = [
+    "Always use typescript with strict types for api code.",
+    "Never use any in typescript api code; prefer unknown over any.",
+    "You must write tests for every api endpoint. See `testing.mdc` for more.",
+    "You must not write tests for every api endpoint without fixtures.",
+    "Prefer tabs over spaces in python app. Read @style.mdc and [more](docs/more.md)",
+    "Prefer spaces over tabs in python app. Legacy code from 2019 is deprecated.",
+    "Using react 16 with docker for web project, because it is fast",
+    "Error: connection refused\nUse `retry` and\n```python\nretry(1)\n```\n#network",
+]
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule_id, source, title, content, tokens, last_modified and embedding (where a chunk has the id):
+    each document as a rule, with a header and a scope."""
+    docs = table(spark, sf_dir, "documents")
+    title = F.concat(F.lit("Rule "), F.col("doc_id").cast("string"), F.lit(" for "), F.coalesce("lang", F.lit("all")))
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 8 + 1).cast("int"))
+    content = F.concat(F.lit("# "), title, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n## Scope\n\n"), phrase)
+    given = docs.select(F.col("doc_id").alias("rule_id"), "source", title.alias("title"), content.alias("content"), F.timestamp_seconds(F.lit(NOW_SECONDS) - (F.col("doc_id") % 800 * 86400 + 43200)).alias("last_modified"))
+    vectors = chunks(spark, sf_dir).select(F.col("chunk_id").alias("rule_id"), "embedding")
+    return given.withColumn("tokens", N.token_estimate(F.col("content"))).join(vectors, "rule_id", "left")
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 1) -> list[float]:
     """The vector of one chunk, as a search is given it."""
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding
@@ -71,6 +96,7 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 1) -> list[floa
 
 _TYPES = ", ".join(f"'{t}'" for t in C.CHUNK_TYPES)
 _CATEGORIES = ", ".join(f"'{c[0]}'" for c in C.CATEGORIES)
+_PHRASES = ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES)
 _N = NOW_SECONDS * 1_000_000
 _AGE = f"(({_N} - epoch_us(created_at)) / 86400000000.0)"
 _SINCE = f"(({_N} - epoch_us(last_accessed_at)) / 86400000000.0)"
@@ -88,4 +114,7 @@ edges AS (SELECT * FROM (
     SELECT chunk_id AS from_id, (chunk_id * 7 + 3) % 500 AS to_id, (['relates_to', 'supersedes', 'contradicts', 'implements', 'similar_to'])[chunk_id % 5 + 1] AS rel_type, (chunk_id % 10) / 10 + 0.1 AS strength FROM chunks
     UNION ALL SELECT chunk_id, chunk_id + 1, 'leads_to', 0.6 FROM chunks WHERE chunk_id % 3 = 0 AND chunk_id < 499) WHERE from_id <> to_id),
 sym AS (SELECT from_id AS src, to_id AS dst, rel_type, strength, from_id, to_id FROM edges UNION ALL SELECT to_id, from_id, rel_type, strength, from_id, to_id FROM edges),
-items AS (SELECT chunk_id, ([{_CATEGORIES}])[label % 10 + 1] AS category, (chunk_id * 37 % 101) / 101 AS relevance, make_timestamp(({START_SECONDS} + chunk_id * 7919 % 10007 * 60) * 1000000) AS assigned_at FROM chunks)"""
+items AS (SELECT chunk_id, ([{_CATEGORIES}])[label % 10 + 1] AS category, (chunk_id * 37 % 101) / 101 AS relevance, make_timestamp(({START_SECONDS} + chunk_id * 7919 % 10007 * 60) * 1000000) AS assigned_at FROM chunks),
+rules AS (SELECT *, ceil(length(content) / 4)::BIGINT AS tokens FROM (SELECT d.doc_id AS rule_id, d.source, 'Rule ' || d.doc_id || ' for ' || coalesce(d.lang, 'all') AS title,
+    '# Rule ' || d.doc_id || ' for ' || coalesce(d.lang, 'all') || chr(10) || chr(10) || coalesce(d.text, '') || chr(10) || chr(10) || '## Scope' || chr(10) || chr(10) || ([{_PHRASES}])[d.doc_id % 8 + 1] AS content,
+    make_timestamp(({NOW_SECONDS} - (d.doc_id % 800 * 86400 + 43200)) * 1000000) AS last_modified, c.embedding FROM documents d LEFT JOIN chunks c ON c.chunk_id = d.doc_id))"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +15,15 @@ EXTENSIONS = [
 ]
 
 
+def _any_case(extension: str) -> str:
+    """A glob for an extension in any case; files are chosen before their bytes are read."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
 def read_tree(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
     """S2, S3. path, modified, size and text of every file below a folder with a listed extension."""
-    wanted = "|".join(map(re.escape, extensions or EXTENSIONS))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.lower("path").rlike(rf"\.({wanted})$")).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(_any_case(e) for e in extensions or EXTENSIONS)}}}").load(path)
+    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
 
 
 def glob_pattern(glob: str) -> str:
@@ -29,8 +35,11 @@ def glob_pattern(glob: str) -> str:
 
 
 def read_rules(spark: SparkSession, path: str, include: tuple[str, ...] = ("**/*.mdc", "**/*.md", "**/AGENTS.md", "**/.cursorrules"), exclude: tuple[str, ...] = ("**/node_modules/**", "**/.git/**", "**/dist/**")) -> DataFrame:
-    """S11. Rule files with an id (8 digits of the path's md5), format and content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """S11. Rule files with an id (8 digits of the path's md5), format and content. Names are chosen
+    before files are read, folders by their paths."""
+    names = {p.rsplit("/", 1)[-1] for p in include}
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", f"{{{','.join(sorted(names))}}}").load(path)
     kept = files.where(F.col("path").rlike("|".join(map(glob_pattern, include)))).where(~F.col("path").rlike("|".join(map(glob_pattern, exclude))))
     return kept.select(
         F.substring(F.md5("path"), 1, 8).alias("rule_id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("format"),
@@ -48,3 +57,16 @@ def read_skills(spark: SparkSession, path: str) -> DataFrame:
     grouped = parts.groupBy("folder").agg(F.max(F.when(F.col("main"), F.col("text"))).alias("head"), body.alias("content")).where("head is not null")
     field = lambda name: F.nullif(F.trim(F.regexp_extract("head", rf"(?m)^{name}:\s*(.+)$", 1)), F.lit(""))
     return grouped.select(F.coalesce(field("name"), F.element_at(F.split("folder", "/"), -1)).alias("name"), field("description").alias("description"), "content")
+
+
+def backup_files(paths: list[str], folder: str, version: str) -> str:
+    """K22. Copies of the files, each path once, in a new folder of that version; two files of one name
+    keep both, the later with a number. Returns the folder. Runs on the driver: rule files are few."""
+    into = pathlib.Path(folder) / re.sub("[:.]", "-", version)
+    into.mkdir(parents=True)
+    for source in dict.fromkeys(paths):
+        name, target, n = pathlib.Path(source).name, into / pathlib.Path(source).name, 1
+        while target.exists():
+            target, n = into / f"{n}-{name}", n + 1
+        shutil.copyfile(source, target)
+    return str(into)
