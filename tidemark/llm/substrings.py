@@ -115,22 +115,21 @@ def window_hashes(docs: DataFrame, window: int, text_col: str) -> DataFrame:
     return given.mapInArrow(work, "u1 long, u2 long, k1 long, k2 long, first int, weight int")
 
 
-def _frequent(counts: DataFrame) -> tuple[DataFrame, int]:
-    """The hot ones of a table of keys with their counts n, and the count above which a key is hot.
-    There are at most HOT_KEYS, as each has more than that part of all rows: they may be broadcast.
-    A row without a key, which nothing meets, keeps the plan the same where nothing is hot."""
+def _frequent(counts: DataFrame, key: list[str]) -> DataFrame:
+    """The hot ones of a table of keys with their counts n. There are at most HOT_KEYS, as each has
+    more than that part of all rows: they may be broadcast. A row for a key of zeros, with n null
+    unless that is hot, keeps the plan the same where nothing is hot."""
     limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    nothing = counts.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in counts.schema])
-    return F.broadcast(counts.where(F.col("n") > limit).unionByName(nothing)), limit
+    zeros = counts.sparkSession.range(1).select(*[F.lit(0).cast("long").alias(k) for k in key], F.lit(None).cast("long").alias("n"))
+    return F.broadcast(counts.where(F.col("n") > limit).select(*key, "n").unionByName(zeros).groupBy(*key).agg(F.max("n").alias("n")))
 
 
 def _times(rows: DataFrame, key: list[str]) -> DataFrame:
     """The rows of a written table with n, how often their key occurs; null for once. Rows with a hot
     key get it by broadcast, the others by a join in which no key is hot."""
     counts = scratch(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "times")
-    hot, limit = _frequent(counts)
-    split = rows.join(hot, key, "left")
-    rest = split.where("n is null").drop("n").join(counts.where(F.col("n") <= limit).hint("merge"), key, "left")
+    split = rows.join(_frequent(counts, key), key, "left")
+    rest = split.where("n is null").drop("n").join(counts.hint("merge"), key, "left")
     return split.where("n is not null").unionByName(rest)
 
 
@@ -163,9 +162,8 @@ def _again(each: DataFrame) -> DataFrame:
     """The windows of weight 1 whose words occur again, rows with hot words apart."""
     key = ["u1", "u2"]
     counts = scratch(each.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("weight").alias("least")).where("n > 1 and least = 1").select(*key, "n"), "times")
-    hot, limit = _frequent(counts)
-    split = each.where("weight = 1").join(hot, key, "left")
-    rest = split.where("n is null").drop("n").join(counts.where(F.col("n") <= limit).select(*key).hint("merge"), key, "left_semi")
+    split = each.where("weight = 1").join(_frequent(counts, key), key, "left")
+    rest = split.where("n is null").drop("n").join(counts.select(*key).hint("merge"), key, "left_semi")
     return split.where("n is not null").drop("n").unionByName(rest)
 
 
@@ -188,8 +186,8 @@ def with_spans(docs: DataFrame, window: int, text_col: str) -> DataFrame:
         raise ValueError(f"window must have at least {2 * CONTEXT + 2 * LONGEST} words")
     bounded_batches(docs.sparkSession)
     given, there = keyed(docs, text_col), F.col(text_col).isNotNull()
-    hot, _ = _frequent(scratch(given.where(there).groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), "texts"))
-    split = given.join(hot, KEY, "left")
+    counts = scratch(given.where(there).groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), "texts")
+    split = given.join(_frequent(counts, KEY), KEY, "left")
     cold, copies = split.where(F.col("n").isNull() & there).drop("n"), split.where(F.col("n").isNotNull() | ~there).drop("n")
     one = scratch(copies.where(there).select(*KEY, text_col).dropDuplicates(), "hot-texts")
     known = cold.select(*KEY, text_col).unionByName(one).unionByName(one)
