@@ -451,7 +451,7 @@ def test_ids_are_those_of_tokenizers():
 
 def test_packing(docs, nothing):
     path = packing.default_vocabulary_path()
-    got = packing.pack_documents(docs, shard_docs=20).collect()
+    got = packing.pack_documents(docs, shard_items=20).collect()
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in got:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -478,6 +478,69 @@ def test_neighbours_are_lexical():
     assert all(len({i % 5 for i, _, _ in w}) == 1 for w in windows[:5])
 
 
+def plain_bm25(items, seed, idf, mean):
+    out = []
+    for x in items:
+        tf = Counter(x.tolist())
+        out.append(sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in set(items[seed].tolist()) if tf[t]))
+    return out
+
+
+def plain_windows(items, size):
+    """The greedy rule, item by item: seed, neighbours by falling score, then any in order."""
+    n, df = len(items), Counter(t for x in items for t in set(x.tolist()))
+    idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    mean, left, out = sum(map(len, items)) / n, {i: 0 for i in range(n)}, []
+    while left:
+        seed, window = min(left), []
+        scores = plain_bm25(items, seed, {t: v if df[t] > 1 else 0.0 for t, v in idf.items()}, mean)
+        order = [seed] + sorted((i for i in left if i != seed and round(scores[i], 9) > 0), key=lambda i: (-scores[i], i))
+        for i in order + [i for i in sorted(left) if i not in order]:
+            space = size - sum(b - a for _, a, b in window)
+            if not space:
+                break
+            end = min(len(items[i]), left[i] + space)
+            window.append((i, left[i], end))
+            if end == len(items[i]):
+                del left[i]
+            else:
+                left[i] = end
+        out.append(window)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_against_plain_greedy(seed):
+    gen = np.random.default_rng(seed)
+    items = [gen.zipf(1.3, gen.integers(1, 60)).clip(max=400).astype(np.uint32) for _ in range(50)]
+    items += [items[3], items[3], items[4]]
+    index = packing.Index(items)
+    df = np.bincount(np.concatenate([np.unique(x) for x in items]))
+    idf = {t: math.log(1 + (len(items) - d + 0.5) / (d + 0.5)) if d > 1 else 0.0 for t, d in enumerate(df)}
+    for i in (0, 3, 50):
+        assert index.scores(i) == pytest.approx(plain_bm25(items, i, idf, sum(map(len, items)) / len(items)))
+    assert packing.fill_windows(items, 64) == plain_windows(items, 64)
+
+
+def test_like_items_share_a_shard(spark):
+    """Whatever their order in the table, copies lie side by side, and statistics are the corpus's."""
+    gen = np.random.default_rng(5)
+    texts = [" ".join(f"t{i % 40}w{x}" for x in gen.integers(0, 300, 60)) for i in range(400)]
+    rows = [(i, texts[i % 400], "") for i in range(800)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = packing.pack_documents(df, shard_items=32).collect()
+    at = defaultdict(set)
+    for r in got:
+        at[r.doc_id].add(r.sequence_id)
+    assert sum(bool(at[i] & at[i + 400]) for i in range(400)) > 300
+    table = packing.tokenised(df.select(F.col("doc_id").alias("id"), "text"), packing.default_vocabulary_path(), 2048)
+    corpus, total = packing.corpus_of(table, 50257, 2048)
+    ids = [packing.token_ids(t, packing.default_vocabulary_path()) for _, t, _ in rows]
+    freq = Counter(t for x in ids for t in set(x.tolist()))
+    assert total == sum(map(len, ids)) and corpus.mean == total / 800
+    assert corpus.idf == pytest.approx([math.log(1 + (800 - freq[t] + 0.5) / (freq[t] + 0.5)) for t in range(50257)])
+
+
 # URL filters
 
 
