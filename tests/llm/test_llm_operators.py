@@ -170,6 +170,35 @@ def test_blocks_are_skipped():
     assert sorted(row) == sorted(want)
 
 
+@pytest.mark.parametrize("rows,q", [([[-(2**63)], [3], [2]], [-2]), ([[2**62, 2**62], [2**62, 2**62 - 1], [5, 5]], [2**60, 1]), ([[2**40], [2**40 + 1], [-(2**40)]], [2**13])])
+def test_huge_components(rows, q):
+    x = np.array(rows, np.int64)
+    query, row, score, _ = topk.search_cell(np.arange(3), x, np.array([q], np.int64), 3)
+    want = sorted(((sum(a * b for a, b in zip(r, q, strict=True)), -i) for i, r in enumerate(rows)), reverse=True)
+    assert sorted(((int(s), -int(i)) for i, s in zip(row, score, strict=True)), reverse=True) == want
+
+
+def test_huge_scores(spark):
+    rows = [(50, [-2 / 256]), (1, [-1e20]), (2, [3 / 256]), (3, [2 / 256])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (3, -4)]
+
+
+def test_cells_are_skipped(spark):
+    """Clustered vectors: the floors of the first pass and the cells' extremes leave few pairs."""
+    gen = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (gen.normal(0, 0.02, 12) + 2 * (np.arange(12) == i % 12))]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = {"cell_docs": 40, "cell_queries": 4}
+    got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, **cells).collect()), key=str)
+    assert got == brute_top(rows, 5, 50)
+    base = df.select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"), F.lit(1).cast("long").alias("n"))
+    dealt, n = topk._dealt(base, 1200, 50, 40, 4)
+    asked = dealt.where("qc is not null").select(F.col("v").alias("qv"), "qc", F.lit(200_000).alias("floor"))
+    pairs = topk._promising(dealt, asked, n).collect()
+    assert n > 25 and len(pairs) < n * asked.select("qc").distinct().count() / 4
+
+
 # substring dedup
 
 
