@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ BITMAP = 16
 SHORT = 8
 #: Positions in a block of a long list.
 POSITIONS = 16
+#: Entries of a list that a task compares with as many others.
+GRID = 2048
 PART_TEXTS = 64
 
 
@@ -191,7 +194,7 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 def _bits_apart(x: str, y: str) -> Column:
     """Differing bits of two parity bitmaps; never more than the sets' symmetric difference."""
-    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+    return functools.reduce(operator.add, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITMAP)])
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -248,12 +251,19 @@ def _left(lists: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFra
     whose bitmaps allow a link. The bitmaps go with the entries and are compared in the join, so
     pairs that they rule out are never made."""
     sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    # a long list is cut into a grid of parts of about GRID entries, which meet in tasks of their own
+    main = main.select("token", F.col("m.comp").alias("main"), F.ceil(F.col("all") / GRID).alias("parts"), F.ceil((F.col("all") - F.col("m.c")) / GRID).alias("few_parts"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     entries = lists.join(main, "token").join(nodes.select("node", "bits"), "node")
-    few = entries.where("comp <> main").select(F.col("token").alias("t"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), "cls")
+    few = entries.where("comp <> main").select(F.col("token").alias("t"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), "cls", part("few_parts").alias("own"), "parts")
+    few = few.select("*", every("parts").alias("other")).drop("parts")
     few = few.select("*", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("near")).drop("cls")
+    entries = entries.select("token", "cls", "node", "n", "pos", "comp", "bits", part("parts").alias("part"), "few_parts").select("*", every("few_parts").alias("few_part")).drop("few_parts")
     apart = _bits_apart("ba", "bits") <= _allowed(F.col("na"), F.col("n"), share)
-    found = few.join(entries, (F.col("t") == F.col("token")) & (F.col("near") == F.col("cls")) & (F.col("ca") != F.col("comp")) & _reachable(F.col("na"), F.col("i"), F.col("n"), F.col("pos"), share) & apart)
+    same = (F.col("t") == F.col("token")) & (F.col("near") == F.col("cls")) & (F.col("own") == F.col("few_part")) & (F.col("other") == F.col("part"))
+    found = few.join(entries, same & (F.col("ca") != F.col("comp")) & _reachable(F.col("na"), F.col("i"), F.col("n"), F.col("pos"), share) & apart)
     return _pairs(found.select("a", F.col("node").alias("b")))
 
 
@@ -333,6 +343,8 @@ def _labels(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, share:
 
 def _rows_in_components(docs: DataFrame, k: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, n, comp (null for an empty set) and component_id of every document."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must hold whole numbers")
     bounded_batches(docs.sparkSession)
     counts = word_counts(docs, text_col)
     rows = scratch(node_rows(docs, counts, k, share, id_col, text_col), "set-rows")
@@ -357,7 +369,8 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int]
     A text of under k words has one shingle, all its words; a null, empty or blank text has none
     and links with nothing. Repeated rows are linked with each other, each giving a row; one id
     with several texts is several documents. A null id takes part, but component_id is the smallest
-    id that is not null, null if there is none. An empty table gives no rows. No list, block or
+    id that is not null, null if there is none. Ids of other kinds than whole numbers are refused
+    with a TypeError. An empty table gives no rows. No list, block or
     component is cut off at any size.
     """
     found = _rows_in_components(docs, k, share, id_col, text_col)

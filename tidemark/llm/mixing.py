@@ -34,32 +34,48 @@ SHARE_PERCENT = 150
 REPEATS = 2
 KEY = 7
 BUCKETS = 1024
+#: Sources that are drawn among in one task.
+GROUP = 4096
 #: Slots made by one row when ranges of slots are spread over tasks.
 RANGE = 4096
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Adds source_no, the place of every source by code point, null last: ranges of sources are
+    counted and each is numbered by itself, so no task holds all."""
+    spread = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sizes.repartitionByRange(spread, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = scratch(ranged, "ranges")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(offsets), "part").withColumn("source_no", F.col("offset") + F.col("inside")).drop("part", "inside", "offset")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share_percent: int = SHARE_PERCENT, repeats: int = REPEATS) -> DataFrame:
     """Adds source_no (by code point, null last), weight and target to a table of source and
     source_size. Weights repeat in order. target = min(repeats * size, level * weight), with the
-    level at which the targets add up to share_percent of all sizes (at most repeats * 100): the
-    result of sharing excess by weight again until no source is above its limit. One row per
-    source; windows over it run in one task."""
+    level at which the targets add up to share_percent of all sizes (at most repeats * 100). The
+    level is found by sharing excess by weight until no source is above its limit: in each round two
+    sums over the sources, and what is at its limit stays there."""
     if not 0 <= share_percent <= 100 * repeats:
         raise ValueError("share_percent must lie between 0 and 100 * repeats")
-    numbered = sizes.withColumn("source_no", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     given = F.array(*[F.lit(float(w)) for w in weights])
-    numbered = numbered.withColumn("weight", F.element_at(given, F.col("source_no") % len(weights) + 1))
-    limit = F.col("source_size") * float(repeats)
-    before = W.orderBy(limit / F.col("weight"), "source_no").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    goal = F.sum("source_size").over(everything) * (share_percent / 100)
-    levels = numbered.withColumns({
-        "_reach": limit / F.col("weight"),
-        "_level": (goal - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
-    })
-    # the sources before the first that its level leaves below its limit are at theirs
-    first = F.min(F.when(F.col("_level") <= F.col("_reach") * (1 + 1e-12), F.struct("_reach", "source_no", "_level"))).over(everything)
-    return levels.withColumn("target", F.least(limit, F.coalesce(first["_level"], F.lit(float("inf"))) * F.col("weight"))).drop("_reach", "_level")
+    known = scratch(numbered(sizes).withColumn("weight", F.element_at(given, (F.col("source_no") % len(weights)).cast("int") + 1)), "weighted")
+    limit = F.col("source_size") * repeats
+    total = known.agg(F.sum("source_size")).first()[0] or 0
+    level, full = None, -1
+    while True:
+        at = F.lit(False) if level is None else limit <= level * F.col("weight")
+        taken, free, n = known.agg(F.sum(F.when(at, limit)), F.sum(F.when(~at, F.col("weight"))), F.count_if(at)).first()
+        if n == full:
+            break
+        full = n
+        if not free:
+            level = float("inf")
+            break
+        level = (total * share_percent / 100 - (taken or 0)) / free
+    return known.withColumn("target", F.least(limit.cast("double"), F.lit(level) * F.col("weight")))
 
 
 def stream_positions(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets: int = BUCKETS) -> DataFrame:
@@ -84,21 +100,29 @@ def stream_positions(docs: DataFrame, id_col: str, text_col: str, source_col: st
 def draw_slots(sources: DataFrame, shards: int, key: int) -> DataFrame:
     """Ranges of slots by shard and source: source_key, source_no, source_size, goal (words), shard,
     low, high. sources has these and n_slots. Every shard has the same number of slots and draws
-    its counts by source from one multinomial; ranges end where a source has its slots, and what
-    the draws leave is spread evenly over the shards."""
-    total = F.sum("n_slots").over(W.partitionBy())
-    offered = sources.withColumns({"share": F.col("n_slots") / total, "per_shard": F.ceil(total / shards).cast("long")}).where("n_slots > 0")
-    offered = offered.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    its counts by source from one multinomial, in two steps: of groups of GROUP sources on the driver,
+    of the sources of a group in a task. Ranges end where a source has its slots, and what the draws
+    leave is spread evenly over the shards."""
+    offered = sources.where("n_slots > 0").withColumn("group", F.floor(F.col("source_no") / GROUP).cast("int"))
+    held = sorted((r.group, int(r.n)) for r in offered.groupBy("group").agg(F.sum("n_slots").alias("n")).collect())
+    total = sum(n for _, n in held)
+    # a draw in two steps: counts of groups of sources, then of the sources in each
+    rows = []
+    for shard in range(shards if total else 0):
+        drawn = np.random.Generator(np.random.PCG64([key, shard])).multinomial(-(-total // shards), [n / total for _, n in held])
+        rows += [(shard, g, int(n), own) for (g, own), n in zip(held, drawn, strict=True)]
+    counts = sources.sparkSession.createDataFrame(rows, "shard int, group int, group_drawn long, group_slots long")
+    offered = offered.join(counts, "group")
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("source_no")
-        chance = rows["share"].to_numpy() / rows["share"].sum()
-        rows["drawn"] = np.random.Generator(np.random.PCG64([key, int(rows["shard"].iloc[0])])).multinomial(int(rows["per_shard"].iloc[0]), chance)
+        first = rows.iloc[0]
+        chance = rows["n_slots"].to_numpy() / rows["n_slots"].sum()
+        rows["drawn"] = np.random.Generator(np.random.PCG64([key, int(first["shard"]), int(first["group"]), 1])).multinomial(int(first["group_drawn"]), chance)
         return rows
 
-    kinds = "source_key string, source_no long, source_size long, goal long, n_slots long, share double, per_shard long, shard int"
-    drawn = offered.select(*[c.split()[0] for c in kinds.split(", ")]).withColumns({"source_no": F.col("source_no").cast("long")})
-    drawn = drawn.groupBy("shard").applyInPandas(draw, kinds + ", drawn long")
+    kinds = "source_key string, source_no long, source_size long, goal long, n_slots long, shard int, group int, group_drawn long"
+    drawn = offered.select(*[c.split()[0] for c in kinds.split(", ")]).groupBy("shard", "group").applyInPandas(draw, kinds + ", drawn long")
     by = W.partitionBy("source_key").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     ends = drawn.withColumn("end", F.least(F.sum("drawn").over(by), F.col("n_slots")))
     ends = ends.withColumns({"last": F.max("end").over(W.partitionBy("source_key")), "begin": F.coalesce(F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})

@@ -152,6 +152,28 @@ SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id
 FROM pairs QUALIFY rank <= 5
 """
 
+OP4_SQL = f"""
+WITH base AS (SELECT row_number() OVER () AS uid, doc_id, {oracles.words('text')} AS w FROM documents),
+    windows AS (SELECT uid, i, md5(array_to_string(w[i:i + {substrings.WINDOW - 1}], ' ')) AS h FROM (SELECT uid, w, unnest(range(1, len(w) - {substrings.WINDOW - 2})) AS i FROM base)),
+    again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+    covered AS (SELECT DISTINCT uid, i + k AS j FROM (SELECT uid, i FROM windows SEMI JOIN again USING (h)), (SELECT unnest(range({substrings.WINDOW})) AS k)),
+    words AS (SELECT uid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM base),
+    kept AS (SELECT uid, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS s FROM words ANTI JOIN covered USING (uid, j) GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM base LEFT JOIN kept USING (uid)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE base AS (SELECT row_number() OVER () AS uid, doc_id, {oracles.words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+    sets AS (SELECT uid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM base),
+    items AS (SELECT uid, md5(unnest(s)) AS g FROM sets),
+    shared AS (SELECT x.uid AS a, y.uid AS b, count(*) AS c FROM items x JOIN items y ON x.g = y.g AND x.uid < y.uid GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN sets x ON x.uid = a JOIN sets y ON y.uid = b WHERE 100 * c >= 90 * (len(x.s) + len(y.s) - c)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    walk(a, b) AS (SELECT a, a FROM ways UNION SELECT walk.a, ways.b FROM walk JOIN ways ON walk.b = ways.a),
+    least AS (SELECT walk.a AS uid, min(doc_id) AS component_id FROM walk JOIN sets ON sets.uid = walk.b GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN least USING (uid)
+"""
+
 _HOST = r"nullif(rtrim(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), '(:[0-9]*)?$', ''), '.'), '')"
 
 OP9_SQL = f"""
@@ -174,6 +196,8 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op2_sharding": OP2_SQL,
     "op3_topk": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op5_license_scan": licenses.oracle(),
     "op9_url_filter": OP9_SQL,
+    "op10_ngram_jaccard": OP10_SQL,
 }

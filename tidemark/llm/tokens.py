@@ -29,6 +29,8 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Chunks and token pairs that a worker remembers; beyond it starts afresh, with the same results.
 REMEMBERED = 1_000_000
+#: Longest chunk, in characters, that is remembered; longer ones hardly come twice.
+REMEMBERED_CHARS = 64
 SPACE = "▁"
 
 
@@ -133,7 +135,9 @@ class PrefixCounter:
         if len(self.tables) >= REMEMBERED:
             self.tables.clear()
         del counts[0]
-        found = self.tables[chunk] = bytes(counts) if max(counts) < 256 else tuple(counts)  # counts may fall as a chunk grows
+        found = bytes(counts) if max(counts) < 256 else tuple(counts)  # counts may fall as a chunk grows
+        if len(chunk) <= REMEMBERED_CHARS:
+            self.tables[chunk] = found
         return found
 
     def chunks(self, text: str) -> list[str]:

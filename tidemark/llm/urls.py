@@ -28,10 +28,11 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.rtrim(bare, F.lit(".")), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """A host and the domains above it, down to the last label."""
+def suffixes(host: Column, least: int = 1) -> Column:
+    """A host and the domains above it, down to those of `least` labels."""
     labels = F.split(host, "\\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    places = F.when(F.size(labels) >= least, F.sequence(F.lit(1), F.size(labels) - least + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -63,7 +64,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCK
     low, high = F.lit(span.a), F.lit(span.b)
     active = validity_intervals(entries).where((F.col("valid_from") <= high) & (F.col("valid_to").isNull() | (F.col("valid_to") > low)))
     active = active.select("*", F.explode(F.sequence(day(F.greatest("valid_from", low)), day(F.least(F.coalesce("valid_to", high), high)))).alias("bucket")).withColumnRenamed("host", "domain")
-    probes = seen.select("host", "fetched_at", day(F.col("fetched_at")).alias("bucket"), F.explode(suffixes(F.col("host"))).alias("domain"))
+    # no entry has fewer labels: top-level domains, which all captures share, are not looked up in vain
+    least = active.agg(F.min(F.size(F.split("domain", "\\.")))).first()[0] or 1
+    probes = seen.select("host", "fetched_at", day(F.col("fetched_at")).alias("bucket"), F.explode(suffixes(F.col("host"), least)).alias("domain"))
     met = probes.join(active.hint("merge"), ["domain", "bucket"]).where((F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     found = met.groupBy("host", "fetched_at").agg(F.sort_array(F.collect_set(F.concat("list", F.lit(":"), "domain"))).alias("matches"))
     out = given.join(found.hint("merge"), ["host", "fetched_at"], "left")
