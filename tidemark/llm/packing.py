@@ -38,6 +38,8 @@ SHARD_ITEMS = 1024
 RANGE_IDS = 2 << 20
 #: Ids after which a task writes what it has.
 FLUSH_IDS = 1 << 20
+#: A term is common in a shard that has it in more than one of so many items.
+COMMON = 32
 K1, B = 1.2, 0.75
 #: Texts on which the rank file and the tokenizers file of the vocabulary must agree.
 PROBES = ["", "a<|endoftext|> b", "  <|endoftext|>\n", "I'll don't\t\t x\n\n\n y", "é中 \xa0a", "\r\n", "<|endoftext", "\U00010348\x00", "a" * 300, " " * 99]
@@ -79,13 +81,13 @@ def token_ids(text: str | None, path: str) -> np.ndarray:
 
 def _terms(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ids of all items in order, how often each occurs, and where each item's begin."""
-    terms, counts = [], []
-    for ids in items:
-        held = np.sort(ids, kind="stable")
-        at = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-        terms.append(held[at])
-        counts.append(np.diff(np.r_[at, len(held)]))
-    return np.concatenate(terms).astype(np.int64), np.concatenate(counts), np.r_[0, np.cumsum([len(t) for t in terms])]
+    flat = np.concatenate([np.sort(ids, kind="stable") for ids in items])
+    ends = np.cumsum([len(ids) for ids in items])
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[ends[:-1]] = True
+    at = np.flatnonzero(new)
+    return flat[at].astype(np.int64), np.diff(at, append=len(flat)), np.searchsorted(at, np.concatenate([[0], ends]))
 
 
 class Corpus:
@@ -123,19 +125,28 @@ class Index:
         row = np.repeat(np.arange(len(items)), np.diff(first))
         lengths = np.array([len(x) for x in items], np.float64)
         weight = corpus.idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / corpus.mean))
-        by = np.argsort(flat, kind="stable")
-        self.df, self.row, self.weight = df, row[by], weight[by]
-        self.first = np.r_[0, np.cumsum(df)].tolist()
+        # a term of many items is a row of weights of all items, any other a list of its items
+        many = df * COMMON > len(items)
+        self.dense = np.zeros((int(many.sum()), len(items)))
+        self.place = np.cumsum(many) - 1
+        often = many[flat]
+        self.dense[self.place[flat[often]], row[often]] = weight[often]
+        rare = ~often
+        by = np.argsort(flat[rare], kind="stable")
+        self.df, self.many, self.row, self.weight = df, many, row[rare][by], weight[rare][by]
+        self.first = np.concatenate([[0], np.cumsum(np.where(many, 0, df))])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 scores of all items for all terms of one. Terms of no other item say nothing."""
         terms = self.flat[self.own[seed] : self.own[seed + 1]]
-        terms = terms[self.df[terms] > 1].tolist()
-        if not terms:
-            return np.zeros(self.n)
-        first, row, weight = self.first, self.row, self.weight
-        parts = [slice(first[t], first[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([row[p] for p in parts]), np.concatenate([weight[p] for p in parts]), minlength=self.n)
+        terms = terms[self.df[terms] > 1]
+        often = self.many[terms]
+        out = np.add.reduce(self.dense[self.place[terms[often]]], axis=0)
+        rare = terms[~often]
+        if len(rare):
+            parts = [slice(a, b) for a, b in zip(self.first[rare].tolist(), self.first[rare + 1].tolist(), strict=True)]
+            out += np.bincount(np.concatenate([self.row[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), minlength=self.n)
+        return out
 
 
 def fill_windows(items: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
@@ -211,9 +222,11 @@ def tokenised(docs: DataFrame, path: str, window: int) -> DataFrame:
         df = np.zeros(size, np.int64)
         names = ["id", "start", "doc_tokens", "length", "ids", "df"]
 
-        def rows(ids: pa.Array, places: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        def rows(ids: pa.Array, places: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
             start, tokens, length, held = (list(x) for x in zip(*places, strict=True))
-            return pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(tokens, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary()), pa.nulls(len(start), pa.list_(pa.int64()))], names)
+            if rests := [x for x in held if len(x) < window]:
+                df[:] += np.bincount(_terms(rests)[0], minlength=size)
+            return pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(tokens, pa.int64()), pa.array(length, pa.int64()), pa.array([x.tobytes() for x in held], pa.binary()), pa.nulls(len(start), pa.list_(pa.int64()))], names)
 
         last = None
         for batch in batches:
@@ -223,10 +236,8 @@ def tokenised(docs: DataFrame, path: str, window: int) -> DataFrame:
                 ids = token_ids(column[i].as_py(), path)
                 for low in range(0, len(ids), window):
                     piece = ids[low : low + window]
-                    if len(piece) < window:
-                        df[np.unique(piece)] += 1
                     of.append(i)
-                    places.append((low, len(ids), len(piece), piece.astype(kind).tobytes()))
+                    places.append((low, len(ids), len(piece), piece.astype(kind)))
                 total += len(ids)
                 if total >= FLUSH_IDS or i + 1 == len(batch):
                     yield rows(last.take(pa.array(of, pa.int64())), places)
