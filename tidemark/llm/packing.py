@@ -33,7 +33,7 @@ END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The vocabulary's one special token; tokenizers reads it in texts as this id.
 SPECIAL = {"<|endoftext|>": 50256}
-SHARD_ITEMS = 1024
+SHARD_ITEMS = 2048
 #: Ids that a range of items holds, about.
 RANGE_IDS = 2 << 20
 #: Ids after which a task writes what it has.
