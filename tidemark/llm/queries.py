@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import feistel, jaccard, licenses, mixing, oracles, packing, quality, sharding, substrings, tokens, topk, urls
+from tidemark.llm import codes, feistel, jaccard, licenses, mixing, oracles, packing, quality, sharding, substrings, tokens, topk, urls, whitening
 from tidemark.llm.common import table
 
 
@@ -88,6 +88,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), F.array_join("matches", ",").alias("matches"), "blocked")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors projected on the 8 leading eigenvectors of their covariance, to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 8 parts, 16 entries each, after 6 rounds."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -99,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_whitening": op11_whitening,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _WINDOWS = f"""
@@ -200,4 +212,5 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": licenses.oracle(),
     "op9_url_filter": OP9_SQL,
     "op10_ngram_jaccard": OP10_SQL,
+    "op13_vector_codes": codes.oracle(),
 }
