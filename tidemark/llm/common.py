@@ -101,6 +101,18 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+@contextlib.contextmanager
+def bounded(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """The same for what is written inside; the session's own setting comes back at the end."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    bounded_batches(spark, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 #: The innermost block of `passing` here, and those around it.
 _owner: contextvars.ContextVar[tuple[list[str], object] | None] = contextvars.ContextVar("owner", default=None)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codes, feistel, jaccard, licenses, mixing, oracles, packing, quality, sharding, substrings, tokens, topk, urls, whitening
+from tidemark.llm import codes, feistel, fingerprints, jaccard, licenses, mixing, oracles, packing, quality, sharding, substrings, tokens, topk, urls, whitening
 from tidemark.llm.common import table
 
 
@@ -93,6 +93,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next one are."""
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product codes of all vectors: 8 parts, 16 entries each, after 6 rounds."""
     return codes.compress(table(spark, sf_dir, "embeddings"))
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_whitening": op11_whitening,
+    "op12_fingerprints": op12_fingerprints,
     "op13_vector_codes": op13_vector_codes,
 }
 
