@@ -296,8 +296,10 @@ def rewrites_accepted(spark, d):
     return report.accepted_rewrites(long.select("rule_id", F.col("tokens").alias("tokens_before"), F.expr("tokens * (rule_id % 10 + 5) div 14").alias("tokens_after")))
 
 
-@query(f"""+{_DUPLICATES}, links AS (SELECT DISTINCT x.source AS u, y.source AS v FROM duplicates JOIN rules x ON x.rule_id = a JOIN rules y ON y.rule_id = b WHERE x.source <> y.source),
-    both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links), walk(u, v) AS (SELECT u, u FROM both_ways UNION SELECT walk.u, b.v FROM walk JOIN both_ways b ON walk.v = b.u) SELECT u AS path, min(v) AS component FROM walk GROUP BY 1""")
+@query(f"""+{_DUPLICATES}, ordered AS (SELECT row_number() OVER (ORDER BY round(similarity, 6) DESC, a, b) AS k, x.source AS p, y.source AS q FROM duplicates JOIN rules x ON x.rule_id = a JOIN rules y ON y.rule_id = b WHERE x.source IS NOT NULL AND y.source IS NOT NULL),
+    walk(k, taken) AS (SELECT 0::BIGINT, MAP([]::VARCHAR[], []::VARCHAR[]) UNION ALL SELECT o.k, CASE WHEN taken[p] IS NOT NULL AND taken[q] IS NOT NULL THEN taken WHEN taken[p] IS NOT NULL THEN map_concat(taken, MAP([q], [taken[p]]))
+        WHEN taken[q] IS NOT NULL THEN map_concat(taken, MAP([p], [taken[q]])) ELSE map_concat(taken, MAP(list_distinct([p, q]), list_transform(list_distinct([p, q]), lambda x: least(p, q)))) END FROM walk JOIN ordered o ON o.k = walk.k + 1)
+    SELECT unnest(map_keys(taken)) AS path, unnest(map_values(taken)) AS component FROM walk WHERE k = (SELECT max(k) FROM walk)""")
 def rule_path_groups(spark, d):
     """R15."""
     given = _rules(spark, d)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import constants as C
-from tidemark.scratch import kept
+from tidemark.scratch import kept, written
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
@@ -92,20 +92,92 @@ def contradictions(edges: DataFrame, chunk_id: object) -> DataFrame:
     return edges.where(either | replaced).select(other.alias("other_id"), "rel_type", "strength")
 
 
+def followed(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Where following links (node, next; one per node) ends, by pointer doubling: every round each node
+    takes over where its target has come to, so a way of n steps takes about log n rounds, and a
+    node's row has a fixed size. Returns node, at, steps and open, and for every round k the table of node
+    and at after exactly 2^k steps. A way that ends has open false: `at` has no link. The others lead to
+    cycles: when a round begins with as many steps as there are open ways, ways that end do so in it, and
+    what is still open then has gone more steps than there are such nodes, so that all `at` lie on
+    cycles, and each node of a cycle is the `at` of one."""
+    first = links.join(links.select(F.col("node").alias("next"), F.lit(True).alias("open")), "next", "left")
+    state = written(first.select("node", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps"), F.coalesce("open", F.lit(False)).alias("open")), "ways")
+    levels, length, last = [], 1, False
+    while True:
+        levels.append(state.where(F.col("steps") == length).select("node", "at"))
+        going = state.where("open").count()
+        if going == 0 or last:
+            return state, levels
+        last = length >= going
+        target = state.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("open").alias("open2"))
+        gone = state.where("open").join(target, "at").select("node", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("open2").alias("open"))
+        state = written(state.where("not open").unionByName(gone), "ways")
+        length *= 2
+
+
+def _newer(edges: DataFrame) -> DataFrame:
+    """node and next: of the chunks that supersede it the one with the smallest id."""
+    return edges.where("rel_type = 'supersedes'").groupBy(F.col("to_id").alias("node")).agg(F.min("from_id").alias("next"))
+
+
+def _versions(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    state, levels = followed(links)
+    ends = state.where("not open").select("node", F.col("at").alias("latest"), F.col("steps").alias("depth"), F.lit(False).alias("cyclic"))
+    if state.where("open").isEmpty():
+        return ends, levels
+    rings = written(state.where("open").select(F.col("at").alias("node")).distinct(), "rings")
+    # the ring of a node: the smallest id round it, by the same doubling
+    ring = written(links.join(rings, "node").select("node", F.col("next").alias("at"), F.col("node").alias("ring")), "ring")
+    n, length = rings.count(), 1
+    while length < n:
+        target = ring.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("ring").alias("ring2"))
+        ring = written(ring.join(target, "at").select("node", F.col("at2").alias("at"), F.least("ring", "ring2").alias("ring")), "ring")
+        length *= 2
+    sizes = ring.groupBy("ring").agg(F.count("*").alias("size"))
+    on_ring = written(ring.join(sizes, "ring").select("node", "size"), "ring-sizes")
+    # ways to a ring end where they meet it
+    tails = links.join(state.where("open").select("node"), "node", "left_semi").join(rings, "node", "left_anti")
+    met, _ = followed(tails)
+    through = met.select("node", F.col("at").alias("latest"), "steps").unionByName(on_ring.select("node", F.col("node").alias("latest"), F.lit(0).cast("long").alias("steps")))
+    looped = through.join(on_ring.withColumnRenamed("node", "latest"), "latest").select("node", "latest", (F.col("steps") + F.col("size")).alias("depth"), F.lit(True).alias("cyclic"))
+    return ends.unionByName(looped), levels
+
+
+def versions(edges: DataFrame) -> DataFrame:
+    """G5. node, latest, depth and cyclic of every chunk that another supersedes: where following the chunk that
+    first supersedes each ends, and after how many steps. In a cycle the way ends at the first chunk that
+    recurs. About log2 of the longest chain rounds; no row grows with a chain."""
+    return _versions(_newer(edges))[0]
+
+
 def supersession_chains(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """G5 (Q20). chain, for every seed the ids from it over the chunk that first supersedes it, and
-    so on, until none does or one recurs; the recurring one ends the chain. A round per step of the
-    longest chain, each kept in the shared folder."""
-    best = edges.where("rel_type = 'supersedes'").groupBy(F.col("to_id").alias("old")).agg(F.min("from_id").alias("new"))
-    state = seeds.select("chunk_id", F.array("chunk_id").alias("chain"), F.lit(False).alias("done"))
-    while True:
-        step = state.join(best, F.element_at("chain", -1) == F.col("old"), "left")
-        cycle = F.array_contains("chain", F.col("new"))
-        grown = ~F.col("done") & F.col("new").isNotNull()
-        state = kept(step.select("chunk_id", F.when(grown, F.array_append("chain", F.col("new"))).otherwise(F.col("chain")).alias("chain"), (~grown | cycle).alias("done")))
-        if state.where(~F.col("done")).isEmpty():
-            break
-    return state.select("chunk_id", "chain", F.element_at("chain", -1).alias("latest"))
+    so on, until none does or one recurs; the recurring one ends the chain. Depths come from `versions`, places
+    by doubling: a row at a place gives the one 2^k further on, so only chains that are asked for are written out."""
+    found, levels = _versions(_newer(edges))
+    asked = seeds.select("chunk_id").join(found.withColumnRenamed("node", "chunk_id"), "chunk_id", "left")
+    rows = written(asked.select("chunk_id", F.coalesce("latest", "chunk_id").alias("latest"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.lit(0).cast("long").alias("place"), F.col("chunk_id").alias("node")), "places")
+    for k in reversed(range(len(levels))):
+        further = rows.where(F.col("place") + 2**k <= F.col("depth")).join(levels[k], "node")
+        rows = rows.unionByName(further.select("chunk_id", "latest", "depth", (F.col("place") + 2**k).alias("place"), F.col("at").alias("node")))
+    chain = F.transform(F.sort_array(F.collect_list(F.struct("place", "node"))), lambda p: p["node"])
+    return rows.groupBy("chunk_id").agg(chain.alias("chain"), F.first("latest").alias("latest"))
+
+
+def claimed(pairs: DataFrame) -> DataFrame:
+    """R15. node and cluster, from pairs (rank, x, y) taken in order of rank, x before y: a pair of which
+    both are taken does nothing, of which one is taken brings the other into its cluster, and else
+    founds a cluster. A node's first pair settles where it goes: to its partner, if that was in a pair before,
+    else it founds. So first pairs are links, and clusters are where the links end: no loop over pairs. A cluster
+    is named by the smaller founder."""
+    ends = pairs.select(F.col("x").alias("node"), F.struct("rank", "x", "y").alias("p")).unionByName(pairs.select(F.col("y").alias("node"), F.struct("rank", "x", "y").alias("p")))
+    first = written(ends.groupBy("node").agg(F.min("p").alias("p")).withColumn("other", F.when(F.col("node") == F.col("p.x"), F.col("p.y")).otherwise(F.col("p.x"))), "first-pairs")
+    theirs = first.select(F.col("node").alias("other"), F.col("p").alias("p2"))
+    known = first.join(theirs, "other").select("node", "other", (F.col("p") == F.col("p2")).alias("founds"))
+    # of two founders the greater leads to the smaller, which leads nowhere
+    links = known.where(~F.col("founds") | (F.col("other") < F.col("node"))).select("node", F.col("other").alias("next"))
+    ways, _ = followed(links)
+    return first.select("node").join(ways.select("node", "at"), "node", "left").select("node", F.coalesce("at", "node").alias("cluster"))
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

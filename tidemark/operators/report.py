@@ -99,11 +99,13 @@ def report(rules: DataFrame, pairs: DataFrame, merges: DataFrame, conflicts: Dat
 
 
 def path_groups(pairs: DataFrame, rules: DataFrame, path_col: str = "source") -> DataFrame:
-    """R15. path and component: files that duplicates link, directly or over others, are one group to
-    be merged. (Where the order of pairs decides, groups may stay apart; here they never do.)"""
+    """R15. path and component: the files that are merged together. Duplicate pairs are gone through by
+    falling similarity (to six places), then by ids, and a file goes where its first pair leads; files that are both
+    taken stay where they are, even if that is apart. A group is named by the smaller of its founders."""
     at = rules.select("rule_id", F.col(path_col).alias("path"))
-    linked = pairs.join(at.withColumnsRenamed({"rule_id": "a", "path": "from_id"}), "a").join(at.withColumnsRenamed({"rule_id": "b", "path": "to_id"}), "b")
-    return graph.components(linked.select("from_id", "to_id").where("from_id <> to_id").distinct()).select(F.col("node").alias("path"), "component")
+    linked = pairs.join(at.withColumnsRenamed({"rule_id": "a", "path": "x"}), "a").join(at.withColumnsRenamed({"rule_id": "b", "path": "y"}), "b")
+    ranked = linked.where("x is not null and y is not null").select(F.struct((-F.round("similarity", 6)).alias("s"), "a", "b").alias("rank"), "x", "y")
+    return graph.claimed(ranked).select(F.col("node").alias("path"), F.col("cluster").alias("component"))
 
 
 @dataclass

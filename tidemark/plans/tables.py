@@ -27,9 +27,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("src"), F.col("label")).alias("source"), "label")
 
 
+def n_chunks(spark: SparkSession, sf_dir: str) -> int:
+    """The number of chunks, at least 1, from the files' footers."""
+    return max(1, table(spark, sf_dir, "embeddings").count())
+
+
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, accessed_at."""
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 500).alias("chunk_id"), F.col("ts").cast("timestamp").alias("accessed_at"))
+    """chunk_id, accessed_at: users' ids modulo the number of chunks."""
+    return table(spark, sf_dir, "events").select((F.col("user_id") % n_chunks(spark, sf_dir)).alias("chunk_id"), F.col("ts").cast("timestamp").alias("accessed_at"))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +51,14 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """from_id, to_id, rel_type, strength: each chunk to (7 id + 3) mod 500, and every third to the next."""
+    """from_id, to_id, rel_type, strength: each chunk to (7 id + 3) modulo their
+    number, and every third to the next."""
+    n = n_chunks(spark, sf_dir)
     ids = chunks(spark, sf_dir).select(F.col("chunk_id").alias("from_id"))
     kinds = F.array(*[F.lit(k) for k in ("relates_to", "supersedes", "contradicts", "implements", "similar_to")])
     kind = F.element_at(kinds, (F.col("from_id") % 5 + 1).cast("int"))
-    far = ids.select("from_id", ((F.col("from_id") * 7 + 3) % 500).alias("to_id"), kind.alias("rel_type"), (F.col("from_id") % 10 / 10 + 0.1).alias("strength"))
-    near = ids.where("from_id % 3 = 0 and from_id < 499").select("from_id", (F.col("from_id") + 1).alias("to_id"), F.lit("leads_to").alias("rel_type"), F.lit(0.6).alias("strength"))
+    far = ids.select("from_id", ((F.col("from_id") * 7 + 3) % n).alias("to_id"), kind.alias("rel_type"), (F.col("from_id") % 10 / 10 + 0.1).alias("strength"))
+    near = ids.where((F.col("from_id") % 3 == 0) & (F.col("from_id") < n - 1)).select("from_id", (F.col("from_id") + 1).alias("to_id"), F.lit("leads_to").alias("rel_type"), F.lit(0.6).alias("strength"))
     return far.unionByName(near).where("from_id <> to_id")
 
 
@@ -104,15 +111,15 @@ _ACCESS = f"CASE WHEN last_accessed_at IS NOT NULL AND {_SINCE} <= 7 THEN least(
 
 #: CTEs of the same tables for DuckDB; `WITH RECURSIVE` goes before them.
 SQL = f"""chunks AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS embedding, 'src' || label AS source, label FROM embeddings),
-access_log AS (SELECT user_id % 500 AS chunk_id, ts::TIMESTAMP AS accessed_at FROM events),
+access_log AS (SELECT user_id % (SELECT count(*) FROM embeddings) AS chunk_id, ts::TIMESTAMP AS accessed_at FROM events),
 seen AS (SELECT chunk_id, count(*) AS access_count, max(accessed_at) AS last_accessed_at FROM access_log GROUP BY 1),
 base_meta AS (SELECT chunk_id, source, ([{_TYPES}])[label % 8 + 1] AS chunk_type, make_timestamp(({START_SECONDS} - chunk_id % 365 * 86400) * 1000000) AS created_at,
     (chunk_id % 100) / 100 AS importance, chunk_id % 11 = 0 AS is_archived, chunk_id % 20 AS conversation_id, coalesce(s.access_count, 0) AS access_count, s.last_accessed_at
     FROM chunks LEFT JOIN seen s USING (chunk_id)),
 meta AS (SELECT *, greatest(0.0, least(1.0, 0.3 / (1 + {_AGE} / 60) + 0.3 * ({_ACCESS}) + 0.4 * importance)) AS decay_score FROM base_meta),
 edges AS (SELECT * FROM (
-    SELECT chunk_id AS from_id, (chunk_id * 7 + 3) % 500 AS to_id, (['relates_to', 'supersedes', 'contradicts', 'implements', 'similar_to'])[chunk_id % 5 + 1] AS rel_type, (chunk_id % 10) / 10 + 0.1 AS strength FROM chunks
-    UNION ALL SELECT chunk_id, chunk_id + 1, 'leads_to', 0.6 FROM chunks WHERE chunk_id % 3 = 0 AND chunk_id < 499) WHERE from_id <> to_id),
+    SELECT chunk_id AS from_id, (chunk_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS to_id, (['relates_to', 'supersedes', 'contradicts', 'implements', 'similar_to'])[chunk_id % 5 + 1] AS rel_type, (chunk_id % 10) / 10 + 0.1 AS strength FROM chunks
+    UNION ALL SELECT chunk_id, chunk_id + 1, 'leads_to', 0.6 FROM chunks WHERE chunk_id % 3 = 0 AND chunk_id < (SELECT count(*) FROM embeddings) - 1) WHERE from_id <> to_id),
 sym AS (SELECT from_id AS src, to_id AS dst, rel_type, strength, from_id, to_id FROM edges UNION ALL SELECT to_id, from_id, rel_type, strength, from_id, to_id FROM edges),
 items AS (SELECT chunk_id, ([{_CATEGORIES}])[label % 10 + 1] AS category, (chunk_id * 37 % 101) / 101 AS relevance, make_timestamp(({START_SECONDS} + chunk_id * 7919 % 10007 * 60) * 1000000) AS assigned_at FROM chunks),
 rules AS (SELECT *, ceil(length(content) / 4)::BIGINT AS tokens FROM (SELECT d.doc_id AS rule_id, d.source, 'Rule ' || d.doc_id || ' for ' || coalesce(d.lang, 'all') AS title,
