@@ -418,17 +418,6 @@ def test_consolidate(spark):
     assert [(r.from_id, r.to_id) for r in edges.collect()] == [(1, 2)]
 
 
-def test_stream_ingests_each_conversation_once(spark, tmp_path):
-    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-    src, out, ledger, mark = (str(tmp_path / x) for x in ("src", "out", "ledger", "mark"))
-    rows = [(c, t, ("user", "assistant")[t], "long enough text for a chunk " * 3) for c in (1, 2) for t in (0, 1)]
-    for n in range(2):
-        spark.createDataFrame(rows + [(3 + n, t, r, x) for _, t, r, x in rows[:2]], schema).coalesce(1).write.mode("append").parquet(src)
-        access.ingest(access.read_stream(spark, src, schema), conversations.exchange_chunks, out, ledger, mark).awaitTermination()
-    got = spark.read.parquet(out)
-    assert sorted(r.conv_id for r in got.select("conv_id").collect()) == [1, 2, 3, 4]
-
-
 def test_sliding_stream(spark, tmp_path):
     schema = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("accessed_at", T.TimestampType())])
     spark.createDataFrame([(1, NOW), (1, NOW + timedelta(minutes=30))], schema).write.parquet(str(tmp_path / "log"))

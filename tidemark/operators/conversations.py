@@ -71,7 +71,12 @@ def code_blocks(text: Column) -> Column:
 def exchange_chunks(turns: DataFrame, min_chars: int = 50, max_chars: int = 2000) -> DataFrame:
     """R16. Chunks of exchanges of at least min_chars: content (question and answers in a template,
     cut to max_chars), importance, entities, and an id that is a hash of its place."""
-    given = exchanges(turns).withColumn("answer", F.array_join("answers", "\n\n"))
+    return chunks_of(exchanges(turns), min_chars, max_chars)
+
+
+def chunks_of(found: DataFrame, min_chars: int = 50, max_chars: int = 2000) -> DataFrame:
+    """R16. The same from exchanges (conv_id, exchange, question, answers), as a stream gives them."""
+    given = found.withColumn("answer", F.array_join("answers", "\n\n"))
     body = F.concat(F.lit("## User\n"), F.col("question"), F.lit("\n\n## Assistant\n"), F.col("answer"))
     sized = given.where(F.length("question") + F.length("answer") >= min_chars)
     blocks = code_blocks(F.col("answer"))

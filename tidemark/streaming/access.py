@@ -1,13 +1,10 @@
-"""Streams (M1, M2, M4): the access log as an event stream, and conversations ingested once each."""
+"""Streams (M4): the access log as an event stream, and folders read as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 
 def sliding_counts(events: DataFrame, length: str = "24 hours", slide: str = "1 hour", lateness: str | None = None, id_col: str = "chunk_id", time_col: str = "accessed_at") -> DataFrame:
@@ -28,24 +25,3 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     """Parquet files of a folder as a stream."""
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
-
-
-def ingest(turns: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, ledger: str, checkpoint: str) -> StreamingQuery:
-    """M1, M2. Turns processed as they come, each conversation once: a batch leaves out what the ledger
-    holds, writes its chunks under its number (a repeated batch overwrites its own), then the ledger.
-    A conversation that gives no chunk is not entered, so it is tried again (Q31)."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema("conv_id long, batch long").option("recursiveFileLookup", "true").parquet(ledger) if _exists(spark, ledger) else None
-        fresh = batch if known is None else batch.join(known.where(F.col("batch") != number).select("conv_id"), "conv_id", "left_anti")
-        process(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        done = spark.read.parquet(f"{out}/batch={number}").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
-        done.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{ledger}/b{number}")
-
-    return turns.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
