@@ -334,11 +334,6 @@ def test_sections_of_rules(spark):
     assert [(r.title, r.first_line, r.last_line) for r in rules.rule_sections(df).orderBy("section").collect()] == [("One", 2, 3), ("Two", 4, 7)]
 
 
-def test_tag_clusters():
-    got = rules.tag_clusters([("a", [(1, 10), (2, 20)], 0.9), ("b", [(1, 10), (2, 20)], 0.9), ("c", [(3, 5), (4, 5)], 0.4), ("d", [(2, 20), (5, 5), (6, 7)], 0.6)])
-    assert [(c["tag"], c["ids"], c["merged"]) for c in got] == [("a", [1, 2], 18), ("d", [5, 6], 8)]
-
-
 def test_questions():
     assert text.decompose("what is a? and why b?") == ["what is a?", "why b?"]
     assert text.decompose("what is a") == ["what is a"]

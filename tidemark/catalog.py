@@ -483,12 +483,6 @@ def uniform_batches(spark, d):
     return chunking.uniform_groups(docs, 10).select("chunk_id", "group")
 
 
-@query()
-def semantic_groups(spark, d):
-    found = chunking.semantic_groups(tables.chunks(spark, d), 5)
-    return found.groupBy("group").agg(F.count("*").alias("n"))
-
-
 @query("SELECT count(DISTINCT source) AS files, count(*) AS rules, sum(ceil(length(text) / 4))::BIGINT AS tokens FROM documents", with_tables=False)
 def report_summary(spark, d):
     return rules.report_summary(tables.table(spark, d, "documents").withColumnRenamed("text", "content"))
@@ -637,4 +631,4 @@ def page_titles(spark, d):
     return pages.read_pages(tables.table(spark, d, "pages")).select("page_id", "title")
 
 
-from tidemark import catalog_more  # noqa: E402, F401  registers further queries
+from tidemark import catalog_more, catalog_rounds  # noqa: E402, F401  register further queries

@@ -194,6 +194,13 @@ def follow_ups(query: str, chunks_found: int, limit: int = 3) -> list[str]:
     return asked[:limit]
 
 
+def followed_up(question: Column, limit: int = 3) -> Column:
+    """X6 as a column: the further questions, an array, empty where neither how nor why is asked."""
+    less = lambda word: F.regexp_replace(question, rf"(?is)^(.*?){word}\s+(.*)$", "$1$2")
+    asks = lambda word, lead: F.when(F.contains(F.lower(question), F.lit(word)), F.concat(F.lit(lead), less(word)))
+    return F.slice(F.array_compact(F.array(asks("how", "What are the steps to "), asks("why", "What are the reasons for "))), 1, limit)
+
+
 def sufficient(query: str, summaries: list[str | None]) -> tuple[bool, str]:
     """X7. Whether category summaries answer a question, and why."""
     if not summaries:

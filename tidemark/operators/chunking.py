@@ -1,4 +1,4 @@
-"""Chunkers and grouping strategies."""
+"""Chunkers and grouping strategies."""
 
 from __future__ import annotations
 
@@ -8,14 +8,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidemark.functions import text as X
+from tidemark.operators import topics
 
 
 def estimated_tokens(word: str) -> int:
@@ -116,13 +115,6 @@ def importance_groups(chunks: DataFrame, thresholds: tuple[float, ...] = (0.7, 0
     return chunks.withColumn("group", level)
 
 
-def semantic_groups(chunks: DataFrame, k: int = 5, seed: int = 7, vector_col: str = "embedding") -> DataFrame:
-    """C2, A14. k-means over the vectors, at most 50 rounds, from a fixed seed: topic_0 and so on."""
-    given = chunks.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=50, featuresCol="_features", predictionCol="_c").fit(given)
-    return model.transform(given).withColumn("group", F.concat(F.lit("topic_"), F.col("_c"))).drop("_features", "_c")
-
-
 def traits(chunks: DataFrame) -> DataFrame:
     """The flags that the strategy choice asks for, in one aggregation."""
     return chunks.agg(
@@ -177,5 +169,5 @@ def adaptive_groups(chunks: DataFrame, query: str) -> DataFrame:
     if name == "keyword":
         return keyword_groups(chunks, argument)
     if name == "semantic":
-        return semantic_groups(chunks)
+        return topics.semantic_groups(chunks)
     return uniform_groups(chunks, argument or 10)

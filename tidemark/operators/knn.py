@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import vector as V
+from tidemark.operators import cells
 from tidemark.scratch import kept
 
 #: Vectors in a cell of the all-pairs product; a task holds two cells.
@@ -31,27 +32,25 @@ def knn(docs: DataFrame, query: Iterable[float], k: int = 10, conditions: Mappin
     return scored.orderBy(F.desc("score"), id_col).limit(k or 10)
 
 
-def knn_frame(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", query_col: str = "query_id", vector_col: str = "embedding", cells: int | None = None) -> DataFrame:
-    """J5, W1. The k nearest documents of every row of a small query table (query_id, vector), with
-    rank. The stated queries meet all documents in cells: documents are dealt over `cells`, queries
-    are sent to each, and every cell keeps k rows per query before the merge."""
-    cells = cells or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.withColumn("cell", F.pmod(F.xxhash64(id_col), F.lit(cells)).cast("int"))
-    asked = queries.select(F.col(query_col), F.col("vector").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    scored = dealt.join(asked, "cell").select(query_col, id_col, V.cosine(F.col(vector_col), F.col("_q")).alias("score"), "cell")
-    first = W.partitionBy(query_col, "cell").orderBy(F.desc("score"), id_col)
-    best = scored.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r", "cell")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy(query_col).orderBy(F.desc("score"), id_col))).where(F.col("rank") <= k)
+def knn_frame(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
+    """J5, W1. The k nearest documents of every row of a query table (query_id, vector), with rank: blocks of both
+    meet as matrix products (cells.blocked_search); ties to smaller ids."""
+    vectors = docs.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), cells.unit(F.col(vector_col)).alias("u"))
+    asked = queries.select(F.col(query_col).alias("query_id"), cells.unit(F.col("vector")).alias("q"))
+    return cells.blocked_search(vectors, asked, k).select(F.col("query_id").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
 def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "chunk_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
-    """J6. Pairs a < b whose cosine reaches the threshold. Vectors are dealt into cells of bounded
+    """J6. Pairs a < b whose cosine reaches the threshold. Where a cell does not hold all vectors, this is the join that
+    prunes by angles (cells.similar_vectors), for thresholds above 0. Else vectors are dealt into cells of bounded
     size; each pair of cells is one matrix product in a task of its own, so nothing is broadcast and
     no task holds more than two cells."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vector_col)).alias("v")).where("v is not null")
-    cells = max(1, -(-given.count() // cell))
-    dealt = given.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
-    both = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("other"))
+    many = max(1, -(-given.count() // cell))
+    if many > 1 and threshold > 0:
+        return cells.similar_vectors(docs, threshold, id_col, vector_col).pairs()
+    dealt = given.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
+    both = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("other"))
     both = both.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 

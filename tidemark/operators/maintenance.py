@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as N
-from tidemark.operators import categories, graph, knn, store
+from tidemark.operators import categories, graph, intervals, store
+from tidemark.scratch import written
 
 
 def recompute_decay(metadata: DataFrame, now: Column, threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -34,8 +35,7 @@ def consolidate(metadata: DataFrame, access_log: DataFrame, now: Column, archive
     """Nightly: duplicates (created less than a minute apart; the better by decay is kept) archived and
     marked superseded, hot chunks promoted, weak ones archived. Returns metadata and new edges."""
     live = metadata.where(~F.col("is_archived"))
-    pairs = knn.interval_pairs(live, seconds).select("a", "b")
-    dropped = knn.greedy_keepers(pairs, live.select(F.col("chunk_id").alias("id"), F.col("decay_score").alias("score")))
+    dropped = written(intervals.dropped_in_time(live.select(F.col("chunk_id").alias("id"), F.unix_micros("created_at").alias("t"), F.col("decay_score").alias("score")), seconds), "dropped")
     gone = dropped.select(F.col("id").alias("chunk_id"), F.lit(True).alias("_gone"))
     new = metadata.join(gone, "chunk_id", "left").withColumn("is_archived", F.col("is_archived") | F.coalesce("_gone", F.lit(False))).drop("_gone")
     new = store.archive_below(promote(new, hot_items(access_log, now)), archive_threshold)

@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import answers
@@ -17,10 +17,15 @@ from tidemark.operators import graph, knn
 from tidemark.operators import rules as R
 
 
+def order_of(by: str) -> list[Column]:
+    """T7. The order of a list of rules: by tokens or time of change, largest and latest first, or by name, as the root
+    locale sorts it (case and accents matter only between names that are otherwise the same)."""
+    return {"tokens": [F.desc("tokens")], "modified": [F.desc("last_modified")], "name": [F.collate("title", "UNICODE")]}[by]
+
+
 def listed(rules: DataFrame, by: str = "name") -> DataFrame:
-    """T7. Rules by tokens or time of change, largest and latest first, or by title in code points."""
-    order = {"tokens": F.desc("tokens"), "modified": F.desc("last_modified"), "name": F.col("title")}[by]
-    return rules.orderBy(order, "rule_id")
+    """T7. Rules in that order, ties by id."""
+    return rules.orderBy(*order_of(by), "rule_id")
 
 
 def rewrite_candidates(rules: DataFrame, min_tokens: int = 500) -> DataFrame:

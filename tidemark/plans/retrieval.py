@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from tidemark.functions import constants as C
 from tidemark.functions import scoring as N
 from tidemark.functions import text as X
-from tidemark.operators import aggregates, graph, knn
+from tidemark.operators import aggregates, cells, graph, knn
+from tidemark.scratch import written
 
 Embed = Callable[[str], Iterable[float]]
 
@@ -126,6 +127,44 @@ def recursive_query(docs: DataFrame, question: str, embed: Embed, max_iterations
     return merge_hops(found).limit(limit), trace
 
 
+def recursive_queries(docs: DataFrame, questions: DataFrame, embed: Callable[[DataFrame], DataFrame], max_iterations: int = 5, min_confidence: float = 0.7, k: int = 10, follow_k: int = 5, limit: int = 20, sources: list[str] | None = None) -> DataFrame:
+    """R6, R12, X5, X6, A12 for a table of questions (question_id, question): what recursive_query gives for each,
+    as question_id, chunk_id, score, rank and rounds. embed adds `vector` to a table with `query`.
+
+    A state table holds, per question, the hits and the strong hits so far and whether it is open. A round is one blocked
+    search for the follow-ups of all open questions, and an aggregation that closes those that know enough or
+    have nothing to ask; the driver only learns whether any is open. Null questions, and ids that recur, are left out."""
+    given = questions.where("question is not null and question_id is not null").groupBy("question_id").agg(F.min("question").alias("question"))
+    docs = docs.where(F.col("source").isin(sources)) if sources else docs
+    vectors = written(docs.where("embedding is not null").select(F.col("chunk_id").alias("id"), cells.unit(F.col("embedding")).alias("u")), "vectors")
+
+    def hop(asked: DataFrame, top: int, round_: int) -> DataFrame:
+        told = embed(asked).select(F.struct("question_id", "position").alias("query_id"), cells.unit(F.col("vector")).alias("q"))
+        hits = cells.blocked_search(vectors, written(told, "asked"), top)
+        return written(hits.select("query_id.question_id", F.col("id").alias("chunk_id"), "score", F.struct(F.lit(round_).alias("round"), "query_id.position", "rank").alias("ord")), "hop")
+
+    def counted(hits: DataFrame) -> DataFrame:
+        return hits.groupBy("question_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0.7).alias("m"))
+
+    hits = hop(given.select("question_id", F.posexplode(X.decomposed(F.col("question"))).alias("position", "query")), k, 0)
+    state = given.join(counted(hits), "question_id", "left").select("question_id", "question", F.coalesce("n", F.lit(0)).alias("rows"), F.coalesce("m", F.lit(0)).alias("strong"), F.lit(0).alias("rounds"), F.lit(True).alias("open"))
+    for round_ in range(1, max_iterations + 1):
+        state = written(state.withColumn("open", F.col("open") & (F.col("rows") < 5) & (F.size(X.followed_up(F.col("question"))) > 0)), "questions")
+        asked = state.where("open").select("question_id", F.posexplode(X.followed_up(F.col("question"))).alias("position", "query"))
+        if asked.isEmpty():
+            break
+        found = hop(asked, follow_k, round_)
+        hits = hits.unionByName(found)
+        more = state.join(counted(found), "question_id", "left")
+        rows, strong = F.col("rows") + F.coalesce("n", F.lit(0)), F.col("strong") + F.coalesce("m", F.lit(0))
+        sure = F.least(F.least(strong / 10, F.lit(0.9)) + min(0.1 * round_, 0.2), F.lit(1.0)) >= min_confidence
+        state = more.select("question_id", "question", rows.alias("rows"), strong.alias("strong"), F.when(F.col("open"), round_).otherwise(F.col("rounds")).alias("rounds"), (F.col("open") & ~sure).alias("open"))
+    merged = hits.groupBy("question_id", "chunk_id").agg(F.max_by("score", "ord").alias("score"), F.min("ord").alias("first"))
+    best = W.partitionBy("question_id").orderBy(F.desc("score"), "first")
+    ranked = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return ranked.join(state.select("question_id", "rounds"), "question_id").select("question_id", "chunk_id", "score", "rank", "rounds")
+
+
 def keyword_filter(chunks: DataFrame, keywords: list[str], match_all: bool = False, case_sensitive: bool = False, text_col: str = "content") -> DataFrame:
     """P8, P9. Chunks that match any, or all, of the patterns; an invalid pattern raises."""
     for k in keywords:
