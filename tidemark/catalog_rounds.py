@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import sqlite3
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +15,8 @@ from tidemark.catalog_more import _TECH, _rules
 from tidemark.functions import text as X
 from tidemark.operators import cells, fields, graph, intervals, report, topics
 from tidemark.plans import retrieval, tables
-from tidemark.scratch import folder
+from tidemark.scratch import folder, written
+from tidemark.sources import chats, files, stores
 from tidemark.streaming import access, ingest
 
 # vectors in cells
@@ -207,3 +212,62 @@ def rules_in_order(spark, d):
     ranks = tops[0].unionByName(tops[1]).unionByName(tops[2])
     pick = lambda by: F.max(F.when(F.col("by") == by, F.col("rank")))
     return ranks.groupBy("rule_id").agg(pick("name").alias("by_name"), pick("modified").alias("by_change"), pick("tokens").alias("by_tokens"))
+
+
+# files written from the tables
+
+
+def _chat_files(spark: SparkSession, d: str, n: int = 7) -> DataFrame:
+    """path and content of chat databases with the turns of all conversations, dealt by id; the last is cut short."""
+
+    def store(frame: pd.DataFrame) -> pd.DataFrame:
+        base = sqlite3.connect(":memory:")
+        base.execute(f"CREATE TABLE {stores.TABLE} (key TEXT PRIMARY KEY, value BLOB)")
+        for conv, turns in frame.sort_values("turn").groupby("conv_id"):
+            heads = [{"bubbleId": f"b{t}", "type": 1 if r == "user" else 2} for t, r in zip(turns["turn"], turns["role"], strict=True)]
+            base.execute(f"INSERT INTO {stores.TABLE} VALUES (?, ?)", (f"{chats.HEAD}{conv}", json.dumps({"createdAt": 0, "fullConversationHeadersOnly": heads}).encode()))
+            for t, r, x in zip(turns["turn"], turns["role"], turns["text"], strict=True):
+                base.execute(f"INSERT INTO {stores.TABLE} VALUES (?, ?)", (f"{chats.BUBBLE}{conv}:b{t}", json.dumps({"type": 1 if r == "user" else 2, "text": x}).encode()))
+        base.execute(f"INSERT INTO {stores.TABLE} VALUES ('other:1', 'x')")
+        base.commit()
+        number = int(frame["store"].iloc[0])
+        content = base.serialize()
+        return pd.DataFrame({"path": [f"state{number}.vscdb"], "content": [content[: len(content) // 2] if number == n - 1 else content]})
+
+    turns = tables.table(spark, d, "conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "role", "text", (F.col("conv_id") % n).alias("store"))
+    return written(turns.groupBy("store").applyInPandas(store, "path string, content binary"), "stores")
+
+
+@query("SELECT 'state' || conv_id % 7 || '.vscdb' AS store, conv_id::VARCHAR AS conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS turn, role, md5(coalesce(text, '')) AS text FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 7 <> 6", with_tables=False)
+def chat_store_messages(spark, d):
+    """S5, S6, S1. The messages of several chat databases in one read, of which one is damaged and counts as empty."""
+    kv = written(stores.key_values(_chat_files(spark, d)), "key-values")
+    at = kv.select("store", F.regexp_extract("key", f"^{chats.HEAD}(.*)$", 1).alias("conv_id")).where("conv_id <> ''")
+    return chats.messages(kv).join(at, "conv_id").select("store", "conv_id", F.col("turn").cast("int").alias("turn"), "role", F.md5("text").alias("text"))
+
+
+@query("""SELECT vec_id::VARCHAR AS chunk_id, 'src' || label AS source, len(embedding)::INT AS dimensions, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, json_object('source', 'src' || label)::VARCHAR AS metadata FROM embeddings WHERE label % 5 <> 4""", with_tables=False)
+def saved_store_documents(spark, d):
+    """S1. Chunks read from saved vector stores, one file a label; every fifth is broken off and counts as empty."""
+    path = folder(spark, "saved")
+    chunks = tables.chunks(spark, d).where("label is not null")
+    part = F.struct(F.col("chunk_id").cast("string").alias("id"), F.concat(F.lit("text of "), F.col("source")).alias("content"), "embedding", F.struct("source").alias("metadata"))
+    body = F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("chunk_id").cast("string"), F.lit('":'), F.to_json(part))), ",")
+    saved = chunks.withColumn("cut", F.floor(F.col("chunk_id") / 4096)).groupBy("label", "cut").agg(F.concat(F.lit("{"), body, F.when(F.col("label") % 5 == 4, "").otherwise("}")).alias("value"))
+    saved.select("value").repartition(F.xxhash64("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = stores.saved_documents(stores.files_at(spark, path, "part-*"))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4)
+    return found.select(F.col("id").alias("chunk_id"), fields.field(fields.parsed(F.col("metadata")), "$.source").alias("source"), F.size("embedding").alias("dimensions"), total.alias("total"), "metadata")
+
+
+_LINE = "replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ')"
+
+
+@query(f"SELECT 'lang=' || lang AS folder, md5({_LINE}) AS line FROM documents WHERE lang IS NOT NULL AND lang <> 'de'", with_tables=False)
+def rule_files_read(spark, d):
+    """S2, S3, S11, P14. Documents written as lines of text files by language, read as rule files, without the folder excluded."""
+    path = folder(spark, "tree")
+    line = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
+    tables.table(spark, d, "documents").where("lang is not null").select("lang", line.alias("value")).write.partitionBy("lang").text(path)
+    found = files.read_rules(spark, path, ("**/part-*.txt",), ("**/lang=de/**",))
+    return found.select(F.regexp_extract("path", "/(lang=[^/]*)/", 1).alias("folder"), F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("line")).select("folder", F.md5("line").alias("line"))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import text as X
 from tidemark.operators import topics
+from tidemark.scratch import written
 
 
 def estimated_tokens(word: str) -> int:
@@ -72,15 +73,12 @@ def uniform_groups(chunks: DataFrame, size: int = 10, order: str = "chunk_id", w
     return global_positions(chunks, order).withColumn("group", F.concat(F.lit("batch_"), F.floor(F.col("position") / size))).drop("position")
 
 
-def global_positions(df: DataFrame, order: str, range_rows: int = 1_000_000, most: int = 10_000) -> DataFrame:
-    """Adds position, the place of every row in the whole order. Rows are ranked inside ranges of
-    the order column (cut at quantiles of a sketch, as many as the rows ask for, at most `most`), and
-    ranges are offset by the counts before."""
-    buckets = min(most, max(64, df.count() // range_rows))
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], min(0.001, 0.25 / buckets))))
-    bound = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(bound, lambda c: c < F.col(order))))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+def global_positions(df: DataFrame, order: str) -> DataFrame:
+    """Adds position, the place of every row in the whole order of a column of any type, nulls first: ranges of it are dealt
+    to tasks and counted, and each is numbered by itself, so no task sorts the whole table."""
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(spread, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
     offsets = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
     return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn("position", F.col("_offset") + F.col("_inside")).drop("_range", "_inside", "_offset")
