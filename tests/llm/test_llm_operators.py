@@ -635,3 +635,35 @@ def test_one_of_each(docs, nothing):
     assert Counter(r.doc_id for r in kept.collect() if words_of(r.text)) == Counter(brute_components(ROWS, 5, 80, 100, roots=True))
     assert kept.where("text is null").count() == sum(t is None for _, t, _ in ROWS)
     assert jaccard.linked_components(nothing).count() == 0
+
+
+HEADERS = [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"], []),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND MIT */", ["GPL-2.0-only", "MIT"], ["SPDX? linux syscall note"]),
+    ("# SPDX-License-Identifier: EUPL-1.2\nSPDX-License-Identifier: MIT-0", [], ["SPDX? eupl 1 2", "SPDX? mit 0"]),
+    ("SPDX-License-Identifier: MIT Released under the BSD 3-Clause License.", ["BSD-3-Clause", "MIT"], []),
+    ("SPDX-License-Identifier: MIT and so on. OR more", ["MIT"], []),
+    ("Foo is released under the MIT license.", ["MIT"], []),
+    ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", ["LicenseRef-BSD-style"], []),
+    ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies\nof this license document", ["GPL-3.0-only"], []),
+    ("Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["GPL-3.0-or-later"], []),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution.", ["EPL-2.0"], []),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0-only"], []),
+    ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,', ["Apache-2.0"], []),
+    ("This code is licensed under the Foo Public License.", [], ["UnknownRef"]),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", ["MIT"], []),
+    ("It is provided as is without any express or implied warranty.", [], ["NoWarrantyZlib"]),
+]
+
+
+def test_headers_names_and_expressions(spark):
+    import duckdb
+
+    rows = [(n, t, "") for n, (t, _, _) in enumerate(HEADERS)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    assert [(r.licenses, r.unmatched) for r in got] == [(found, left) for _, found, left in HEADERS]
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    single = [(n, t) for n, t, _ in rows if "\n" not in t]  # the SQL takes a known sentence to be one line
+    con.executemany("insert into documents values (?, ?)", single)
+    assert sorted(con.sql(licenses.oracle()).fetchall()) == [(n, ",".join(got[n].license_sentences), ",".join(got[n].licenses), ",".join(got[n].unmatched)) for n, _ in single]

@@ -104,6 +104,19 @@ SENTENCES = [
     ("this notice may not be removed or altered from any source distribution", "ZlibNotice"),
     ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "WTFPLCopy"),
     ("you just do what the fuck you want to", "WTFPL"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation", "GPL2Only"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation", "GPL3Only"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2", "GPL2Only"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3", "GPL3Only"),
+    ("gnu general public license version 2 june 1991", "GPL2Text"),
+    ("gnu general public license version 3 29 june 2007", "GPL3Text"),
+    ("gnu lesser general public license version 3 29 june 2007", "LGPL3Text"),
+    ("gnu affero general public license version 3 19 november 2007", "AGPL3Text"),
+    ("everyone is permitted to copy and distribute verbatim copies of this license document", "GPLCopy"),
+    ("made available under the terms of the eclipse public license 2 0", "EPL2Ref"),
+    ("made available under the terms of the eclipse public license v2 0", "EPL2Ref"),
+    ("made available under the terms of the eclipse public license v 2 0", "EPL2Ref"),
+    ("governed by a bsd style license", "BSDStyleRef"),
     ("all rights reserved", "AllRightsReserved"),
     ("copyright c", "Copyright"),
 ]
@@ -150,6 +163,19 @@ RULES = [
     (("LGPL3Later",), "LGPL-3.0-or-later"),
     (("LGPL21Later",), "LGPL-2.1-or-later"),
     (("AGPL3Later",), "AGPL-3.0-or-later"),
+    (("GPL2Only", "NoWarrantyGPL", "GPLReceived"), "GPL-2.0-only"),
+    (("GPL3Only", "NoWarrantyGPL", "GPLReceived"), "GPL-3.0-only"),
+    (("GPL2Text", "GPLCopy"), "GPL-2.0-only"),
+    (("GPL3Text", "GPLCopy"), "GPL-3.0-only"),
+    (("LGPL3Text", "GPLCopy"), "LGPL-3.0-only"),
+    (("AGPL3Text", "GPLCopy"), "AGPL-3.0-only"),
+    (("GPL2Only",), "GPL-2.0-only"),
+    (("GPL3Only",), "GPL-3.0-only"),
+    (("GPL2Text",), "GPL-2.0-only"),
+    (("GPL3Text",), "GPL-3.0-only"),
+    (("LGPL3Text",), "LGPL-3.0-only"),
+    (("AGPL3Text",), "AGPL-3.0-only"),
+    (("BSDStyleRef",), "LicenseRef-BSD-style"),
     (("MITPermission",), "MIT"),
     (("ISCPermission",), "ISC"),
     (("ZlibPermission",), "Zlib"),
@@ -180,8 +206,17 @@ RULES = [
 #: Every known sentence has one of these inside a word. Words come through normalisation as they are, so a
 #: text without any has no known sentence and need not be normalised.
 SIGNS = ("licens", "permission", "copyright", "warrant", "distribut", "reserved", "advertising", "neither", "domain", "misrepresented", "altered", "cc0", "fuck")
-#: What may stand before the telling words of a normalised sentence.
-OPENING = "(?:(?:[0-9]{1,2}|[a-z]) )?(?:(?:this|the) [a-z]+ is )?"
+#: What may stand before the telling words of a normalised sentence: a list number or letter, and a slot for a name
+#: with "is" or "are". ("Permission is" tells by itself.)
+NUMBER, SLOT = "(?:(?:[0-9]{1,2}|[a-z]) )?", "(?:(?:[a-z0-9+]+ ){1,6}(?:is|are) )?"
+OPENING = f"{NUMBER}(?:(?!permission is ){SLOT})?"
+#: A reference to a licence that no known sentence names.
+REFERENCE = "^(?:licensed|released|distributed) under (?:[a-z0-9+]+ ){0,8}?licen[cs]e "
+UNKNOWN = "UnknownRef"
+#: An SPDX expression: names, perhaps in brackets, with operators between, behind its label. Every name gets a line and
+#: a label of its own before sentences are looked up; \\G goes on where an operator was.
+LABEL, SPDX_NAME = "SPDX-License-Identifier:", "[A-Za-z0-9][A-Za-z0-9.+:_-]*"
+EXPRESSION = rf"(?:\b(?i:{LABEL})|\G(?<=[\x20\t)](?:AND|OR|WITH)))[(\x20\t]*({SPDX_NAME})[)\x20\t]*(?:(?<=[)\x20\t])(?:AND|OR|WITH)(?=[(\x20\t]))?"
 #: Where the oracle cuts.
 END = r"\n|\.[\x20\x09-\x0D]+|\.$"
 #: Comment signs that are words, at the beginning of a line.
@@ -195,18 +230,32 @@ BREAKS = r"\n[^a-z0-9+\n]*(?=\n)|\.[\x20\x09-\x0D]+"
 def _table() -> dict[str, str]:
     """Known sentences without their openings, and their identifiers."""
     spdx = [("spdx license identifier " + re.sub("[^a-z0-9+]+", " ", name.lower()).strip(), f"SPDX {name}") for name in SPDX]
-    return {re.sub(f"^{OPENING}", "", start): name for start, name in SENTENCES + spdx}
+    return {re.sub(f"^{OPENING}", "", start) if name[:4] != "SPDX" else start: name for start, name in SENTENCES + spdx}
+
+
+def _shortened(rules: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[str, ...], str]]:
+    """The rules, longest first, and every beginning of two sentences or more that leads to one licence only: a notice may
+    lack its end."""
+    means: dict[tuple[str, ...], set[str]] = {}
+    for sequence, name in rules:
+        for n in range(2, len(sequence)):
+            means.setdefault(sequence[:n], set()).add(name)
+    given = {sequence for sequence, _ in rules}
+    added = [(sequence, next(iter(names))) for sequence, names in means.items() if len(names) == 1 and sequence not in given]
+    return sorted(rules + added, key=lambda r: -len(r[0]))
 
 
 KNOWN = _table()
-ALL_RULES = RULES + [((f"SPDX {name}",), means) for name, means in SPDX.items()]
+ALL_RULES = _shortened(RULES) + [((f"SPDX {name}",), means) for name, means in SPDX.items()]
+FIRST = "|".join(sorted({re.escape(s.split()[0]) for s in KNOWN}))
 #: Numbers of words of the known sentences, longest first.
 LENGTHS = sorted({len(s.split()) for s in KNOWN}, reverse=True)
 
 
 def normalised(text: Column) -> Column:
     """Lower case a-z, 0-9 and +, BREAK and LINE, all else as single spaces; begins with BREAK."""
-    lines = F.regexp_replace(F.regexp_replace(F.lower(text), LEADERS, ""), VERSION, "v")
+    apart = F.when(F.contains(F.lower(text), F.lit(LABEL.lower())), F.regexp_replace(text, EXPRESSION, f"\n{LABEL} $1\n")).otherwise(text)
+    lines = F.regexp_replace(F.regexp_replace(F.lower(apart), LEADERS, ""), VERSION, "v")
     broken = F.replace(F.regexp_replace(lines, BREAKS, f"\n {BREAK} "), F.lit("\n"), F.lit(f" {LINE} "))
     return F.concat(F.lit(f"{BREAK} "), F.trim(F.regexp_replace(broken, f"[^a-z0-9+{BREAK}{LINE}]+", " ")), F.lit(" "))
 
@@ -214,13 +263,22 @@ def normalised(text: Column) -> Column:
 def identified(text: Column) -> Column:
     """The identifiers of the known sentences in a normalised text, in order. Wherever the first word of
     a known sentence stands at the beginning of a sentence or line, the words from there are looked up;
-    beginnings inside a sentence that was found are passed over."""
-    first = "|".join(sorted({re.escape(s.split()[0]) for s in KNOWN}))
+    beginnings inside a sentence that was found are passed over. Behind an SPDX label all words of the line are one
+    name; one that is not known, an exception too, is `SPDX? ` and its words. A reference to a licence that is not known is
+    UNKNOWN."""
+    first = FIRST
     over = f"(?:{LINE} )*"
     found = F.regexp_extract_all(text, F.lit(f"(?<=[{BREAK}{LINE}] ){OPENING}(?=((?:{first}) {over}(?:[a-z0-9+]+ {over}){{0,{LENGTHS[0] - 1}}}))"), F.lit(1))
     known = F.str_to_map(F.lit(",".join(f"{s}:{name};{len(s.split())}" for s, name in KNOWN.items())), F.lit(","), F.lit(":"))
     bare = lambda s: F.replace(s, F.lit(f"{LINE} "), F.lit(""))
-    hits = F.transform(found, lambda s: F.struct(s.alias("s"), F.coalesce(*[F.try_element_at(known, F.trim(F.substring_index(bare(s), " ", n))) for n in LENGTHS]).alias("hit")))
+    size = lambda s: F.size(F.split(s, " ")).cast("string")
+    label = F.lit("spdx license identifier ")
+    line = lambda s: F.trim(F.regexp_extract(s, "^[a-z0-9+ ]*", 0))
+    spdx = lambda s: F.coalesce(F.try_element_at(known, line(s)), F.concat(F.lit("SPDX? "), F.substr(line(s), F.length(label) + 1), F.lit(";"), size(line(s))))
+    reference = lambda s: F.regexp_extract(bare(s), REFERENCE, 0)
+    unknown = lambda s: F.when(reference(s) != "", F.concat(F.lit(f"{UNKNOWN};"), size(F.trim(reference(s)))))
+    sentence = lambda s: F.coalesce(*[F.try_element_at(known, F.trim(F.substring_index(bare(s), " ", n))) for n in LENGTHS], unknown(s))
+    hits = F.transform(found, lambda s: F.struct(s.alias("s"), F.when(F.startswith(s, label), spdx(s)).otherwise(sentence(s)).alias("hit")))
     name, n = lambda h: F.substring_index(h["hit"], ";", 1), lambda h: F.substring_index(h["hit"], ";", -1).cast("int")
     taken = lambda h: F.regexp_substr(h["s"], F.concat(F.lit(f"^(?:[a-z0-9+]+ {over}){{"), (n(h) - 1).cast("string"), F.lit("}[a-z0-9+]+ ")))
     inside = lambda h: F.regexp_count(taken(h), F.lit(f"{LINE} {OPENING}(?:{first}) "))
@@ -260,12 +318,23 @@ def oracle() -> str:
     for sequence, name in ALL_RULES:
         pattern = "".join(f";{i};" for i in sequence)
         before = f"SELECT doc_id, seq, replace(l, '{pattern}', ';|;') AS l, CASE WHEN contains(l, '{pattern}') THEN list_append(f, '{name}') ELSE f END AS f FROM ({before})"
+    names = rf"{SPDX_NAME}(?:[)\x20\t]*[)\x20\t](?:AND|OR|WITH)[(\x20\t]+{SPDX_NAME})*[)\x20\t]*"
+    label = rf"\b(?i:{LABEL})[(\x20\t]*"
+    each = f"list_transform(list_filter(regexp_split_to_array(x, '[()\\x20\\t]+'), lambda y: y NOT IN ('AND', 'OR', 'WITH', '')), lambda y: '{LABEL} ' || y)"
+    pieces = f"CASE WHEN regexp_matches(s, '(?i){LABEL}') THEN flatten(list_transform(range(1, len(regexp_split_to_array(s, '{label}{names}')) + 1), lambda i: list_concat([regexp_split_to_array(s, '{label}{names}')[i]], coalesce(list_transform([regexp_extract_all(s, '{label}({names})', 1)[i]], lambda x: {each})[1], [])))) ELSE [s] END"
+    held = r"regexp_replace({0}, '^((?:(?:[0-9]{{1,2}}|[a-z]) )?)permission is ', '\1permission_is ')"
+    bare = "trim(regexp_replace(lower(s), '[^a-z0-9+]+', ' ', 'g')) || ' '"
+    telling = f"coalesce(nullif(regexp_extract({held.format(bare)}, '^{NUMBER}{SLOT}((?:{FIRST.replace('permission|', 'permission|permission_is|')}) .*)$', 1), ''), {bare})"
     return f"""
 WITH known(start, name) AS (VALUES {quoted}),
-    cut AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{END}') AS s FROM documents)),
-    plain AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9+]+', ' ', 'g')), '^{OPENING}', '') || ' ' AS s FROM cut),
-    hits AS (SELECT doc_id, i, arg_max(name, length(start)) AS name FROM plain JOIN known ON starts_with(s, start || ' ') GROUP BY doc_id, i),
-    sequences AS (SELECT d.doc_id, coalesce(list(name ORDER BY i) FILTER (name IS NOT NULL), []) AS seq FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id),
+    parts AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{END}') AS s FROM documents)),
+    cut AS (SELECT doc_id, i, unnest(l) AS s, unnest(range(len(l))) AS j FROM (SELECT doc_id, i, {pieces} AS l FROM parts)),
+    plain AS (SELECT doc_id, i, j, replace({telling}, 'permission_is ', 'permission is ') AS s FROM cut),
+    hits AS (SELECT doc_id, i, j, arg_max(name, length(start)) AS name FROM (
+        SELECT doc_id, i, j, name, start FROM plain JOIN known ON starts_with(s, start || ' ') AND (NOT starts_with(s, 'spdx ') OR s = start || ' ')
+        UNION ALL SELECT doc_id, i, j, 'SPDX? ' || trim(s[25:]), '' FROM plain WHERE starts_with(s, 'spdx license identifier ')
+        UNION ALL SELECT doc_id, i, j, '{UNKNOWN}', '' FROM plain WHERE regexp_matches(s, '{REFERENCE}')) GROUP BY doc_id, i, j),
+    sequences AS (SELECT d.doc_id, coalesce(list(name ORDER BY i, j) FILTER (name IS NOT NULL), []) AS seq FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id),
     matched AS ({before})
 SELECT doc_id, array_to_string(seq, ',') AS license_sentences, array_to_string(list_sort(list_distinct(list_filter(f, lambda x: x <> ''))), ',') AS licenses,
     array_to_string(list_filter(string_split(l, ';'), lambda x: x <> '' AND x <> '|'), ',') AS unmatched
