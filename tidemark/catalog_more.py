@@ -394,7 +394,7 @@ def extracted_knowledge(spark, d):
 def _items(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Extracted items of all kinds, by fixed rules on the turns of conversations."""
     given = tables.table(spark, d, "conversations").select(
-        "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.substring("text", 1, 80).alias("head"), F.substring("text", 81, 120).alias("rest"), (F.col("turn") % 10 / 10).alias("confidence"),
+        "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.substring("text", 1, 80).alias("head"), F.expr("substring(text, 81)").alias("rest"), (F.col("turn") % 10 / 10).alias("confidence"),
     )
     listed = lambda cond, *xs: F.when(cond, F.array(*[F.lit(x) for x in xs])).otherwise(F.array().cast("array<string>"))
     odd, third = F.col("turn") % 2 == 1, F.col("conv_id") % 3 == 0
@@ -411,7 +411,7 @@ def _items(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 _GAP = f"{NL} || {NL}"
-_ITEMS = f"""given AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, text[1:80] AS head, text[81:200] AS rest, (turn % 10) / 10 AS c, turn % 2 = 1 AS odd, conv_id % 3 = 0 AS third FROM conversations),
+_ITEMS = f"""given AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, text[1:80] AS head, text[81:] AS rest, (turn % 10) / 10 AS c, turn % 2 = 1 AS odd, conv_id % 3 = 0 AS third FROM conversations),
     bits AS (SELECT *, CASE WHEN third THEN '## Tags' || {NL} || 'x, y' END AS tags,
         CASE WHEN third THEN 'Before:' || {NL} || '```py' || {NL} || 'old' || {NL} || '```' || {_GAP} ELSE '' END || 'After:' || {NL} || '```py' || {NL} || 'new' || {NL} || '```' || CASE WHEN third THEN '' ELSE {_GAP} || 'why' END AS change FROM given),
     made AS (SELECT id, conv_id, c, 'solution' AS chunk_type, 0.6 + CASE WHEN third THEN 0.1 ELSE 0 END + CASE WHEN odd THEN 0.1 ELSE 0 END + CASE WHEN third THEN 0.05 ELSE 0 END + CASE WHEN c > 0.8 THEN 0.1 ELSE 0 END AS importance,
@@ -658,14 +658,13 @@ def adaptive_groups(spark, d):
     return chunking.adaptive_groups(_described(spark, d), "list all of it").select("chunk_id", "group")
 
 
-_ASKS = [("list every one", "uniform"), ("fix the error", "keyword"), ("tell me", "structural")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{s}')" for q, s in _ASKS) + ") v(question, strategy)", with_tables=False)
+@query("""+flags AS (SELECT count(*) AS n, count(DISTINCT source) AS sources, bool_or(len(embedding) > 0) AS vectors FROM chunks)
+    SELECT item_id, CASE WHEN n = 0 OR regexp_matches(lower(text), 'how many|count|list|all|every') THEN 'uniform' WHEN regexp_matches(lower(text), 'error|fix|bug|specific') THEN 'keyword'
+        WHEN sources > 1 THEN 'structural' WHEN vectors AND n > 5 THEN 'semantic' ELSE 'uniform' END AS strategy FROM benchmark, flags""")
 def strategy_advice(spark, d):
-    """C8. What is advised for three questions over all chunks."""
-    flags = chunking.traits(_described(spark, d)).first().asDict()
-    return spark.createDataFrame([(q, chunking.recommend_strategy(flags, q)) for q, _ in _ASKS], "question string, strategy string")
+    """C8. What is advised for every benchmark item as a question over all chunks."""
+    items = tables.table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+    return chunking.recommended(items, chunking.traits(_described(spark, d))).select("item_id", "strategy")
 
 
 @query(f"""+{_KNN.format(k=30)} SELECT chunk_id FROM knn30 JOIN meta USING (chunk_id) WHERE NOT is_archived ORDER BY {_FINAL3} DESC, chunk_id LIMIT 10""")

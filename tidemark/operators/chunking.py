@@ -157,6 +157,14 @@ def recommend_strategy(flags: dict[str, object], query: str | None = None) -> st
     return "semantic" if flags["vectors"] and flags["n"] > 5 else "uniform"
 
 
+def recommended(questions: DataFrame, flags: DataFrame) -> DataFrame:
+    """C8 for a table of questions, with the one row of `traits`: adds strategy."""
+    q = F.lower(F.coalesce("question", F.lit("")))
+    first = F.when((F.col("n") == 0) | q.rlike("how many|count|list|all|every"), "uniform").when(q.rlike("error|fix|bug|specific"), "keyword")
+    rest = F.when(F.col("sources") > 1, "structural").when(F.col("vectors") & (F.col("n") > 5), "semantic").otherwise("uniform")
+    return questions.crossJoin(F.broadcast(flags.select("n", "sources", "vectors"))).withColumn("strategy", F.coalesce(first, rest)).drop("n", "sources", "vectors")
+
+
 def adaptive_groups(chunks: DataFrame, query: str) -> DataFrame:
     """C7, applied."""
     name, argument = choose_strategy(traits(chunks).first().asDict(), query)
