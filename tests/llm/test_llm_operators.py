@@ -667,3 +667,17 @@ def test_headers_names_and_expressions(spark):
     single = [(n, t) for n, t, _ in rows if "\n" not in t]  # the SQL takes a known sentence to be one line
     con.executemany("insert into documents values (?, ?)", single)
     assert sorted(con.sql(licenses.oracle()).fetchall()) == [(n, ",".join(got[n].license_sentences), ",".join(got[n].licenses), ",".join(got[n].unmatched)) for n, _ in single]
+
+
+def test_copies_of_a_text_are_looked_up_once(spark, monkeypatch):
+    """900 copies and one variant: the windows written are those of two texts at most."""
+    made = []
+    real = substrings.scratch
+    monkeypatch.setattr(substrings, "scratch", lambda df, name, **own: made.append((name, out := real(df, name, **own))) or out)
+    base = [f"w{i}" for i in range(200)]
+    variant = base[:100] + ["other"] + base[100:]
+    rows = [(i, " ".join(base), "s") for i in range(900)] + [(900, " ".join(variant), "s")]
+    got = {r.doc_id: r.n_removed for r in substrings.dedup_digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: 200 for i in range(900)} | {900: 200}
+    windows = [df for name, df in made if name == "windows"]
+    assert sum(df.count() for df in windows) < 2 * len(variant)

@@ -153,7 +153,10 @@ def repeated_spans(docs: DataFrame, window: int, text_col: str) -> DataFrame:
     one_copy = one_copy.where(busy).unionByName(one_copy.where(~busy).join(rest.where(~busy).select("sig").distinct().hint("merge"), "sig", "left_semi").select(*one_copy.columns))
     looked = rest.select(*KEY, "first", "last", F.lit(1).alias("weight")).unionByName(one_copy.select(*KEY, "first", "last", F.lit(2).alias("weight")))
     looked = looked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "weight")).alias("ranges"))
-    each = scratch(window_hashes(docs.join(looked.hint("merge"), KEY), window, text_col), "windows")
+    # of a text with copies only stretches found whole are looked up, and one copy will do; the join has
+    # brought copies together
+    met = docs.join(looked.hint("merge"), KEY).dropDuplicates(list(KEY))
+    each = scratch(window_hashes(met, window, text_col), "windows")
     ends = _again(each).select(*KEY, "first", (F.col("first") + window).alias("end"))
     return found.unionByName(ends).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
