@@ -6,7 +6,7 @@ import json
 import sqlite3
 
 from tidemark.operators import chunking
-from tidemark.sources import chats, stores
+from tidemark.sources import chats, files, stores
 
 
 def database(path, rows):
@@ -33,7 +33,7 @@ def test_several_databases_of_which_one_is_damaged(spark, tmp_path):
     assert kv.where("key like 'else%'").count() == 0 and kv.count() == 3005
     assert sorted((r.conv_id, r.role, r.text) for r in chats.messages(kv).collect()) == [("c1", "user", "hé"), ("c2", "assistant", "two")]
     bad = stores.damaged(stores.files_at(spark, str(tmp_path), "*.vscdb")).collect()
-    assert sorted(r.store.rsplit("/", 1)[-1] for r in bad) == ["bare.vscdb", "cut.vscdb", "empty.vscdb", "noise.vscdb"] and all(r.problem for r in bad)
+    assert sorted(r.store.rsplit("/", 1)[-1] for r in bad) == ["bare.vscdb", "cut.vscdb", "noise.vscdb"] and all(r.problem for r in bad)
     assert [r.key for r in stores.key_values(stores.files_at(spark, str(tmp_path), "one*"), ("else:",)).collect()] == ["else:1"]
 
 
@@ -52,3 +52,15 @@ def test_batches_of_text_ids(spark):
     got = {r.chunk_id: r.group for r in chunking.uniform_groups(df, 10).collect()}
     assert got == {i: f"batch_{n // 10}" for n, i in enumerate(sorted(ids))}
     assert chunking.uniform_groups(df.limit(0), 10).count() == 0
+
+
+def test_skills_of_several_folders(spark, tmp_path):
+    for folder, name, text in (("home/x", "a", "global a"), (".agent/skills", "a", "universal a"), ("here", "b", "project b")):
+        at = tmp_path / folder / name
+        at.mkdir(parents=True)
+        (at / "SKILL.md").write_text(f"---\nname: {name}\ndescription: {text}\n---\nbody")
+    paths = ["~/x", str(tmp_path / ".agent/skills"), str(tmp_path / "absent"), str(tmp_path / "here")]
+    skills = files.discover_skills(spark, paths, str(tmp_path / "home"))
+    assert sorted((r.name, r.location, r.place) for r in skills.collect()) == [("a", "global", 0), ("a", "universal", 1), ("b", "project", 3)]
+    assert [r.description for r in files.skill_named(skills, "a").collect()] == ["universal a"]
+    assert files.discover_skills(spark, [str(tmp_path / "absent")]).count() == 0

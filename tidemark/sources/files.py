@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pathlib
 import re
 import shutil
@@ -59,6 +60,25 @@ def read_skills(spark: SparkSession, path: str) -> DataFrame:
     return grouped.select(F.coalesce(field("name"), F.element_at(F.split("folder", "/"), -1)).alias("name"), field("description").alias("description"), "content")
 
 
+def discover_skills(spark: SparkSession, paths: list[str], home: str = str(pathlib.Path.home())) -> DataFrame:
+    """S12, R11. The skills of several folders (those that exist) with location: universal below an .agent folder, global below
+    home, else project; and place, the number of the folder they were found in."""
+    found = []
+    for place, path in enumerate(paths):
+        whole = path.replace("~", home, 1) if path.startswith("~") else path
+        at = spark._jvm.org.apache.hadoop.fs.Path(whole)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            location = "universal" if ".agent" in whole else "global" if whole.removeprefix("file://").startswith(home) else "project"
+            found.append(read_skills(spark, whole).select("*", F.lit(location).alias("location"), F.lit(place).alias("place")))
+    none = spark.createDataFrame([], "name string, description string, content string, location string, place int")
+    return functools.reduce(DataFrame.unionByName, found, none)
+
+
+def skill_named(skills: DataFrame, name: str) -> DataFrame:
+    """R11. The skill of a name; of several the one found last."""
+    return skills.where(F.col("name") == name).orderBy(F.desc("place")).limit(1)
+
+
 def backup_files(paths: list[str], folder: str, version: str) -> str:
     """K22. Copies of the files, each path once, in a new folder of that version; two files of one name
     keep both, the later with a number. Returns the folder. Runs on the driver: rule files are few."""

@@ -58,7 +58,7 @@ def key_values(files: DataFrame, prefixes: Sequence[str] = (HEAD, BUBBLE)) -> Da
 
 
 def damaged(files: DataFrame) -> DataFrame:
-    """The databases that can't be read, and why: store, problem."""
+    """The databases that can't be read, and why: store, problem. Spark passes over files without a byte; they give no rows at all."""
     return _stored(files, (HEAD,)).where("problem is not null").select("store", "problem")
 
 
