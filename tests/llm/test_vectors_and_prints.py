@@ -3,6 +3,7 @@ with nulls, unsound and empty vectors, empty and very long texts, ties, repeated
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import codes, fingerprints, vectors, whitening
+from tidemark.llm import codes, fingerprints, packing, vectors, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 CLASHES = ["id", "v", "n", "width", "kind", "data", "component", "deviation", "code", "error", "i", "facts", "top", "ids", "labels", "of_label"]
@@ -310,3 +311,26 @@ def test_half_edited_texts_are_nearer_than_others(spark):
     assert sum(r.near_edited > r.near_next for r in got) >= 0.95 * len(got)
     strangers = sorted(r.near_next for r in got)
     assert strangers[len(got) // 2] < 0.05
+
+
+# packing's ids
+
+
+@functools.cache
+def named_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|>", "<|endoftext", "  ", "\n\n", "'ll", "  ", "́", "\U0001f600", "\r\n", "\x00"])), max_size=6).map("".join))
+def test_packing_ids_are_those_of_the_tokenizers_library(text):
+    assert packing.token_ids(text, packing.default_vocabulary_path())[:-1].tolist() == named_tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_packing_ids_of_documents():
+    rows = duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where text is not null").fetchall()
+    path = packing.default_vocabulary_path()
+    assert all(packing.token_ids(t, path)[:-1].tolist() == named_tokenizer().encode(t, add_special_tokens=False).ids for (t,) in rows)
