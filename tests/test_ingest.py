@@ -44,6 +44,14 @@ def test_any_split_gives_the_rows_of_the_batch(spark, tmp_path):
     assert ingest.late_turns(spark, out).count() == 0
 
 
+def test_ranges_of_turns_change_nothing(spark):
+    df = spark.createDataFrame(turns(5, 12) + [(200, t, ("user", "assistant", "assistant")[t % 3], f"x{t}") for t in range(0, 90, 2)], SCHEMA)
+    whole = shown(conversations.exchanges(df, 10**6))
+    pairs = lambda b: sorted(map(tuple, conversations.adjacent_pairs(df, b).collect()))
+    for bucket in (1, 4, 7):
+        assert shown(conversations.exchanges(df, bucket)) == whole and pairs(bucket) == pairs(10**6)
+
+
 class Value:
     def __init__(self):
         self.v = None

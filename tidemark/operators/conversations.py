@@ -10,26 +10,40 @@ from pyspark.sql import Window as W
 from tidemark.functions import text as X
 
 
-def exchanges(turns: DataFrame) -> DataFrame:
+#: Turns of a conversation that are put in order by one task.
+BUCKET = 1024
+
+
+def exchanges(turns: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """W3 (Q30). conv_id, exchange, question, answers and their number: a user turn with the
     assistant turns up to the next. What stands before the first user turn and other roles are
-    left out; a last user turn without answer is dropped, an earlier one is kept."""
-    run = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    numbered = turns.where(F.col("role").isin("user", "assistant")).withColumn("exchange", F.sum((F.col("role") == "user").cast("int")).over(run)).where("exchange > 0")
+    left out; a last user turn without answer is dropped, an earlier one is kept. User turns are counted in
+    ranges of turns, offset by the counts before, so a conversation with a third of all turns is many tasks."""
+    given = turns.where(F.col("role").isin("user", "assistant")).withColumns({"_range": F.floor(F.col("turn") / bucket), "_asks": (F.col("role") == "user").cast("long")})
+    before = W.partitionBy("conv_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    counts = given.groupBy("conv_id", "_range").agg(F.sum("_asks").alias("n")).select("conv_id", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    run = W.partitionBy("conv_id", "_range").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    numbered = given.join(counts, ["conv_id", "_range"]).withColumn("exchange", F.col("_before") + F.sum("_asks").over(run)).where("exchange > 0")
     answer = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
     grouped = numbered.groupBy("conv_id", "exchange").agg(
         F.max(F.when(F.col("role") == "user", F.col("text"))).alias("question"), F.sort_array(F.collect_list(answer)).alias("a"),
     )
-    last = F.max("exchange").over(W.partitionBy("conv_id"))
-    kept = grouped.withColumn("last", last).where((F.size("a") > 0) | (F.col("exchange") < F.col("last")))
+    last = given.groupBy("conv_id").agg(F.sum("_asks").alias("last"))
+    kept = grouped.join(last, "conv_id").where((F.size("a") > 0) | (F.col("exchange") < F.col("last")))
     return kept.select("conv_id", "exchange", "question", F.transform("a", lambda x: x["text"]).alias("answers"), F.size("a").alias("n_answers"))
 
 
-def adjacent_pairs(turns: DataFrame) -> DataFrame:
-    """W4. User turns followed at once by an assistant turn."""
-    order = W.partitionBy("conv_id").orderBy("turn")
-    seen = turns.withColumns({"next_role": F.lead("role").over(order), "answer": F.lead("text").over(order)})
-    return seen.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+def adjacent_pairs(turns: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """W4. User turns followed at once by an assistant turn. The last turn of a range is followed by the first of the next
+    range that has any."""
+    given = turns.withColumn("_range", F.floor(F.col("turn") / bucket))
+    ranges = W.partitionBy("conv_id").orderBy("_range")  # a row per range
+    firsts = given.groupBy("conv_id", "_range").agg(F.min_by(F.struct("role", "text"), "turn").alias("_first"))
+    firsts = firsts.select("conv_id", "_range", F.lead("_first").over(ranges).alias("_next"))
+    order = W.partitionBy("conv_id", "_range").orderBy("turn")
+    inside = F.lead(F.struct("role", "text")).over(order)
+    seen = given.join(firsts, ["conv_id", "_range"]).withColumn("_then", F.coalesce(inside, F.col("_next")))
+    return seen.where("role = 'user' and _then.role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), F.col("_then.text").alias("answer"))
 
 
 def previews(turns: DataFrame, length: int = 200) -> DataFrame:
