@@ -214,7 +214,8 @@ OPENING = f"{NUMBER}(?:(?!permission is ){SLOT})?"
 REFERENCE = "^(?:licensed|released|distributed) under (?:[a-z0-9+]+ ){0,8}?licen[cs]e "
 UNKNOWN = "UnknownRef"
 #: An SPDX expression: names, perhaps in brackets, with operators between, behind its label. Every name gets a line and
-#: a label of its own before sentences are looked up; \\G goes on where an operator was.
+#: a label of its own (OWN) before sentences are looked up; \\G goes on where an operator was.
+OWN = "SPDX-License-Name:"
 LABEL, SPDX_NAME = "SPDX-License-Identifier:", "[A-Za-z0-9][A-Za-z0-9.+:_-]*"
 EXPRESSION = rf"(?:\b(?i:{LABEL})|\G(?<=[\x20\t)](?:AND|OR|WITH)))[(\x20\t]*({SPDX_NAME})[)\x20\t]*(?:(?<=[)\x20\t])(?:AND|OR|WITH)(?=[(\x20\t]))?"
 #: Where the oracle cuts.
@@ -254,7 +255,7 @@ LENGTHS = sorted({len(s.split()) for s in KNOWN}, reverse=True)
 
 def normalised(text: Column) -> Column:
     """Lower case a-z, 0-9 and +, BREAK and LINE, all else as single spaces; begins with BREAK."""
-    apart = F.when(F.contains(F.lower(text), F.lit(LABEL.lower())), F.regexp_replace(text, EXPRESSION, f"\n{LABEL} $1\n")).otherwise(text)
+    apart = F.when(F.contains(F.lower(text), F.lit(LABEL.lower())), F.regexp_replace(text, EXPRESSION, f"\n{OWN} $1\n")).otherwise(text)
     lines = F.regexp_replace(F.regexp_replace(F.lower(apart), LEADERS, ""), VERSION, "v")
     broken = F.replace(F.regexp_replace(lines, BREAKS, f"\n {BREAK} "), F.lit("\n"), F.lit(f" {LINE} "))
     return F.concat(F.lit(f"{BREAK} "), F.trim(F.regexp_replace(broken, f"[^a-z0-9+{BREAK}{LINE}]+", " ")), F.lit(" "))
@@ -272,9 +273,9 @@ def identified(text: Column) -> Column:
     known = F.str_to_map(F.lit(",".join(f"{s}:{name};{len(s.split())}" for s, name in KNOWN.items())), F.lit(","), F.lit(":"))
     bare = lambda s: F.replace(s, F.lit(f"{LINE} "), F.lit(""))
     size = lambda s: F.size(F.split(s, " ")).cast("string")
-    label = F.lit("spdx license identifier ")
+    label = F.lit("spdx license name ")
     line = lambda s: F.trim(F.regexp_extract(s, "^[a-z0-9+ ]*", 0))
-    spdx = lambda s: F.coalesce(F.try_element_at(known, line(s)), F.concat(F.lit("SPDX? "), F.substr(line(s), F.length(label) + 1), F.lit(";"), size(line(s))))
+    spdx = lambda s: F.coalesce(F.try_element_at(known, F.replace(line(s), label, F.lit("spdx license identifier "))), F.concat(F.lit("SPDX? "), F.substr(line(s), F.length(label) + 1), F.lit(";"), size(line(s))))
     reference = lambda s: F.regexp_extract(bare(s), REFERENCE, 0)
     unknown = lambda s: F.when(reference(s) != "", F.concat(F.lit(f"{UNKNOWN};"), size(F.trim(reference(s)))))
     sentence = lambda s: F.coalesce(*[F.try_element_at(known, F.trim(F.substring_index(bare(s), " ", n))) for n in LENGTHS], unknown(s))
@@ -320,7 +321,7 @@ def oracle() -> str:
         before = f"SELECT doc_id, seq, replace(l, '{pattern}', ';|;') AS l, CASE WHEN contains(l, '{pattern}') THEN list_append(f, '{name}') ELSE f END AS f FROM ({before})"
     names = rf"{SPDX_NAME}(?:[)\x20\t]*[)\x20\t](?:AND|OR|WITH)[(\x20\t]+{SPDX_NAME})*[)\x20\t]*"
     label = rf"\b(?i:{LABEL})[(\x20\t]*"
-    each = f"list_transform(list_filter(regexp_split_to_array(x, '[()\\x20\\t]+'), lambda y: y NOT IN ('AND', 'OR', 'WITH', '')), lambda y: '{LABEL} ' || y)"
+    each = f"list_transform(list_filter(regexp_split_to_array(x, '[()\\x20\\t]+'), lambda y: y NOT IN ('AND', 'OR', 'WITH', '')), lambda y: '{OWN} ' || y)"
     pieces = f"CASE WHEN regexp_matches(s, '(?i){LABEL}') THEN flatten(list_transform(range(1, len(regexp_split_to_array(s, '{label}{names}')) + 1), lambda i: list_concat([regexp_split_to_array(s, '{label}{names}')[i]], coalesce(list_transform([regexp_extract_all(s, '{label}({names})', 1)[i]], lambda x: {each})[1], [])))) ELSE [s] END"
     held = r"regexp_replace({0}, '^((?:(?:[0-9]{{1,2}}|[a-z]) )?)permission is ', '\1permission_is ')"
     bare = "trim(regexp_replace(lower(s), '[^a-z0-9+]+', ' ', 'g')) || ' '"
@@ -331,8 +332,8 @@ WITH known(start, name) AS (VALUES {quoted}),
     cut AS (SELECT doc_id, i, unnest(l) AS s, unnest(range(len(l))) AS j FROM (SELECT doc_id, i, {pieces} AS l FROM parts)),
     plain AS (SELECT doc_id, i, j, replace({telling}, 'permission_is ', 'permission is ') AS s FROM cut),
     hits AS (SELECT doc_id, i, j, arg_max(name, length(start)) AS name FROM (
-        SELECT doc_id, i, j, name, start FROM plain JOIN known ON starts_with(s, start || ' ') AND (NOT starts_with(s, 'spdx ') OR s = start || ' ')
-        UNION ALL SELECT doc_id, i, j, 'SPDX? ' || trim(s[25:]), '' FROM plain WHERE starts_with(s, 'spdx license identifier ')
+        SELECT doc_id, i, j, name, start FROM plain JOIN known ON starts_with(s, start || ' ') OR s = replace(start, 'spdx license identifier', 'spdx license name') || ' '
+        UNION ALL SELECT doc_id, i, j, 'SPDX? ' || trim(s[19:]), '' FROM plain WHERE starts_with(s, 'spdx license name ')
         UNION ALL SELECT doc_id, i, j, '{UNKNOWN}', '' FROM plain WHERE regexp_matches(s, '{REFERENCE}')) GROUP BY doc_id, i, j),
     sequences AS (SELECT d.doc_id, coalesce(list(name ORDER BY i, j) FILTER (name IS NOT NULL), []) AS seq FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id),
     matched AS ({before})
