@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidemark.functions import text as X
 
 
 def compared(spark, tmp_path, name, **given):
@@ -24,3 +26,19 @@ def test_outdated_refs_by_the_signs_of_its_sql(spark, tmp_path):
     got, wanted = compared(spark, tmp_path, "outdated_refs", documents=(rows, "doc_id long, text string"))
     assert got == wanted
     assert 0 not in {g[0] for g in got} and (2, 0.5) in got and (400, 0.4) in got
+
+
+def test_extracted_knowledge_names_letters_without_a_single_capital(spark, tmp_path):
+    asked = ["ßtük größe wörter", "ᾳbcd ﬁxen ΐota", "ŉabc ΑΒΓΣ İÜĞŞ", "eins\x0bzwei drei", "ǆabc ᾀbcd straSSE"]
+    answer = "so\n```py\n" + "x" * 60 + "\n```"
+    rows = [(4 * i + 3, t, *said) for i, q in enumerate(asked) for t, said in enumerate([("user", q), ("assistant", answer)])]
+    got, wanted = compared(spark, tmp_path, "extracted_knowledge", conversations=(rows, "conv_id long, turn int, role string, text string"))
+    assert len(got) == len(asked) and got == wanted
+
+
+def test_upper_and_lower_one_by_one_as_duckdb(spark):
+    con = duckdb.connect()
+    letters = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c) not in "ƛɤᲉᲊꟋꟌꟍꟚꟛꟜ"]  # newer than DuckDB's table
+    rows = spark.createDataFrame([(c,) for c in letters], "c string").select("c", X.upper_one(F.col("c")), X.lower_one(F.col("c"))).collect()
+    wanted = con.execute("select c, upper(c), lower(c) from (select unnest(?) as c)", [letters]).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(wanted)
