@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tests.test_rounds import loop_kmeans
 from tidemark.functions import text as X
+from tidemark.operators import topics
 
 
 def compared(spark, tmp_path, name, **given):
@@ -42,3 +46,11 @@ def test_upper_and_lower_one_by_one_as_duckdb(spark):
     rows = spark.createDataFrame([(c,) for c in letters], "c string").select("c", X.upper_one(F.col("c")), X.lower_one(F.col("c"))).collect()
     wanted = con.execute("select c, upper(c), lower(c) from (select unnest(?) as c)", [letters]).fetchall()
     assert sorted(map(tuple, rows)) == sorted(wanted)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_topics_after_few_rounds(spark, rounds):
+    x = np.random.default_rng(5).standard_normal((200, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+    c = topics.kmeans(df, 5, rounds)
+    assert (np.array([((v - c) ** 2).sum(1).argmin() for v in x]) == loop_kmeans(x, 5, rounds)).all()

@@ -87,7 +87,7 @@ def _squares(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def kmeans(vectors: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> np.ndarray:
     """A14. Centroids of vectors (id, v; v an array<double>): the first is the vector of the smallest id, each further one the
     vector farthest from those there are (ties to smaller ids), then at most `rounds` rounds of nearest centroid
-    (ties to the first) and mean. It ends when no vector changes its centroid. A pass is a job; the driver
+    (ties to the first), with the mean of each between them: the centroids are those of the last round. It ends when no vector changes its centroid. A pass is a job; the driver
     holds k vectors, and sums of vectors are exact."""
     first = vectors.orderBy("id").select("id", "v").first()
     if first is None:
@@ -112,7 +112,7 @@ def kmeans(vectors: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> np.ndarr
             break
         centroids, used = np.vstack([centroids, best.v]), [*used, best.id]
     before = None
-    for _ in range(rounds):
+    for _ in range(rounds - 1):
         now, last = centroids, before
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
