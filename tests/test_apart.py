@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tests.test_rounds import loop_kmeans
 from tidemark.functions import text as X
-from tidemark.operators import topics
+from tidemark.operators import rules, topics
 
 
 def compared(spark, tmp_path, name, **given):
@@ -54,3 +56,34 @@ def test_topics_after_few_rounds(spark, rounds):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
     c = topics.kmeans(df, 5, rounds)
     assert (np.array([((v - c) ** 2).sum(1).argmin() for v in x]) == loop_kmeans(x, 5, rounds)).all()
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.8, 0.9])
+def test_set_pairs_by_groups_are_whole(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    rows = []
+    for size in (1, 2, 3, 4, 5, 6, 8, 9, 12, 20, 40, 90, 130, 300):
+        for _ in range(6):
+            base = set(rng.sample(range(900), size))
+            rows.append(base)
+            for gone in (1, 2, size // 20, size // 10, size // 8, size // 5):  # to the edge of the threshold and beyond
+                rows.append(base - set(rng.sample(sorted(base), min(gone, size - 1))))
+                rows.append(base | set(rng.sample(range(900, 1900), gone)))
+                rows.append((base - set(rng.sample(sorted(base), min(gone // 2, size - 1)))) | set(rng.sample(range(900, 1900), gone - gone // 2)))
+    kinds = {tuple(sorted(f"w{x}" for x in r)): i for i, r in reversed(list(enumerate(rows)))}
+    df = spark.createDataFrame([(i, sorted(f"w{x}" for x in r)) for i, r in enumerate(rows)], "rule_id long, tags array<string>").repartition(3)
+    wanted = {}
+    held = [(i, set(k)) for k, i in kinds.items()]
+    for i, x in held:
+        for j, y in held:
+            if i < j and len(x & y) / len(x | y) >= threshold:
+                wanted[i, j] = round(len(x & y) / len(x | y), 9)
+    got = {(r.a, r.b): round(r.jaccard, 9) for r in rules.tag_set_pairs(rules.tag_sets(df), threshold).collect()}
+    assert len(wanted) > 300 and got == wanted
+
+
+def test_set_candidates_are_few(spark):
+    """Sets of half of all words, no two of them alike: words meet in nearly all pairs, groups in few."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, [f"w{x}" for x in rng.sample(range(800), 250)]) for i in range(300)], "rule_id long, tags array<string>")
+    assert rules._met_by_groups(rules.tag_sets(df), 0.8).count() < 300
