@@ -87,3 +87,11 @@ def test_set_candidates_are_few(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, [f"w{x}" for x in rng.sample(range(800), 250)]) for i in range(300)], "rule_id long, tags array<string>")
     assert rules._met_by_groups(rules.tag_sets(df), 0.8).count() < 300
+
+
+@pytest.mark.parametrize("name", ["rules_report", "rules_plan"])
+def test_reports_find_pairs_once(spark, name):
+    """What is found is read from tables, not worked out anew by each of its readers."""
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "Generate" not in plan
