@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.catalog import query, r6
-from tidemark.catalog_more import _DUPLICATES, _TECH, _duplicates, _rules
+from tidemark.catalog_more import _DUPLICATES, _TECH, _rules
 from tidemark.functions import text as X
 from tidemark.operators import cells, fields, graph, intervals, report, topics
 from tidemark.plans import retrieval, tables
@@ -217,8 +217,7 @@ def rules_in_order(spark, d):
 @query(f"+{_DUPLICATES} SELECT rank, a, b, match_type FROM (SELECT a, b, match_type, row_number() OVER (ORDER BY round(similarity, 6) DESC, a, b)::INT AS rank FROM duplicates) WHERE rank <= 100")
 def duplicates_in_order(spark, d):
     """T9. The hundred surest duplicates, with their ranks."""
-    order = [F.desc(F.round("similarity", 6)), "a", "b"]
-    return _duplicates(_rules(spark, d)).orderBy(*order).limit(100).select(F.row_number().over(W.orderBy(*order)).alias("rank"), "a", "b", "match_type")
+    return report.first_pairs(_rules(spark, d), 100, 0.4).select("rank", "a", "b", "match_type")
 
 
 # files written from the tables
