@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import jaccard, packing, queries, sharding
+from tidemark.llm import jaccard, mixing, packing, queries, sharding
 from tidemark.llm.common import passing, scratch, shared_dir, table
 from tests.llm.test_llm_operators import brute_components, brute_dedup, brute_targets, words_of
 
@@ -140,3 +140,12 @@ def test_oracle(spark, name):
 
 def test_all_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_the_mix_shuffles_texts_once_where_no_row_repeats(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of some words", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    twice = mixing.mixed_documents(docs.unionByName(docs))
+    assert "row_number" in twice._jdf.queryExecution().optimizedPlan().toString()
+    assert set(Counter((r.doc_id, r.text) for r in mixing.mixed_documents(docs, share_percent=200).collect()).values()) == {2}

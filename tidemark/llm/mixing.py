@@ -200,12 +200,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed as documents of their own; an empty table gives none; other columns keep any names."""
     own = {"id": id_col, "text": text_col, "source": source_col}
     given = packed(docs, **own)
-    placements, _ = mix_blocks(given, id_col="id", text_col="text", source_col="source", **options)
+    placements, documents = mix_blocks(given, id_col="id", text_col="text", source_col="source", **options)
     row = ["source_key", "id", "row_hash", "copy", "pass"]
     spans = placements.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum(F.col("last") - F.col("first")).alias("taken"))
     given = given.withColumns({"row_hash": F.xxhash64("text"), "source_key": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))})
+    # texts are shuffled for the join alone, and for numbers of copies only where rows repeat
     repeated = W.partitionBy("id", "row_hash", "source_key").orderBy(F.lit(0))
-    given = given.withColumn("copy", (F.row_number().over(repeated) - 1).cast("long"))
+    once = documents.where("copy > 0").isEmpty()
+    given = given.withColumn("copy", F.lit(0).cast("long") if once else (F.row_number().over(repeated) - 1).cast("long"))
     matches = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) if c == "id" else F.col(f"d.{c}") == F.col(f"s.{c}") for c in row[:-1]]
     joined = given.alias("d").join(spans.hint("merge").alias("s"), matches[0] & matches[1] & matches[2] & matches[3])
     joined = joined.select("d.*", "s.spans", "s.taken").withColumn("w", words(F.col("text")))
