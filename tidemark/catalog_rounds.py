@@ -118,7 +118,7 @@ _CLUSTERS = f"""told AS (SELECT rule_id AS id, tokens, embedding, list_sort(list
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    return _rules(spark, d).withColumn("tags", F.sort_array(X.tech_tags(F.col("content"))))
+    return _rules(spark, d, tags=F.sort_array(X.tech_tags(F.col("content")))).select("rule_id", "tags", "tokens", "embedding")
 
 
 @query(f"+{_CLUSTERS} SELECT tag, id AS rule_id FROM members")

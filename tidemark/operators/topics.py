@@ -23,15 +23,24 @@ PLACES = 12
 
 def tag_facts(rules: DataFrame, id_col: str = "rule_id", tags_col: str = "tags", vector_col: str = "embedding") -> DataFrame:
     """tag, place (of its first occurrence, by rule and then by place in the rule), n rules, and similarity: the mean
-    cosine over pairs of its rules with vectors, by sums, 0 without such a pair."""
-    each = rules.select(F.col(id_col).alias("id"), F.posexplode(F.array_distinct(tags_col)).alias("i", "tag"))
-    counted = each.groupBy("tag").agg(F.min(F.struct("id", "i")).alias("place"), F.count("*").alias("n"))
-    vectors = rules.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("u"))
-    held = each.join(vectors, "id").select("tag", "u")
-    sizes = held.groupBy("tag").agg(F.count("*").alias("m"), F.sum(F.when(V.norm(F.col("u")) > 0, 1.0).otherwise(0.0)).alias("own"))
-    sums = held.select("tag", F.posexplode("u").alias("j", "x")).groupBy("tag", "j").agg(F.sum("x").alias("x")).groupBy("tag").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+    cosine over pairs of its rules with vectors, by sums, 0 without such a pair. A rule's tags and vector are in one row, so nothing is joined,
+    and only sums are shuffled."""
+    return _facts(_tagged(rules, id_col, tags_col, vector_col))
+
+
+def _tagged(rules: DataFrame, id_col: str, tags_col: str, vector_col: str, *more: str) -> DataFrame:
+    """id, tags (each once), u (the vector, of length 1) and what else is named, as a table: however tags and vectors are found, they are found once."""
+    return written(rules.select(F.col(id_col).alias("id"), F.array_distinct(tags_col).alias("tags"), unit(F.col(vector_col)).alias("u"), *more), "tagged")
+
+
+def _facts(tagged: DataFrame) -> DataFrame:
+    own = F.coalesce(F.exists("u", lambda x: x != 0), F.lit(False)).cast("double")
+    each = tagged.select("id", F.col("u").isNotNull().cast("long").alias("m"), own.alias("own"), F.posexplode("tags").alias("i", "tag"))
+    counted = each.groupBy("tag").agg(F.min(F.struct("id", "i")).alias("place"), F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("own").alias("own"))
+    held = tagged.where("u is not null and size(tags) > 0").select("tags", F.posexplode("u").alias("j", "x"))
+    sums = held.select("j", "x", F.explode("tags").alias("tag")).groupBy("tag", "j").agg(F.sum("x").alias("x")).groupBy("tag").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
     mean = F.when(F.col("m") > 1, (F.col("q") - F.col("own")) / (F.col("m") * (F.col("m") - 1))).otherwise(0.0)
-    return counted.join(sizes.join(sums, "tag"), "tag", "left").select("tag", "place", "n", F.coalesce(mean, F.lit(0.0)).alias("similarity"))
+    return counted.join(sums, "tag", "left").select("tag", "place", "n", F.coalesce(mean, F.lit(0.0)).alias("similarity"))
 
 
 def claimed_tags(rules: DataFrame, floor: float = 0.5, id_col: str = "rule_id", tags_col: str = "tags", vector_col: str = "embedding") -> DataFrame:
@@ -41,9 +50,13 @@ def claimed_tags(rules: DataFrame, floor: float = 0.5, id_col: str = "rule_id",
     Settled in rounds over the table of rules and tags, without a loop over tags. A tag whose rules include
     two for which it is the earliest tag left is sure to take them; a tag with fewer than two rules left is out. The earliest
     tag left is always one or the other, so every round settles some; most settle in the first."""
-    facts = written(tag_facts(rules, id_col, tags_col, vector_col), "tag-facts")
+    tagged = _tagged(rules, id_col, tags_col, vector_col)
+    return _claimed(tagged, written(_facts(tagged), "tag-facts"), floor)
+
+
+def _claimed(tagged: DataFrame, facts: DataFrame, floor: float) -> DataFrame:
     good = facts.where((F.col("n") >= 2) & (F.col("similarity") >= floor)).select("tag", "place")
-    open_ = written(rules.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tags_col)).alias("tag")).join(good, "tag").withColumn("sure", F.lit(False)), "open-tags")
+    open_ = written(tagged.select("id", F.explode("tags").alias("tag")).join(good, "tag").withColumn("sure", F.lit(False)), "open-tags")
     taken = open_.select("tag", "id").limit(0)
     while not open_.isEmpty():
         earliest = open_.groupBy("id").agg(F.min_by(F.struct("tag", "sure"), "place").alias("e")).select("id", "e.tag", "e.sure")
@@ -61,9 +74,11 @@ def claimed_tags(rules: DataFrame, floor: float = 0.5, id_col: str = "rule_id",
 def tag_clusters(rules: DataFrame, floor: float = 0.5, id_col: str = "rule_id", tags_col: str = "tags", vector_col: str = "embedding", tokens_col: str = "tokens") -> DataFrame:
     """W8, N16. Per cluster its id and name, n rules, similarity, tokens apart and merged (six tenths, rounded up) and the saving
     in percent. The members are the rows of `claimed_tags`."""
-    found = written(claimed_tags(rules, floor, id_col, tags_col, vector_col), "claimed")
-    sized = found.join(rules.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens")), "id").groupBy("tag").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
-    facts = tag_facts(rules, id_col, tags_col, vector_col).select("tag", "similarity")
+    tagged = _tagged(rules, id_col, tags_col, vector_col, tokens_col)
+    facts = written(_facts(tagged), "tag-facts")
+    found = written(_claimed(tagged, facts, floor), "claimed")
+    sized = found.join(tagged.select("id", F.col(tokens_col).alias("tokens")), "id").groupBy("tag").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    facts = facts.select("tag", "similarity")
     merged = F.ceil(F.col("tokens") * 0.6)
     name = F.concat(F.upper(F.substring("tag", 1, 1)), F.expr("substring(tag, 2)"), F.lit(" Rules"))
     share = F.when(F.col("tokens") > 0, F.floor((F.col("tokens") - merged) / F.col("tokens") * 100 + 0.5)).otherwise(0).cast("long")
