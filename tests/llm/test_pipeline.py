@@ -149,3 +149,23 @@ def test_the_mix_shuffles_texts_once_where_no_row_repeats(spark):
     twice = mixing.mixed_documents(docs.unionByName(docs))
     assert "row_number" in twice._jdf.queryExecution().optimizedPlan().toString()
     assert set(Counter((r.doc_id, r.text) for r in mixing.mixed_documents(docs, share_percent=200).collect()).values()) == {2}
+
+
+def test_tables_that_no_stage_needs_go(spark):
+    """A stage's table is there for the next one, and as long as somebody holds it; then a later stage removes it."""
+    import pathlib
+
+    there = lambda name: len(list(pathlib.Path(shared_dir(spark).removeprefix("file://")).glob(f"tidemark-{name}-*")))
+    docs = table(spark, DATA, "documents").limit(40)
+    before = there("quality_rules")
+    kept = corpus_pipeline.quality_rules(spark, docs, DATA)
+    rows = kept.count()
+    passed = corpus_pipeline.source_mixing(spark, corpus_pipeline.quality_rules(spark, docs, DATA), DATA)
+    assert kept.count() == rows and there("quality_rules") <= before + 2
+    corpus_pipeline.lexical_packing(spark, passed, DATA).count()
+    assert kept.count() == rows and there("quality_rules") == 1
+    few = kept.limit(3)
+    del kept
+    assert corpus_pipeline.lexical_packing(spark, few, DATA).count() >= 3
+    corpus_pipeline.lexical_packing(spark, passed, DATA).count()
+    assert there("quality_rules") == 0 and there("source_mixing") > 0 and passed.count() > 0
