@@ -347,10 +347,12 @@ def _rows_in_components(docs: DataFrame, k: int, share: tuple[int, int], id_col:
         raise TypeError(f"{id_col} must hold whole numbers")
     bounded_batches(docs.sparkSession)
     counts = word_counts(docs, text_col)
-    rows = scratch(node_rows(docs, counts, k, share, id_col, text_col), "set-rows")
-    # equal sets are one node
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.struct("n", "prefix", "bits")).alias("s"))
-    classes = scratch(_named(scratch(classes.select("k1", "k2", "least", "s.*"), "classes")), "nodes")
+    with passing(docs.sparkSession):  # prefixes and bitmaps stay with the classes only
+        full = scratch(node_rows(docs, counts, k, share, id_col, text_col), "set-rows")
+        rows = scratch(full.select("id", "text_hash", "n", "k1", "k2"), "keys", keep=True)
+        # equal sets are one node
+        classes = full.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.struct("n", "prefix", "bits")).alias("s"))
+        classes = scratch(_named(scratch(classes.select("k1", "k2", "least", "s.*"), "classes")), "nodes", keep=True)
     ids = classes.select("k1", "k2", "node", "least")
     with passing(docs.sparkSession):
         labels = scratch(_labels(docs, rows, classes, k, share, id_col, text_col), "labels", keep=True)
