@@ -217,7 +217,7 @@ def rules_in_order(spark, d):
 @query(f"+{_DUPLICATES} SELECT rank, a, b, match_type FROM (SELECT a, b, match_type, row_number() OVER (ORDER BY round(similarity, 6) DESC, a, b)::INT AS rank FROM duplicates) WHERE rank <= 100")
 def duplicates_in_order(spark, d):
     """T9. The hundred surest duplicates, with their ranks."""
-    return report.first_pairs(_rules(spark, d), 100, 0.4).select("rank", "a", "b", "match_type")
+    return report.first_pairs(_rules(spark, d, hash=report.facts()["hash"]), 100, 0.4).select("rank", "a", "b", "match_type")
 
 
 # files written from the tables
